@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelane.llm import quality
+from tidelane.llm import jaccard, quality
 
-MODULES = [quality]
+MODULES = [quality, jaccard]
 
 
 def queries() -> dict:
