@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidelane.llm import jaccard, quality
+import corpus_pipeline
+from tidelane.llm import chat, decontaminate, jaccard, linededup, mixing, quality
 
-MODULES = [quality, jaccard]
+MODULES = [quality, decontaminate, linededup, chat, mixing, jaccard]
 
 
 def queries() -> dict:
-    return {n: f for m in MODULES for n, f in vars(m).items() if n.startswith("op") and n[2:3].isdigit() and callable(f)}
+    return {"pipeline": corpus_pipeline.run} | {n: f for m in MODULES for n, f in vars(m).items() if n.startswith("op") and n[2:3].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict:
