@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidelane.llm import chat, decontaminate, jaccard, linededup, mixing, quality
+from tidelane.llm import chat, decontaminate, html, jaccard, langid, licenses, linededup, mixing, quality, warc
 
-MODULES = [quality, decontaminate, linededup, chat, mixing, jaccard]
+MODULES = [quality, decontaminate, linededup, html, langid, warc, chat, mixing, licenses, jaccard]
 
 
 def queries() -> dict:
