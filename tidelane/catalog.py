@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidelane.plans import records, rollouts
+
+MODULES = [rollouts, records]
+
 
 def queries() -> dict:
-    return {}
+    return {n: f for m in MODULES for n, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {n: s for m in MODULES for n, s in m.SQL.items()}
