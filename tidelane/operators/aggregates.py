@@ -68,8 +68,10 @@ def group_normalize(df: DataFrame, key: str, value: str, least: int = 2, eps: fl
 
 
 def majority_vote(df: DataFrame, key: str, vote: str, value: str, order: str) -> DataFrame:
-    """The most frequent vote of each key, the first seen among equals, and the value of its first voter."""
-    votes = df.groupBy(key, vote).agg(F.count("*").alias("votes"), F.min(order).alias("first_"), F.min_by(value, order).alias("value_"))
+    """The most frequent vote of each key, the first seen among equals, and the value of its
+    first voter (the least, if several are first)."""
+    first = F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("f")
+    votes = df.groupBy(key, vote).agg(F.count("*").alias("votes"), first).select(key, vote, "votes", F.col("f.o").alias("first_"), F.col("f.v").alias("value_"))
     best = F.max_by(F.struct(vote, "votes", "value_"), F.struct("votes", -F.col("first_"))).alias("b")
     return votes.groupBy(key).agg(best).select(key, F.col(f"b.{vote}").alias(vote), F.col("b.votes").alias("votes"), F.col("b.value_").alias(value))
 

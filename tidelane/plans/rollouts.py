@@ -161,7 +161,7 @@ def group_normalize(spark, sf_dir):
     return A.group_normalize(rollouts(spark, sf_dir), "uid", "score").select("row_id", tidy("normalized"))
 
 
-@query(f"WITH {ROLLOUTS}, v AS (SELECT uid, length % 4 AS vote, count(*) AS votes, min(row_id) AS first, min_by(score, row_id) AS score FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY votes DESC, first) AS n FROM v) SELECT uid, vote, votes, CAST(score AS DOUBLE) AS score FROM k WHERE n = 1")
+@query(f"WITH {ROLLOUTS}, v AS (SELECT uid, length % 4 AS vote, count(*) AS votes, min(row_id) AS first, first(score ORDER BY row_id, score) AS score FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY votes DESC, first) AS n FROM v) SELECT uid, vote, votes, CAST(score AS DOUBLE) AS score FROM k WHERE n = 1")
 def majority_vote(spark, sf_dir):
     return A.majority_vote(rollouts(spark, sf_dir).withColumn("vote", F.col("length") % 4), "uid", "vote", "score", "row_id")
 
