@@ -11,7 +11,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def _top(scores: DataFrame, query: str, doc: str, k: int) -> DataFrame:
-    w = Window.partitionBy(query).orderBy(F.desc("score"), doc)
+    w = Window.partitionBy(query).orderBy(F.desc(F.round("score", 8)), doc)  # sums differ in their last bits by order
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
