@@ -111,3 +111,31 @@ def with_quality(docs: DataFrame) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _share_sql(n: int) -> str:
+    """Characters of each document's words inside windows of n words that it has twice."""
+    gram = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, n))])
+    return f"""g{n} AS (SELECT doc_id, i, chars, {gram} AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+t{n} AS (SELECT doc_id, i, chars, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 THEN 1 ELSE 0 END AS twice FROM g{n}),
+i{n} AS (SELECT doc_id, chars, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM t{n}),
+s{n} AS (SELECT doc_id, sum(inside) AS words, sum(inside * chars) AS chars FROM i{n} GROUP BY doc_id)"""
+
+
+_SHARES = " OR ".join(f"coalesce(s{n}.chars, 0) > {share} * word_chars" for n, share in NGRAM_SHARE.items())
+ORACLE_SQL = {
+    "op1_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p0 AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d), p AS (SELECT *, length(word) AS chars FROM p0),
+b AS (SELECT doc_id, count(*) AS n_words, sum(chars) AS word_chars FROM p GROUP BY doc_id),
+{", ".join(_share_sql(n) for n in NGRAM_SHARE)},
+l0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), l1 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l0),
+l2 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS k FROM l1 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l AS (SELECT doc_id, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(length(line)) FILTER (k > 1), 0) AS dup_line_chars FROM l2 GROUP BY doc_id),
+m AS (SELECT d.doc_id, length(text) AS chars, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, coalesce(s8.words, 0) AS n_repeat_words, {", ".join(f"coalesce(s{n}.chars, 0) AS dup_{n}gram_chars" for n in NGRAM_SHARE)},
+  coalesce(n_words, 0) < 20 OR 100 * coalesce(s8.words, 0) > 30 * coalesce(n_words, 0) AS base_failed, {_SHARES} OR coalesce(dup_line_chars, 0) > {LINE_SHARE} * length(text) AS bad
+  FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) {" ".join(f"LEFT JOIN s{n} USING (doc_id)" for n in NGRAM_SHARE)})
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept,
+  CAST(dup_line_chars AS BIGINT) AS dup_line_chars, {", ".join(f"CAST(dup_{n}gram_chars AS BIGINT) AS dup_{n}gram_chars" for n in NGRAM_SHARE)} FROM m"""
+}
