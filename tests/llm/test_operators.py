@@ -227,3 +227,16 @@ def test_empty_tables(spark):
     for out in (quality.quality_rules(none), jaccard.jaccard_join(none), linededup.line_dedup(none), decontaminate.contaminated(none, items), licenses.license_scan(none)):
         assert out.count() == 0
     assert decontaminate.contaminated(docs_of(spark, [(1, "x y z a b c")]), items).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, f"a b c d e f {'xyz'[i % 3]}\nand one more line of text here {'pqrs'[i]}", "en", "src1", 0, "x", "x", "x", "x") for i in range(4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("last", "rest", "room", "fit", "of_", "key_", "lang_", "bucket", "epochs", "dropped", "lines_", "n_tokens", "of", "key", "words", "windows", "a.b"):
+        docs = docs.withColumn(name, F.lit(name))
+    mixed, lines = mixing.mix_sources(docs, budget=10**6), linededup.line_dedup(docs)
+    items = spark.createDataFrame([(1, "a b c d e f x")], "item_id long, text string")
+    clean = decontaminate.decontaminate(docs, items)
+    assert mixed.count() == 4 and lines.count() == 4 and clean.columns == docs.columns and clean.count() == 2  # x is in documents 0 and 3
+    for out in (mixed, lines):
+        assert all(r[n] == n for r in out.collect() for n in ("last", "rest", "fit", "of_", "lang_", "bucket", "dropped", "lines_", "a.b"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have; it is counted before it is broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -33,3 +34,13 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be within the bound, else as it is
     (Spark then shuffles both sides)."""
     return df.hint("broadcast") if df.limit(most + 1).count() <= most else df
+
+
+def set_aside(docs: DataFrame, needed: set[str]) -> DataFrame:
+    """docs with every column but the needed ones named `in_...`, which no working column is."""
+    return docs.select(*(F.col(c) if c in needed else F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns))
+
+
+def as_given(names: list[str], needed: set[str]) -> list[Column]:
+    """The columns that set_aside renamed, under their own names again."""
+    return [F.col(c) if c in needed else F.col(f"`in_{c}`").alias(c) for c in names]

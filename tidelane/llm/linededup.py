@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import cut, small, table
+from tidelane.llm.common import as_given, cut, set_aside, small, table
 
 #: Leading tokens in a leaf's key.
 DEPTH = 3
@@ -88,14 +88,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     first) and line number, stays. Lines of fewer than five tokens stay. A null text stays
     null and has no lines. Repeated rows count as one document and get the same answer;
     rows with equal doc_id and other texts are different documents. Empty tables give no rows.
-    A column of docs named n_lines or n_dropped is replaced.
+    A column of docs named n_lines or n_dropped is replaced; other names never clash.
     """
     docs = docs.drop("n_lines", "n_dropped")
     drop = small(cut(recurring_lines(docs).withColumnsRenamed({"doc_id": "of_", "text_key": "key_"})), BROADCAST_DOCS)
-    joined = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(drop["of_"]) & (F.xxhash64(docs["text"]) == drop["key_"]), "left")
+    needed = {"doc_id", "text"}
+    joined = set_aside(docs, needed).join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("of_")) & (F.xxhash64("text") == F.col("key_")), "left")
     joined = joined.withColumn("lines_", F.split("text", "\n"))
     rest = F.expr("array_join(transform(array_except(sequence(0, size(lines_) - 1), dropped), i -> lines_[i]), '\n')")
-    columns = [F.when(F.col("dropped").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    shorter = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(rest).alias("text")
+    columns = [shorter if name == "text" else c for name, c in zip(docs.columns, as_given(docs.columns, needed))]
     return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size("lines_")).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import cut, small, table
+from tidelane.llm.common import as_given, cut, set_aside, small, table
 
 SEED = 17
 MAX_EPOCHS = 4
@@ -22,6 +22,7 @@ DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
 LANG_WEIGHTS = {"en": 6, "de": 3, "fr": 2, "es": 1}
 SOURCE_WEIGHTS = {"src0": 2}
 LEVELS = ["domain", "lang_", "source_"]
+NEEDED = {"doc_id", "text", "lang", "source"}
 #: Digits of the order's hash that make a bucket: prefix sums go over buckets first.
 DIGITS = 3
 NONE = "(none)"
@@ -87,8 +88,8 @@ def _ordered(docs: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows of docs that are taken, with `domain`, `n_tokens` and `repeats`, how often each is taken.
 
-    docs has doc_id, text, lang and source; other columns stay, and any named domain,
-    n_tokens or repeats are replaced. Tokens are words between ASCII white space. A null
+    docs has doc_id, text, lang and source; other columns stay, whatever their names, and any
+    named domain, n_tokens or repeats are replaced. Tokens are words between ASCII white space. A null
     language or source is a leaf of its own. Texts without tokens are never taken. Repeated
     rows are taken together or not at all; among rows with one doc_id the order follows
     the text's hash. Of the last epoch go the documents whose running total fits the budget, so a leaf
@@ -97,7 +98,7 @@ def mix_sources(docs: DataFrame, budget: int | None = None, max_epochs: int = MA
     Totals are pre-aggregated by leaf and bucket, and running totals go over buckets; only
     rows of the one bucket in which a leaf's budget ends are ordered one by one.
     """
-    docs = docs.drop("domain", "n_tokens", "repeats", "lang_", "source_", "order_", "bucket", "epochs")
+    docs = docs.drop("domain", "n_tokens", "repeats")
     placed = cut(_placed(docs.select("doc_id", "text", "lang", "source")).filter("n_tokens > 0").select("doc_id", F.xxhash64("text").alias("text_key"), *LEVELS, "n_tokens"))
     leaves = cut(placed.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available")))
     given = leaf_budgets(leaves, budget, max_epochs)
@@ -112,14 +113,14 @@ def mix_sources(docs: DataFrame, budget: int | None = None, max_epochs: int = MA
     edge = edge.filter("upto <= room").groupBy(F.col("doc_id").alias("of_"), F.col("text_key").alias("key_"), *(F.col(c).alias(f"{c}k_") for c in LEVELS)).agg(F.count("*").alias("fit"))
     edge = small(cut(edge))
 
-    rows = _ordered(_placed(docs).filter("n_tokens > 0").join(given, LEVELS).join(last, LEVELS, "left"))
+    rows = _ordered(_placed(set_aside(docs, NEEDED)).filter("n_tokens > 0").join(given, LEVELS).join(last, LEVELS, "left"))
     same = rows["doc_id"].eqNullSafe(edge["of_"]) & (F.xxhash64(rows["text"]) == edge["key_"])
     for c in LEVELS:
         same = same & (rows[c] == edge[f"{c}k_"])
     rows = rows.join(edge, same & (rows["bucket"] == rows["last"]), "left")
     more = F.when(F.col("bucket") < F.col("last"), 1).when(F.col("fit").isNotNull(), 1).otherwise(0)
     taken = rows.withColumn("repeats", (F.col("epochs") + more).cast("long")).filter("repeats > 0")
-    return taken.select(*docs.columns, "domain", "n_tokens", "repeats")
+    return taken.select(*as_given(docs.columns, NEEDED), "domain", "n_tokens", "repeats")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
