@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelane.plans import records, rollouts
+from tidelane.plans import credits, records, rollouts
 
-MODULES = [rollouts, records]
+MODULES = [rollouts, records, credits]
 
 
 def queries() -> dict:

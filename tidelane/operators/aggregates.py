@@ -60,11 +60,11 @@ def group_mean_std(df: DataFrame, key: str, value: str, eps: float = 1e-6) -> Da
     return df.groupBy(key).agg(n.alias("n"), F.when(n > 1, F.avg(value)).otherwise(0.0).alias("mean"), F.when(n > 1, F.sqrt(F.greatest(F.var_samp(value), F.lit(eps)))).otherwise(1.0).alias("std"))
 
 
-def group_normalize(df: DataFrame, key: str, value: str, least: int = 2, eps: float = 1e-8) -> DataFrame:
-    """Adds `normalized`: the z-score by population deviation; 0 in groups that are small or constant."""
+def group_normalize(df: DataFrame, key: str, value: str, least: int = 2, eps: float = 1e-6) -> DataFrame:
+    """Adds `normalized`: the distance from the mean over the population deviation plus eps; 0 in groups that are small or constant."""
     w = Window.partitionBy(key)
-    std, n = F.stddev_pop(value).over(w), F.count(value).over(w)
-    return df.withColumn("normalized", F.when((n < least) | (std <= eps), 0.0).otherwise((F.col(value) - F.avg(value).over(w)) / std))
+    flat = (F.count(value).over(w) < least) | (F.max(value).over(w) == F.min(value).over(w))
+    return df.withColumn("normalized", F.when(flat, 0.0).otherwise((F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + eps)))
 
 
 def majority_vote(df: DataFrame, key: str, vote: str, value: str, order: str) -> DataFrame:

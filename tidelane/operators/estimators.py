@@ -31,6 +31,17 @@ def advantage(name: str, rollouts: DataFrame, **options) -> DataFrame:
     return ESTIMATORS[name](rollouts, **options)
 
 
+def whiten(df: DataFrame, value: str, weight: str, name: str = "advantage", shift_mean: bool = True) -> DataFrame:
+    """Adds `name`: value less its weighted mean, over its weighted unbiased deviation, over
+    all of df. One row of sums is broadcast. Without shift_mean the mean is added again."""
+    v, w = F.col(value), F.col(weight)
+    sums = df.agg(F.sum(w).alias("n_"), F.sum(v * w).alias("t_"), F.sum(v * v * w).alias("q_"))
+    mean = F.col("t_") / F.col("n_")
+    whole = sums.select(mean.alias("mean_"), ((F.col("q_") / F.col("n_") - mean * mean) * F.col("n_") / (F.col("n_") - 1)).alias("var_"))
+    scaled = (v - F.col("mean_")) / F.sqrt(F.col("var_") + 1e-8)
+    return df.crossJoin(F.broadcast(whole)).withColumn(name, scaled if shift_mean else scaled + F.col("mean_")).drop("mean_", "var_")
+
+
 def _group(score: str, uid: str) -> tuple[Column, Column, Column]:
     """Count, mean and sample deviation over the group; a group of one has mean 0 and deviation 1."""
     w = Window.partitionBy(uid)
@@ -99,10 +110,7 @@ def gpg(df: DataFrame, score: str = "score", uid: str = "uid", f_norm: float = 1
 def reinforce_plus_plus_baseline(df: DataFrame, score: str = "score", uid: str = "uid", length: str = "length") -> DataFrame:
     """Group-centred scores, whitened over all valid tokens (every row counts `length` times)."""
     _, mean, _ = _group(score, uid)
-    centred = df.withColumn("centred_", F.col(score) - mean)
-    n, total, square = F.sum(length), F.sum(F.col(length) * F.col("centred_")), F.sum(F.col(length) * F.col("centred_") * F.col("centred_"))
-    whole = centred.agg((total / n).alias("mean_"), ((square / n - (total / n) * (total / n)) * n / (n - 1)).alias("var_"))
-    return centred.crossJoin(F.broadcast(whole)).withColumn("advantage", (F.col("centred_") - F.col("mean_")) * F.pow(F.col("var_") + 1e-8, F.lit(-0.5))).drop("centred_", "mean_", "var_")
+    return whiten(df.withColumn("centred_", F.col(score) - mean), "centred_", length).drop("centred_")
 
 
 @register("episode")
@@ -146,3 +154,14 @@ def kl_penalty(kind: str, logp: str = "logp", ref: str = "ref") -> Column:
         back = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), -d))
         return F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.exp(back) - back - 1))
     raise NotImplementedError(kind)
+
+
+@register("gdpo")
+def gdpo(df: DataFrame, scores: tuple[str, ...] = ("score",), weights: tuple[float, ...] | None = None, uid: str = "uid", length: str = "length", by_std: bool = True) -> DataFrame:
+    """Each reward normalised within the group by itself, their weighted sum whitened over all valid tokens."""
+    total = F.lit(0.0)
+    for score, weight in zip(scores, weights or (1.0,) * len(scores), strict=True):
+        _, mean, std = _group(score, uid)
+        centred = F.col(score) - mean
+        total = total + weight * (centred / (std + EPSILON) if by_std else centred)
+    return whiten(df.withColumn("total_", total), "total_", length).drop("total_")

@@ -156,7 +156,7 @@ def group_mean_std(spark, sf_dir):
     return A.group_mean_std(rollouts(spark, sf_dir), "uid", "score").select("uid", "n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
-@query(f"WITH {ROLLOUTS} SELECT row_id, round(CASE WHEN count(*) OVER w < 2 OR stddev_pop(s) OVER w <= 1e-8 THEN 0 ELSE (s - avg(s) OVER w) / stddev_pop(s) OVER w END, 8) + 0.0 AS normalized FROM r WINDOW w AS (PARTITION BY uid)")
+@query(f"WITH {ROLLOUTS} SELECT row_id, round(CASE WHEN count(*) OVER w < 2 OR max(s) OVER w = min(s) OVER w THEN 0 ELSE (s - avg(s) OVER w) / (stddev_pop(s) OVER w + 1e-6) END, 8) + 0.0 AS normalized FROM r WINDOW w AS (PARTITION BY uid)")
 def group_normalize(spark, sf_dir):
     return A.group_normalize(rollouts(spark, sf_dir), "uid", "score").select("row_id", tidy("normalized"))
 
