@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelane.plans import credits, records, rollouts
+from tidelane.plans import credits, records, rollouts, selections
 
-MODULES = [rollouts, records, credits]
+MODULES = [rollouts, records, credits, selections]
 
 
 def queries() -> dict:

@@ -91,3 +91,37 @@ def on_spans(length: Column, spans: str, values: str) -> Column:
     pairs = F.arrays_zip(F.col(spans).alias("s"), F.col(values).alias("v"))
     one = lambda t: F.coalesce(F.try_element_at(F.filter(pairs, lambda p: (p["s"]["start"] <= t) & (t < p["s"]["end"])), F.lit(1))["v"], F.lit(0.0))
     return F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1), one)).otherwise(F.array().cast("array<double>"))
+
+
+def call_credit(turns: DataFrame, mode: str = "local", least: int = 2, eps: float = 1e-6, uid: str = "uid") -> DataFrame:
+    """turns with call_baseline, turn_support, call_support, fallback_reason and call_advantages.
+
+    turns has uid, turn, reward, turn_return, advantage (see turn_credit), call_rewards (their sum
+    is the reward) and eligible. The local mode puts each call's distance from the mean over the
+    group's trajectories of their mean call reward at this turn number in place of the turn's
+    centred reward; the residual mode adds its distance from the turn's own mean. Both
+    are divided by the deviation of the group's returns. Where a reason stands, the turn keeps
+    its advantage and call_advantages is empty.
+    """
+    if mode not in ("local", "residual"):
+        raise ValueError(f"unknown call credit {mode}; known: local, residual")
+    group = Window.partitionBy(uid, "turn")
+    calls = F.coalesce(F.size("call_rewards"), F.lit(0))
+    own = F.when(calls > 0, F.expr("aggregate(call_rewards, 0D, (s, q) -> s + q)") / calls)
+    known = turns.withColumns({
+        "own_": own, "turn_support": F.count("*").over(group), "call_support": F.count(own).over(group), "peers_": F.avg(own).over(group),
+        "mean_": F.avg("reward").over(group), "scale_": F.stddev_pop("turn_return").over(group) + eps, "flat_": F.max("turn_return").over(group) == F.min("turn_return").over(group),
+    })
+    reason = (
+        F.when(calls <= 0, "no_calls")
+        .when(~F.coalesce("eligible", F.lit(False)), "attribution_ineligible")
+        .when(F.col("turn_support") < least, "insufficient_turn_support")
+        .when(F.col("call_support") < least, "insufficient_call_support")
+        .when(F.col("flat_"), "zero_return_variance")
+    )
+    if mode == "residual":
+        reason = reason.when(calls == 1, "single_call").when(F.array_max("call_rewards") == F.array_min("call_rewards"), "uniform_call_rewards")
+    moved = "q - own_" if mode == "residual" else "(q - peers_) - (reward - mean_)"
+    known = known.withColumn("fallback_reason", reason).withColumn("call_baseline", F.col("own_" if mode == "residual" else "peers_"))
+    known = known.withColumn("call_advantages", F.when(F.col("fallback_reason").isNull(), F.expr(f"transform(call_rewards, q -> advantage + ({moved}) / scale_)")).otherwise(F.expr("CAST(array() AS array<double>)")))
+    return known.drop("own_", "peers_", "mean_", "scale_", "flat_")

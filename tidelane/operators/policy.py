@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.operators.aggregates import aggregate_loss
+from tidelane.operators.selection import largest, uniform
 
 BOUND = 20.0
 LOSSES: dict[str, Callable[..., tuple]] = {}
@@ -86,6 +87,8 @@ def cispo(logp: Column, old: Column, adv: Column, mean: Column, low: float = 0.2
     return -kept * adv * logp, ratio != kept, F.lit(False)
 
 
+#: Losses that single out tokens by the covariance of advantage and log-probability.
+BY_COVARIANCE = ("clip_cov", "kl_cov")
 #: Losses whose tokens are always averaged within their sequence first.
 BY_SEQUENCE = {"gspo", "sapo"}
 
@@ -95,8 +98,10 @@ def policy_loss(name: str, tokens: DataFrame, mode: str = "token-mean", row: str
     `weight` names a column of importance weights."""
     if name == "geo_mean":
         return _geometric(tokens, row, **options)
+    if name in BY_COVARIANCE:
+        return _by_covariance(name, tokens, mode, row, weight, **options)
     if name not in LOSSES:
-        raise ValueError(f"unknown policy loss {name}; known: {sorted([*LOSSES, 'geo_mean'])}")
+        raise ValueError(f"unknown policy loss {name}; known: {sorted([*LOSSES, *BY_COVARIANCE, 'geo_mean'])}")
     logp, old, adv, mask = F.col("logp"), F.col("old"), F.col("adv"), F.col("mask").cast("double")
     if name == "gspo":
         w = Window.partitionBy(row)
@@ -123,6 +128,43 @@ def _geometric(tokens: DataFrame, row: str, low: float = 0.2, high: float = 0.2)
     return rows.agg(F.avg(-F.col("a") / n * F.exp(F.col("s") / n)).alias("loss"), (F.sum("c") / total).alias("clip_fraction"), (F.sum("l") / total).alias("clip_fraction_lower"), (F.sum("k") / total).alias("kl"))
 
 
+def _by_covariance(name: str, tokens: DataFrame, mode: str, row: str, weight: str | None, pos: str = "pos", share: float = 0.0002, low: float = 0.2, high: float = 0.2, least: float = 1.0, most: float = 5.0, penalty: float = 1.0, seed: int = 0) -> DataFrame:
+    """clip_cov leaves out a share of the tokens whose covariance lies between the bounds, drawn by a
+    seeded hash; kl_cov adds a penalty on the log-ratio of the share with the largest covariance.
+    `pos` tells the tokens of a row apart. At least one token is singled out, if any can be."""
+    if share <= 0:
+        raise ValueError(f"share {share} isn't positive")
+    masked, d = F.col("mask") > 0, F.col("logp") - F.col("old")
+    n, adv, logp = tokens.filter(masked).agg(F.count("*"), F.avg("adv"), F.avg("logp")).first()
+    cov = (F.col("adv") - F.lit(adv)) * (F.col("logp") - F.lit(logp))
+    a, b = _clipped(F.col("adv"), F.exp(d), low, high)
+    pool = tokens.filter(masked).select(row, pos, cov.alias("cov_"), uniform(seed, row, pos).alias("u_"), (b > a).alias("cut_"))
+    by = "cov_"
+    if name == "clip_cov":
+        pool, by = pool.filter(~F.col("cut_") & (F.col("cov_") > least) & (F.col("cov_") < most)), "u_"
+    # Covariances that are equal but for rounding count as ties.
+    picked = largest(pool.withColumn("cov_", F.round("cov_", 12)).withColumn("tie_", F.struct("u_", row, pos)), by, "tie_", max(int(share * n), 1)).select(row, pos, F.lit(True).alias("picked_"))
+    told = tokens.join(picked, [row, pos], "left").withColumn("picked_", F.coalesce("picked_", F.lit(False)))
+    if name == "clip_cov":
+        loss, drift = F.when(F.col("picked_"), 0.0).otherwise(F.greatest(a, b)), -d
+    else:
+        loss, drift = a + F.when(F.col("picked_"), penalty * F.abs(d)).otherwise(0.0), F.abs(d)
+    mask = F.col("mask").cast("double")
+    clipped = F.col("picked_").cast("double") * mask if name == "clip_cov" else F.lit(0.0)
+    valued = told.select(row, "mask", (loss * F.col(weight) if weight else loss).alias("loss_t"), clipped.alias("c_"), (drift * mask).alias("k_"))
+    total = F.sum(F.col("mask").cast("double")) + 1e-8
+    rest = valued.agg((F.sum("c_") / total).alias("clip_fraction"), F.lit(0.0).alias("clip_fraction_lower"), (F.sum("k_") / total).alias("kl"))
+    return aggregate_loss(valued, "loss_t", "mask", row, mode).join(F.broadcast(rest))
+
+
+def kl_coefficients(updates: DataFrame, run: str, step: str, kl: str, n_steps: str, start: float, target: float, horizon: float, adaptive: bool = True) -> DataFrame:
+    """updates with `coefficient`, the KL coefficient after each: multiplied by 1 plus the relative
+    distance of the KL from its target, held within 0.2, times steps over horizon. Not adaptive: the start."""
+    factor = 1 + clamp(F.col(kl) / target - 1, -0.2, 0.2) * F.col(n_steps) / horizon
+    past = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    return updates.withColumn("coefficient", start * F.product(factor).over(past) if adaptive else F.lit(start))
+
+
 def value_loss(tokens: DataFrame, clip: float, mode: str = "token-mean", row: str = "row_id") -> DataFrame:
     """One row: half the clipped squared error of `pred` against `target`, and the part of tokens it clips (old predictions in `value`)."""
     near = F.greatest(F.least(F.col("pred"), F.col("value") + clip), F.col("value") - clip)
