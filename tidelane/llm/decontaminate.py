@@ -1,9 +1,10 @@
 """Operator 2: benchmark decontamination by SimHash windows. DataFrame functions only.
 
 Windows as long as an item are laid over a document wherever one of its five-word
-shingles falls on the place it has in an item: no window that verification could accept
-is left out, since two texts without a common shingle have a similarity of 0. Windows
-and items get 64-bit SimHash fingerprints; blocks of the fingerprint are the join keys.
+shingles falls on the place it has in an item. A passage that was copied, or had words
+put in, left out or replaced, keeps runs of shingles in step, and each run lays a window
+at its own offset. A window in which every shared shingle stands out of place is not laid,
+nor scored. Windows and items get 64-bit SimHash fingerprints; blocks of the fingerprint are the join keys.
 With RADIUS + 1 blocks, fingerprints within RADIUS share one whole block, so the join
 finds all of them. Pairs within RADIUS are verified on their weighted shingles.
 """
