@@ -221,6 +221,18 @@ def test_licenses(spark):
     assert licenses.wording(["a", "b", "c"], ["x", "a", "q", "c"]) == (2 / 3, 1 / 3, ["-b", "+q"])
 
 
+@pytest.mark.parametrize("template", [1, 2, 3, 4, 5, 6, 7, 11, 12])
+def test_licenses_on_long_lines(template):
+    rng = random.Random(template)
+    name, notice = licenses.TEMPLATES[template]
+    filler = ["".join(rng.choices("bdfgkmnz", k=rng.randint(3, 9))) for _ in range(20000)]
+    for at in (0, 10000, 20000):
+        got = list(licenses.scan(" ".join([*filler[:at], notice, *filler[at:]])))
+        assert (0, name, 1.0, []) in [(k, x, covered, differences) for k, x, _, _, covered, differences in got]
+    over = list(licenses.scan("first\n" + notice.replace(" ", "\n\n")))
+    assert (1, name, 1.0) in [(x[0], x[1], x[4]) for x in over]
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [(1, "x")]).limit(0)
     items = spark.createDataFrame([], "item_id long, text string")

@@ -1,7 +1,7 @@
 """Operator 9: license scans by conditional compression.
 
-A block of text that talks of licensing is compressed alone and with each template as a
-Zstandard raw dictionary. Templates rank by how much of themselves the block saves; the
+A block of words around each cue of licensing, sized for the template, is compressed
+alone and with the template as a Zstandard raw dictionary. Templates rank by how much of themselves the block saves; the
 best are confirmed by the exact differences in wording.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -34,12 +35,13 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("All-Rights-Reserved", "All rights reserved."),
 ]
-CUE = re.compile(r"licen[cs]e|copyright|all rights reserved|permission (?:is|to)|redistribut", re.I)
+CUE = re.compile(r"licen[cs]e|copyright|all\W+rights\W+reserved|permission\W+(?:is|to)\b|redistribut", re.I)
 #: The least part of a template's own compressed size that a block must save, and how many templates are then compared in words.
 LEAST_SAVED, CONFIRM = 0.4, 3
 #: The least part of a template's words, in order, in the block, and the most other words among them.
 LEAST_WORDS, MOST_OTHER = 0.9, 0.15
-#: Words after a cue that a block takes in, as a multiple of the longest template.
+#: Words before and after a cue that a block takes in, as a multiple of the template. With
+#: MOST_OTHER, no notice is longer, so that the block holds it wherever in it the cue stands.
 REACH = 1.25
 FOUND = "doc_id long, line_no long, license string, template int, saved double, covered double, differences array<string>"
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -56,19 +58,34 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def wording(template: list[str], block: list[str]) -> tuple[float, float, list[str]]:
-    """Part of the template's words in the block, other words among them, and all differences
-    from the first to the last common word."""
+def _aligned(template: list[str], block: list[str]) -> tuple[float, float, list[str], int]:
+    """wording(), and the place in the block of the first common word. Stray common words
+    far before or after the notice are left out."""
     same = [x for x in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if x.size]
+    best: tuple = (False, 0.0, 0.0), 0, -1
+    for i in range(len(same)):
+        had = other = 0
+        for j in range(i, len(same)):
+            other += same[j].b - same[j - 1].b - same[j - 1].size if j > i else 0
+            had += same[j].size
+            part, more = had / len(template), other / len(template)
+            best = max(best, ((part >= LEAST_WORDS and more <= MOST_OTHER, part - more, part), i, j), key=lambda x: x[0])
+    same = same[best[1] : best[2] + 1]
     if not same:
-        return 0.0, 1.0, []
+        return 0.0, 1.0, [], 0
     out = []
     for x, y in zip([None, *same], [*same, None]):
         left = template[x.a + x.size if x else 0 : y.a if y else len(template)]
         right = block[x.b + x.size : y.b] if x and y else []
         out += [f"-{w}" for w in left] + [f"+{w}" for w in right]
     other = sum(w[0] == "+" for w in out)
-    return sum(x.size for x in same) / len(template), other / len(template), out
+    return sum(x.size for x in same) / len(template), other / len(template), out, same[0].b
+
+
+def wording(template: list[str], block: list[str]) -> tuple[float, float, list[str]]:
+    """Part of the template's words in the block, other words among them, and all differences
+    from the first to the last common word."""
+    return _aligned(template, block)[:3]
 
 
 def scan(text: str | None) -> Iterator[tuple]:
@@ -76,33 +93,26 @@ def scan(text: str | None) -> Iterator[tuple]:
     plain, given, own, texts = _packers()
     if not text or not CUE.search(text):
         return
-    lines = text.split("\n")
-    reach = int(REACH * max(map(len, texts)))
-    for k, line in enumerate(lines):
-        if not CUE.search(line):
-            continue
-        blocks = [line]
-        if k + 1 < len(lines):  # a notice that goes on over lines
-            block, n = [], 0
-            for x in lines[k:]:
-                if n >= reach or not x.strip():
-                    break
-                block.append(x)
-                n += len(x.split())
-            blocks.append("\n".join(block))
-        best: dict[str, tuple] = {}
-        for block in dict.fromkeys(blocks):
-            raw = block.encode()
-            alone = len(plain.compress(raw))
-            ranked = sorted(((alone - len(given[t].compress(raw))) / own[t], -t) for t in range(len(TEMPLATES)))[::-1]
-            said = words(block)
-            for saved, t in [x for x in ranked if x[0] >= LEAST_SAVED][:CONFIRM]:
-                covered, other, differences = wording(texts[-t], said)
-                if covered >= LEAST_WORDS and other <= MOST_OTHER:
-                    name, was = TEMPLATES[-t][0], best.get(TEMPLATES[-t][0])
-                    if was is None or (covered * len(texts[-t]), saved) > (was[4] * len(texts[was[2]]), was[3]):
-                        best[name] = (k, name, -t, saved, covered, differences)
-        yield from best.values()
+    low = text.lower()
+    found = list(WORD.finditer(low))
+    starts, ends, said = [x.start() for x in found], [x.end() for x in found], [x[0] for x in found]
+    feeds = [x.start() for x in re.finditer("\n", low)]
+    best: dict[tuple, tuple] = {}
+    for cue in sorted({max(0, bisect_right(starts, m.start()) - 1) for m in CUE.finditer(low)}):
+        blocks = []
+        for t, template in enumerate(texts):
+            n = int(REACH * len(template))
+            lo, hi = max(0, cue - n), min(len(said), cue + 1 + n)
+            raw = " ".join(text[starts[lo] : ends[hi - 1]].split()).encode()
+            blocks.append(((len(plain.compress(raw)) - len(given[t].compress(raw))) / own[t], -t, lo, hi))
+        for saved, t, lo, hi in sorted(x for x in blocks if x[0] >= LEAST_SAVED)[: -CONFIRM - 1 : -1]:
+            covered, other, differences, at = _aligned(texts[-t], said[lo:hi])
+            if covered >= LEAST_WORDS and other <= MOST_OTHER:
+                name, k = TEMPLATES[-t][0], bisect_right(feeds, starts[lo + at])
+                was = best.get((k, name))
+                if was is None or (covered * len(texts[-t]), saved) > (was[4] * len(texts[was[2]]), was[3]):
+                    best[k, name] = (k, name, -t, saved, covered, differences)
+    yield from best.values()
 
 
 def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +130,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     docs has doc_id long and text string; other columns are ignored. Among several templates
     of one license the one with most words found is named, then the one that saves most.
     Null and empty texts have no notices; a null doc_id stays null; repeated rows give
-    repeated rows; no rows give no rows. Whole texts are searched; a block reaches from the
-    line with the cue over what the longest template could take.
+    repeated rows; no rows give no rows. Whole texts are searched, over line ends too: around
+    every cue, each template's block reaches as far to both sides as that template could take.
     """
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_scans, FOUND)
 
