@@ -221,7 +221,7 @@ def test_licenses(spark):
     assert licenses.wording(["a", "b", "c"], ["x", "a", "q", "c"]) == (2 / 3, 1 / 3, ["-b", "+q"])
 
 
-@pytest.mark.parametrize("template", [1, 2, 3, 4, 5, 6, 7, 11, 12])
+@pytest.mark.parametrize("template", range(len(licenses.TEMPLATES)))
 def test_licenses_on_long_lines(template):
     rng = random.Random(template)
     name, notice = licenses.TEMPLATES[template]
@@ -233,6 +233,21 @@ def test_licenses_on_long_lines(template):
     assert (1, name, 1.0) in [(x[0], x[1], x[4]) for x in over]
 
 
+def test_licenses_confirm_every_template():
+    named = lambda text: sorted(x[1] for x in licenses.scan(text))
+    assert named("Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0. All rights reserved.") == ["All-Rights-Reserved", "Apache-2.0", "CC-BY-NC-4.0"]
+    assert named("All Rights Reserved") == named("ALL RIGHTS RESERVED.") == named("Copyright 2021 The Example Authors. All rights reserved.") == ["All-Rights-Reserved"]
+    assert named("All rights\n\nreserved, but the license plate is free") == ["All-Rights-Reserved"]
+    for name, notice in licenses.TEMPLATES:
+        for text in (notice.upper(), f"Some ordinary words come before it. {notice.title()} And some come after it."):
+            assert name in named(text), text
+    assert sorted(set(named(" ".join(t for _, t in licenses.TEMPLATES)))) == sorted({x for x, _ in licenses.TEMPLATES})
+    words = licenses.TEMPLATES[1][1].split()
+    words[3:4], words[20:21] = ["given,"], []
+    two = " ".join(words)
+    assert named(f"free of charge {two}\n{two}") == ["MIT", "MIT"]
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [(1, "x")]).limit(0)
     items = spark.createDataFrame([], "item_id long, text string")

@@ -1,8 +1,9 @@
 """Operator 9: license scans by conditional compression.
 
 A block of words around each cue of licensing, sized for the template, is compressed
-alone and with the template as a Zstandard raw dictionary. Templates rank by how much of themselves the block saves; the
-best are confirmed by the exact differences in wording.
+alone and with the template as a Zstandard raw dictionary, all in lower case. Templates rank by how much of themselves the
+block saves. The saving leaves none out: every template is confirmed by the exact
+differences in wording, but those of which too few words are in the block at all.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import functools
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -36,8 +38,6 @@ TEMPLATES = [
     ("All-Rights-Reserved", "All rights reserved."),
 ]
 CUE = re.compile(r"licen[cs]e|copyright|all\W+rights\W+reserved|permission\W+(?:is|to)\b|redistribut", re.I)
-#: The least part of a template's own compressed size that a block must save, and how many templates are then compared in words.
-LEAST_SAVED, CONFIRM = 0.4, 3
 #: The least part of a template's words, in order, in the block, and the most other words among them.
 LEAST_WORDS, MOST_OTHER = 0.9, 0.15
 #: Words before and after a cue that a block takes in, as a multiple of the template. With
@@ -50,8 +50,9 @@ WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 @functools.cache
 def _packers() -> tuple:
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-    given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
-    return plain, given, [len(plain.compress(t.encode())) for _, t in TEMPLATES], [words(t) for _, t in TEMPLATES]
+    lower = [t.lower().encode() for _, t in TEMPLATES]
+    given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in lower]
+    return plain, given, [len(plain.compress(t)) for t in lower], [words(t) for _, t in TEMPLATES]
 
 
 def words(text: str) -> list[str]:
@@ -91,6 +92,7 @@ def wording(template: list[str], block: list[str]) -> tuple[float, float, list[s
 def scan(text: str | None) -> Iterator[tuple]:
     """(line number, license, template, saved, covered, differences) of every line that begins a notice."""
     plain, given, own, texts = _packers()
+    kinds = [set(t) for t in texts]
     if not text or not CUE.search(text):
         return
     low = text.lower()
@@ -99,13 +101,17 @@ def scan(text: str | None) -> Iterator[tuple]:
     feeds = [x.start() for x in re.finditer("\n", low)]
     best: dict[tuple, tuple] = {}
     for cue in sorted({max(0, bisect_right(starts, m.start()) - 1) for m in CUE.finditer(low)}):
-        blocks = []
+        ranked = []
         for t, template in enumerate(texts):
             n = int(REACH * len(template))
             lo, hi = max(0, cue - n), min(len(said), cue + 1 + n)
-            raw = " ".join(text[starts[lo] : ends[hi - 1]].split()).encode()
-            blocks.append(((len(plain.compress(raw)) - len(given[t].compress(raw))) / own[t], -t, lo, hi))
-        for saved, t, lo, hi in sorted(x for x in blocks if x[0] >= LEAST_SAVED)[: -CONFIRM - 1 : -1]:
+            least = LEAST_WORDS * len(template)
+            # No alignment finds more words than both have, first by kind, then by number.
+            if sum(map(kinds[t].__contains__, said[lo:hi])) < least or (Counter(template) & Counter(said[lo:hi])).total() < least:
+                continue
+            raw = " ".join(low[starts[lo] : ends[hi - 1]].split()).encode()
+            ranked.append(((len(plain.compress(raw)) - len(given[t].compress(raw))) / own[t], -t, lo, hi))
+        for saved, t, lo, hi in sorted(ranked, reverse=True):
             covered, other, differences, at = _aligned(texts[-t], said[lo:hi])
             if covered >= LEAST_WORDS and other <= MOST_OTHER:
                 name, k = TEMPLATES[-t][0], bisect_right(feeds, starts[lo + at])
