@@ -131,6 +131,20 @@ def test_line_dedup(spark):
     assert by[12].n_dropped == 0  # within one document only
 
 
+@pytest.mark.parametrize("values", [6, 20])
+def test_line_dedup_fields_from_pools(spark, values):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name, city = [f"nam{x}" for x in letters[:values]], [f"cit{x}" for x in letters[:values]]
+    two = "This page was written by {} for the {} edition"
+    one = "This page was checked by an editor from the {} office"  # the same leaf but for its length
+    mixed = "This page was bought at {} and never seen a second time since"
+    other = "This page was sold off by {} to us before it closed down"  # two templates in one leaf
+    rows = [(values * i + j, "\n".join([two.format(a, b), one.format(b), (mixed if i % 2 else other).format(b)])) for i, a in enumerate(name) for j, b in enumerate(city)]
+    got = {r.doc_id: r for r in linededup.line_dedup(docs_of(spark, rows)).collect()}
+    assert got[0].n_dropped == 0 and sum(r.n_dropped for r in got.values()) == 3 * len(rows) - 4
+    assert got[values].text == mixed.format(city[0])
+
+
 def test_html():
     page = "<html><head><title>t</title><script>a</script></head><body><h1>Head</h1>a <b>b</b>c<p>one<p>two<br>three<ul><li>x<li>y<ol start=3><li>n</ol></ul><table><tr><th>Name<th>No</tr><td>long name<td>1</table><p hidden>no<p style='display:none'>no<pre>a\n  b</pre>&amp;"
     assert html.render(page) == "Head\n\na bc\n\none\n\ntwo\nthree\n\n- x\n- y\n  3. n\n\nName       No\nlong name  1\n\na\n  b\n\n&"

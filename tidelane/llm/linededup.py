@@ -1,9 +1,12 @@
 """Operator 3: line dedup by a log-template tree. DataFrame functions only.
 
 A line's leaf in the tree is its token count and its leading tokens, after tokens with
-digits have become variable fields. Within a leaf, a token that fewer than MIN_DOCS
-documents have at its position is a variable field too, as long as enough of the line
-stays constant. Lines of a template that recurs across documents go, but for the first.
+digits have become variable fields. Within a leaf, a token is a variable field too where
+it is in less than a half, a quarter, an eighth and so on of the leaf's documents, and at
+last in fewer than MIN_DOCS: the first of these shares at which enough of the line stays
+constant is taken. So lines of one template agree at CONSTANT_TENTHS of their positions,
+and lines that a smaller share unites stay together. Lines of a template that recurs
+across documents go, but for the first.
 """
 
 from __future__ import annotations
@@ -40,9 +43,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _generalised(docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(h1, h2, template, n_docs, first) of the distinct lines that share a leaf with others,
-    where not all recur as they stand."""
-    leaves = contents.groupBy("leaf").agg(F.count("*").alias("k"), F.count_if(F.col("n_docs") < MIN_DOCS).alias("rare")).filter("k > 1 AND rare > 0")
+    """(h1, h2, template, n_docs, first) of the distinct lines that share a leaf with others.
+    Two lines that both recur as they stand stay apart: one has half of the documents."""
+    leaves = contents.groupBy("leaf").agg(F.count("*").alias("k"), F.count_if(F.col("n_docs") < MIN_DOCS).alias("rare")).filter("k > 2 OR k > 1 AND rare > 0")
     shared = contents.join(small(cut(leaves.select("leaf"))), "leaf")
     wanted = shared.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("key")).agg(
         F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2", "leaf", "n_docs", "first")).alias("want")
@@ -54,15 +57,17 @@ def _generalised(docs: DataFrame, contents: DataFrame) -> DataFrame:
     found = cut(found.select("x.w.*", F.col("x.line").alias("line")).withColumn("tokens", tokens_of("line")).drop("line", "line_no"))
 
     token = found.select("h1", "h2", "leaf", "n_docs", F.posexplode("tokens").alias("pos", "token"))
-    often = token.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= MIN_DOCS).withColumn("often", F.lit(True)).drop("n")
-    constant = (F.col("token") != FIELD) & (F.coalesce("often", F.lit(False)) | (F.col("pos") < DEPTH))
-    general = token.join(often, ["leaf", "pos", "token"], "left").groupBy("h1", "h2").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.when(constant, F.col("token")).otherwise(F.lit(FIELD)).alias("t")))).alias("parts"), F.count_if(constant).alias("kept")
-    )
+    often = token.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    total = small(found.groupBy("leaf").agg(F.sum("n_docs").alias("total")))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("n", F.lit(0)).alias("n"))))
+    general = token.join(often, ["leaf", "pos", "token"], "left").groupBy("h1", "h2", "leaf").agg(parts.alias("parts")).join(total, "leaf")
+    constant = f"p.token != '{FIELD}' AND (p.pos < {DEPTH} OR p.n >= share)"
+    shares = f"transform(sequence(1, greatest(1, int(ceil(log2(total))) - 1)), e -> greatest(double({MIN_DOCS}), total / pow(2, e)))"
+    general = general.withColumn("share", F.expr(f"get(filter({shares}, share -> 10 * size(filter(parts, p -> {constant})) >= {CONSTANT_TENTHS} * size(parts)), 0)"))
+    said = F.expr(f"transform(parts, p -> CASE WHEN {constant} THEN p.token ELSE '{FIELD}' END)")
     own = F.struct(F.col("h1").alias("a"), F.col("h2").alias("b"))
-    parts = F.col("parts.t")
-    template = F.when(10 * F.col("kept") >= CONSTANT_TENTHS * F.size("parts"), F.struct(F.xxhash64("leaf", parts).alias("a"), F.xxhash64(F.lit(7), parts).alias("b"))).otherwise(own)
-    return found.drop("tokens").join(general, ["h1", "h2"]).select("h1", "h2", template.alias("template"), "n_docs", "first")
+    template = F.when(F.col("share").isNull(), own).otherwise(F.struct(F.xxhash64("leaf", said).alias("a"), F.xxhash64(F.lit(7), said).alias("b")))
+    return found.drop("tokens").join(general.select("h1", "h2", template.alias("template")), ["h1", "h2"]).select("h1", "h2", "template", "n_docs", "first")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
