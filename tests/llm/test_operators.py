@@ -145,6 +145,14 @@ def test_line_dedup_fields_from_pools(spark, values):
     assert got[values].text == mixed.format(city[0])
 
 
+def test_line_dedup_counts_documents(spark):
+    form = "The quick brown fox jumps over {}"
+    alone = [(1, form.format("Xyz") + "\n" + form.format("Abc")), (2, "other words that nothing else repeats\nother words that no one repeats")]
+    rows = [*alone, (3, "lines of a list of {0} here\nlines of a list of {1} here".format("this", "that")), (4, "lines of a list of those here")]
+    for some, dropped in ((alone, {1: 0, 2: 0}), (rows, {1: 0, 2: 0, 3: 1, 4: 1})):
+        assert {r.doc_id: r.n_dropped for r in linededup.line_dedup(docs_of(spark, [*some, *some])).collect()} == dropped
+
+
 def test_html():
     page = "<html><head><title>t</title><script>a</script></head><body><h1>Head</h1>a <b>b</b>c<p>one<p>two<br>three<ul><li>x<li>y<ol start=3><li>n</ol></ul><table><tr><th>Name<th>No</tr><td>long name<td>1</table><p hidden>no<p style='display:none'>no<pre>a\n  b</pre>&amp;"
     assert html.render(page) == "Head\n\na bc\n\none\n\ntwo\nthree\n\n- x\n- y\n  3. n\n\nName       No\nlong name  1\n\na\n  b\n\n&"

@@ -42,8 +42,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select(*ID, "line_no", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("h2"), leaf.alias("leaf"))
 
 
-def _generalised(docs: DataFrame, contents: DataFrame) -> DataFrame:
-    """(h1, h2, template, n_docs, first) of the distinct lines that share a leaf with others.
+def _twice(several: DataFrame, *by: str) -> DataFrame:
+    """(by, n): less than 0; added to the sum of n_docs it gives the number of documents."""
+    return several.groupBy(*by, *ID).agg((1 - F.count("*")).alias("n")).filter("n < 0").groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+def _generalised(docs: DataFrame, lines: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h1, h2, template, n_docs, first) of the distinct lines that share a leaf with others,
+    and (template, n) that corrects the sum of n_docs where a document has several of them.
     Two lines that both recur as they stand stay apart: one has half of the documents."""
     leaves = contents.groupBy("leaf").agg(F.count("*").alias("k"), F.count_if(F.col("n_docs") < MIN_DOCS).alias("rare")).filter("k > 2 OR k > 1 AND rare > 0")
     shared = contents.join(small(cut(leaves.select("leaf"))), "leaf")
@@ -56,9 +62,17 @@ def _generalised(docs: DataFrame, contents: DataFrame) -> DataFrame:
     found = found.withColumn("lines", F.split("text", "\n")).select(F.explode(F.expr("transform(want, w -> struct(w, element_at(lines, w.line_no + 1) AS line))")).alias("x"))
     found = cut(found.select("x.w.*", F.col("x.line").alias("line")).withColumn("tokens", tokens_of("line")).drop("line", "line_no"))
 
+    # Only a document with several distinct lines in one leaf can be counted twice.
+    own = lines.join(small(found.select("h1", "h2")), ["h1", "h2"]).select("h1", "h2", "leaf", *ID).distinct()
+    several = own.groupBy("leaf", *ID).agg(F.collect_list(F.struct("h1", "h2")).alias("of")).filter(F.size("of") > 1)
+    several = cut(several.select("leaf", *ID, F.explode("of").alias("of")).select("of.*", "leaf", *ID))
+
     token = found.select("h1", "h2", "leaf", "n_docs", F.posexplode("tokens").alias("pos", "token"))
-    often = token.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("n")).filter(F.col("n") >= MIN_DOCS)
-    total = small(found.groupBy("leaf").agg(F.sum("n_docs").alias("total")))
+    again = several.join(found.select("h1", "h2", "tokens"), ["h1", "h2"]).select("leaf", *ID, F.posexplode("tokens").alias("pos", "token"))
+    often = token.select("leaf", "pos", "token", F.col("n_docs").alias("n")).union(_twice(again, "leaf", "pos", "token"))
+    often = often.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    total = found.select("leaf", F.col("n_docs").alias("n")).union(_twice(several, "leaf"))
+    total = small(total.groupBy("leaf").agg(F.sum("n").alias("total")))
     parts = F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("n", F.lit(0)).alias("n"))))
     general = token.join(often, ["leaf", "pos", "token"], "left").groupBy("h1", "h2", "leaf").agg(parts.alias("parts")).join(total, "leaf")
     constant = f"p.token != '{FIELD}' AND (p.pos < {DEPTH} OR p.n >= share)"
@@ -67,7 +81,8 @@ def _generalised(docs: DataFrame, contents: DataFrame) -> DataFrame:
     said = F.expr(f"transform(parts, p -> CASE WHEN {constant} THEN p.token ELSE '{FIELD}' END)")
     own = F.struct(F.col("h1").alias("a"), F.col("h2").alias("b"))
     template = F.when(F.col("share").isNull(), own).otherwise(F.struct(F.xxhash64("leaf", said).alias("a"), F.xxhash64(F.lit(7), said).alias("b")))
-    return found.drop("tokens").join(general.select("h1", "h2", template.alias("template")), ["h1", "h2"]).select("h1", "h2", "template", "n_docs", "first")
+    general = cut(found.drop("tokens").join(general.select("h1", "h2", template.alias("template")), ["h1", "h2"]).select("h1", "h2", "template", "n_docs", "first"))
+    return general, _twice(several.join(general.select("h1", "h2", "template"), ["h1", "h2"]), "template")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -76,8 +91,9 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     lines = cut(_lines(docs))
     here = lines.groupBy("h1", "h2", "leaf", *ID).agg(F.min("line_no").alias("line_no"))
     contents = cut(here.groupBy("h1", "h2", "leaf").agg(F.count("*").alias("n_docs"), F.min(F.struct(*ID, "line_no")).alias("first")))
-    general = cut(_generalised(docs, contents))
-    over = general.groupBy("template").agg(F.sum("n_docs").alias("n"), F.min("first").alias("top")).filter(F.col("n") >= MIN_DOCS)
+    general, twice = _generalised(docs, lines, contents)
+    over = general.select("template", F.col("n_docs").alias("n"), "first").unionByName(twice, allowMissingColumns=True)
+    over = over.groupBy("template").agg(F.sum("n").alias("n"), F.min("first").alias("top")).filter(F.col("n") >= MIN_DOCS)
     as_templates = general.join(over, "template").select("h1", "h2", F.col("top").alias("first"))
     as_they_stand = contents.filter(F.col("n_docs") >= MIN_DOCS).join(general.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", "first")
     gone = small(cut(as_templates.union(as_they_stand)))
@@ -92,7 +108,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Lines are what newlines separate. The first line of a template, by doc_id (nulls
     first) and line number, stays. Lines of fewer than five tokens stay. A null text stays
     null and has no lines. Repeated rows count as one document and get the same answer;
-    rows with equal doc_id and other texts are different documents. Empty tables give no rows.
+    rows with equal doc_id and other texts are different documents. A template recurs when
+    it is in two different documents, however many of its lines one has. Empty tables give no rows.
     A column of docs named n_lines or n_dropped is replaced; other names never clash.
     """
     docs = docs.drop("n_lines", "n_dropped")
