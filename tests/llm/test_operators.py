@@ -162,6 +162,19 @@ def test_html():
     assert html.render("a</p></nothing>b") == "ab"
 
 
+def test_html_shows_all_visible_text():
+    assert html.render("<head><title>t</title><body>Hello <b>all</b><br>more") == "Hello all\nmore"
+    assert html.render("<html><head><meta charset=x><title>t</title>\n<b>bold</b> text") == "bold text"
+    assert html.render("<head><style>a</style> <script>b</script>plain") == "plain"
+    assert html.render("<p style='color:red; backface-visibility: hidden'>seen<p style='--display:none'>too") == "seen\n\ntoo"
+    for style in ("color:red;display : none", "VISIBILITY:hidden!important", "/* x */ display:none", "content-visibility: hidden"):
+        assert html.render(f'a<p style="{style}">no') == "a"
+    assert html.render("a <svg><title>t</title><defs/><defs><text>no</text></defs>stray<g display=none><text>no</text></g><path d='x'/><text>one <tspan>label</tspan></text><text>two</text></svg> b") == "a\none label\ntwo\nb"
+    assert html.render("<svg><foreignObject><p>in</p></foreignObject></svg>") == "in"
+    assert html.render("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>no</annotation></semantics></math> holds") == "so x=1 holds"
+    assert html.render("<object data=x><param name=y>instead <i>this</i></object>") == "instead this"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert Counter(map(tuple, html.extract_text(pages).collect())) == {(1, "u", "x"): 2, (None, None, ""): 1}

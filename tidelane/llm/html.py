@@ -19,7 +19,10 @@ from tidelane.llm.common import table
 # start a block, and which open elements a start tag closes (up to the named boundary).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template".split())
-HIDDEN = set("head script style title template noscript iframe noembed noframes datalist audio video canvas object svg math".split())
+HIDDEN = set("head script style title template noscript iframe noembed noframes datalist audio video canvas".split())
+#: What a head may hold; any other tag, and text, begins the body. Parts of SVG and MathML that only define or describe.
+IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template".split())
+FOREIGN_HIDDEN = set("defs symbol clippath mask pattern marker lineargradient radialgradient filter metadata desc annotation annotation-xml mphantom".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure hr fieldset".split())
 BLOCK = SPACED | set("html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main nav search section summary tr td th caption thead tbody tfoot option optgroup select".split())
 CELLS, ROWS = {"td", "th"}, {"thead", "tbody", "tfoot"}
@@ -34,14 +37,16 @@ CLOSES = (
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+INVISIBLE = re.compile(r"(?:^|;|\*/)\s*(?:display\s*:\s*none|(?:content-)?visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "foreign", "tag")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", foreign: str = ""):
         self.tag, self.attributes, self.children = tag, attributes, []
+        #: "svg" (where text isn't drawn), "text" inside of its text elements, "math", or "".
+        self.foreign = tag if tag in ("svg", "math") or tag == "text" and foreign else "" if tag == "foreignobject" else foreign
 
     def get(self, name: str) -> str | None:
         for k, *v in ATTRIBUTE.findall(self.attributes):
@@ -50,12 +55,14 @@ class Node:
         return None
 
     def visible(self) -> bool:
-        if self.tag in HIDDEN:
+        if self.tag in HIDDEN or self.foreign and self.tag in FOREIGN_HIDDEN:
             return False
         if not self.attributes:
             return True
         if self.get("hidden") is not None or self.tag == "input" or self.tag == "dialog" and self.get("open") is None:
             return False
+        if self.foreign and (self.get("display") == "none" or self.get("visibility") in ("hidden", "collapse")):
+            return False
         return not INVISIBLE.search(self.get("style") or "")
 
 
@@ -64,8 +71,14 @@ def build(html: str) -> Node:
     root = Node("html")
     stack, at = [root], 0
 
+    def body() -> None:
+        if len(stack) > 1 and stack[1].tag == "head":
+            del stack[1:]
+
     def text(raw: str) -> None:
-        if raw:
+        if raw and not raw.isspace():
+            body()
+        if raw and stack[-1].foreign != "svg":
             stack[-1].children.append(raw)
 
     while m := TAG.search(html, at):
@@ -83,10 +96,10 @@ def build(html: str) -> Node:
                 if stack[k].tag in bound:
                     break
             continue
+        if tag == "body" or tag not in IN_HEAD | {"html", "head"}:
+            body()
         if tag in ("html", "body"):
             continue
-        if tag != "head" and len(stack) > 1 and stack[1].tag == "head" and tag in BLOCK:
-            del stack[1:]  # the body begins
         closes, bound = CLOSES.get(tag, ((), ()))
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in closes:
@@ -96,13 +109,13 @@ def build(html: str) -> Node:
         if tag in CELLS and stack[-1].tag in ROWS | {"table"}:
             stack[-1].children.append(Node("tr"))
             stack.append(stack[-1].children[-1])
-        node = Node(tag, m[3])
+        node = Node(tag, m[3], stack[-1].foreign)
         stack[-1].children.append(node)
-        if tag in RAW:
+        if tag in RAW and not (node.foreign and m[3].endswith("/")):
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             node.children.append(html[at : end.start() if end else len(html)])
             at = end.end() if end else len(html)
-        elif tag not in VOID:
+        elif tag not in VOID and not (node.foreign and m[3].endswith("/")):
             stack.append(node)
     text(unescape(html[at:]))
     return root
@@ -170,7 +183,7 @@ def render(html: str | None) -> str:
             walk += [(x, True) for x in reversed(node.children)]
             if tag == "br":
                 page.breaks, page.space = page.breaks + 1 if page.parts else 0, False
-            elif tag in BLOCK:
+            elif tag in BLOCK or node.foreign and tag == "text":
                 page.rest(2 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu")) else 1)
             if tag in ("ul", "ol", "menu"):
                 start = node.get("start") or "" if tag == "ol" else None
@@ -212,7 +225,7 @@ def render(html: str | None) -> str:
             elif grids and tag in CELLS:
                 cell, page = page, pages.pop()
                 grids[-1][-1].append(cell.text().strip("\n"))
-            if tag in BLOCK:
+            if tag in BLOCK or node.foreign and tag == "text":
                 page.rest(2 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu")) else 1)
     return page.text()
 
