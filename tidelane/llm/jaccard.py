@@ -30,7 +30,7 @@ STEP, TOLERANCE = 16, 1e-9
 #: Members of a family in a block; a larger family is compared block by block, in as many tasks.
 MEMBERS = 256
 #: Members of small families that one task group takes together.
-GROUP = 2000
+GROUP = 400
 
 _FACTORS = (mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -192,7 +192,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     sketch = cut(docs.mapInArrow(_sketch, SKETCH))
     classes = sketch.filter("sa is not null").groupBy("sa", "sb").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
     bands = sketch.select("sa", F.explode("bands").alias("band"))
-    shared = cut(bands.groupBy("band").agg(F.min("sa").alias("low"), F.max("sa").alias("high")).filter("low < high").select("band", "low"))
+    shared = bands.groupBy("band").agg(F.min("sa").alias("low"), F.max("sa").alias("high")).filter("low < high").select("band", "low")
     near = bands.join(small(shared), "band").filter("sa != low").select(F.col("sa").alias("a"), F.col("low").alias("b"))
     family = connected_components(near)
     members = cut(classes.join(family.select(F.col("node").alias("sa"), F.col("root").alias("family")), "sa"))
