@@ -3,7 +3,8 @@
 A block of words around each cue of licensing, sized for the template, is compressed
 alone and with the template as a Zstandard raw dictionary, all in lower case. Templates rank by how much of themselves the
 block saves. The saving leaves none out: every template is confirmed by the exact
-differences in wording, but those of which too few words are in the block at all.
+differences in wording, but those of which too few words are in the block at all. A
+difference in a word that tells licenses apart, or a denial, decides against a template.
 """
 
 from __future__ import annotations
@@ -27,17 +28,42 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
     ("All-Rights-Reserved", "All rights reserved."),
 ]
-CUE = re.compile(r"licen[cs]e|copyright|all\W+rights\W+reserved|permission\W+(?:is|to)\b|redistribut", re.I)
+for _name, _kind, _versions in (("GPL", "", ("2", "3")), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",))):
+    for _v in _versions:
+        _of = f"GNU {_kind}General Public License"
+        TEMPLATES += [
+            (f"{_name}-{_v if '.' in _v else _v + '.0'}", f"This work is licensed under the {_of}, version {_v}."),
+            (f"{_name}-{_v if '.' in _v else _v + '.0'}", f"Licensed under the {_of}, version {_v}."),
+            (f"{_name}-{_v if '.' in _v else _v + '.0'}", f"This program is free software: you can redistribute it and/or modify it under the terms of the {_of} as published by the Free Software Foundation, either version {_v} of the License, or (at your option) any later version."),
+        ]
+for _parts in (("BY",), ("BY", "SA"), ("BY", "NC"), ("BY", "ND"), ("BY", "NC", "SA"), ("BY", "NC", "ND")):
+    _long = "-".join({"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}[x] for x in _parts)
+    for _v in ("3.0", "4.0"):
+        TEMPLATES += [
+            (f"CC-{'-'.join(_parts)}-{_v}", f"Licensed under CC {'-'.join(_parts)} {_v}."),
+            (f"CC-{'-'.join(_parts)}-{_v}", f"This work is licensed under a Creative Commons {_long} {_v} International License."),
+        ]
+#: Words that tell one license from another; a number does so too.
+TELLING = set("lesser library affero not no non never without mit apache bsd mozilla eclipse boost cc0 unencumbered gnu attribution sa nc nd sharealike noncommercial commercial noderivatives noderivs international zero proprietary confidential".split())
+DENIALS = set("not no never neither nor cannot isn't aren't wasn't don't doesn't without unless".split())
+#: Words before a notice in which a denial takes it back.
+DENIED = 2
+CUE = re.compile(r"licen[cs]e|copyright|all\W+rights\W+reserved|permission\W+(?:is|to)\b|redistribut|public\W+domain|endorse\W+or\W+promote", re.I)
 #: The least part of a template's words, in order, in the block, and the most other words among them.
 LEAST_WORDS, MOST_OTHER = 0.9, 0.15
 #: Words before and after a cue that a block takes in, as a multiple of the template. With
@@ -89,6 +115,28 @@ def wording(template: list[str], block: list[str]) -> tuple[float, float, list[s
     return _aligned(template, block)[:3]
 
 
+def telling(template: list[str], differences: list[str]) -> bool:
+    """Whether a difference makes it another license: a missing number, or a telling word too
+    few or too many; a number too many only where the template has numbers. Parts of
+    compounds (BY-NC) count."""
+    numbered = any(any(c.isdigit() for c in w) for w in template)
+    for d in differences:
+        parts = [d[1:], *re.split(r"[-']", d[1:])]
+        if any(w in TELLING for w in parts) or any(c.isdigit() for c in d) and (d[0] == "-" or numbered):
+            return True
+    return False
+
+
+def accepted(template: list[str], block: list[str]) -> tuple[float, list[str], int] | None:
+    """Covered part, differences and place of the template in the block, if its wording is there."""
+    covered, other, differences, at = _aligned(template, block)
+    if covered < LEAST_WORDS or other > MOST_OTHER or telling(template, differences):
+        return None
+    if DENIALS & set(block[max(0, at - DENIED) : at]) and not DENIALS & set(template[:1]):
+        return None
+    return covered, differences, at
+
+
 def scan(text: str | None) -> Iterator[tuple]:
     """(line number, license, template, saved, covered, differences) of every line that begins a notice."""
     plain, given, own, texts = _packers()
@@ -112,8 +160,8 @@ def scan(text: str | None) -> Iterator[tuple]:
             raw = " ".join(low[starts[lo] : ends[hi - 1]].split()).encode()
             ranked.append(((len(plain.compress(raw)) - len(given[t].compress(raw))) / own[t], -t, lo, hi))
         for saved, t, lo, hi in sorted(ranked, reverse=True):
-            covered, other, differences, at = _aligned(texts[-t], said[lo:hi])
-            if covered >= LEAST_WORDS and other <= MOST_OTHER:
+            if confirmed := accepted(texts[-t], said[lo:hi]):
+                covered, differences, at = confirmed
                 name, k = TEMPLATES[-t][0], bisect_right(feeds, starts[lo + at])
                 was = best.get((k, name))
                 if was is None or (covered * len(texts[-t]), saved) > (was[4] * len(texts[was[2]]), was[3]):
