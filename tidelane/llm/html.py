@@ -7,6 +7,8 @@ text, with the spacing of blocks, list markers and tables in aligned columns.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,7 +39,12 @@ CLOSES = (
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-INVISIBLE = re.compile(r"(?:^|;|\*/)\s*(?:display\s*:\s*none|(?:content-)?visibility\s*:\s*(?:hidden|collapse))(?![\w-])", re.I)
+GONE = re.compile(r"(?:^|;|\*/)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)(?![\w-])", re.I)
+SHOWN = re.compile(r"(?:^|;|\*/)\s*visibility\s*:\s*(hidden|collapse|visible)(?![\w-])", re.I)
+#: Fixed values of the standard: the most columns and rows that a cell may span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Tables within so many others are laid out as blocks: each level of cells is laid out again by those around it.
+MOST_TABLES, FLAT = 20, "table laid out as blocks"
 
 
 class Node:
@@ -54,26 +61,64 @@ class Node:
                 return unescape("".join(v))
         return None
 
-    def visible(self) -> bool:
+    def present(self) -> bool:
+        """Whether it, or what it holds, can be seen at all."""
         if self.tag in HIDDEN or self.foreign and self.tag in FOREIGN_HIDDEN:
             return False
         if not self.attributes:
             return True
         if self.get("hidden") is not None or self.tag == "input" or self.tag == "dialog" and self.get("open") is None:
             return False
-        if self.foreign and (self.get("display") == "none" or self.get("visibility") in ("hidden", "collapse")):
+        if self.foreign and self.get("display") == "none":
             return False
-        return not INVISIBLE.search(self.get("style") or "")
+        return not GONE.search(self.get("style") or "")
+
+    def shown(self, around: bool) -> bool:
+        """Whether its text is drawn; an element may be visible within a hidden one that takes up its space."""
+        if not self.attributes:
+            return around
+        said = SHOWN.findall(self.get("style") or "") or [self.get("visibility") or ""] * bool(self.foreign)
+        return said[-1].lower() == "visible" if said and said[-1] else around
+
+    def span(self, name: str, most: int) -> int:
+        n = self.get(name) or ""
+        return max(1, min(most, int(n))) if re.fullmatch(r"\s*[0-9]{1,9}\s*", n) else 1
+
+
+class Open:
+    """The open elements, and for each tag where in the stack it stands, so that neither end
+    tags nor implied ones search the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, k: int) -> None:
+        for node in reversed(self.stack[k:]):
+            self.at[node.tag].pop()
+        del self.stack[k:]
+
+    def last(self, tags) -> int:
+        """Place of the innermost element with one of the tags; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def first_after(self, tags, k: int) -> int:
+        """Place of the outermost element with one of the tags that stands after place k; 0 if there is none."""
+        return min((own[i] for t in tags if (own := self.at.get(t)) and (i := bisect_right(own, k)) < len(own)), default=0)
 
 
 def build(html: str) -> Node:
     """The tree, with implied end tags, and implied rows in tables. Unknown end tags are passed over."""
-    root = Node("html")
-    stack, at = [root], 0
+    root, at = Node("html"), 0
+    open_ = Open(root)
+    stack = open_.stack
 
     def body() -> None:
         if len(stack) > 1 and stack[1].tag == "head":
-            del stack[1:]
+            open_.close(1)
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
@@ -88,27 +133,21 @@ def build(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            bound = {"table"} if tag not in CELLS | ROWS | {"table", "caption"} else set()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in bound:
-                    break
+            bound = ("table",) if tag not in CELLS | ROWS | {"table", "caption"} else ()
+            k = open_.last((tag,))
+            if k and k > open_.last(bound):
+                open_.close(k)
             continue
         if tag == "body" or tag not in IN_HEAD | {"html", "head"}:
             body()
         if tag in ("html", "body"):
             continue
         closes, bound = CLOSES.get(tag, ((), ()))
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in closes:
-                del stack[k:]
-            elif stack[k].tag in bound:
-                break
+        if k := open_.first_after(closes, open_.last(bound)):
+            open_.close(k)
         if tag in CELLS and stack[-1].tag in ROWS | {"table"}:
             stack[-1].children.append(Node("tr"))
-            stack.append(stack[-1].children[-1])
+            open_.push(stack[-1].children[-1])
         node = Node(tag, m[3], stack[-1].foreign)
         stack[-1].children.append(node)
         if tag in RAW and not (node.foreign and m[3].endswith("/")):
@@ -116,7 +155,7 @@ def build(html: str) -> Node:
             node.children.append(html[at : end.start() if end else len(html)])
             at = end.end() if end else len(html)
         elif tag not in VOID and not (node.foreign and m[3].endswith("/")):
-            stack.append(node)
+            open_.push(node)
     text(unescape(html[at:]))
     return root
 
@@ -147,43 +186,79 @@ class Page:
         return "".join(self.parts)
 
 
-def _grid(rows: list[list[str]]) -> str:
-    """Cells in columns as wide as their widest line, two spaces apart."""
-    width: list[int] = []
-    split = [[c.split("\n") for c in row] for row in rows]
-    for row in split:
-        width += [0] * (len(row) - len(width))
-        for k, cell in enumerate(row):
-            width[k] = max(width[k], *map(len, cell))
-    lines = []
-    for row in split:
-        for k in range(max(map(len, row), default=0)):
-            lines.append("  ".join((cell[k] if k < len(cell) else "").ljust(width[j]) for j, cell in enumerate(row)).rstrip())
-    return "\n".join(lines)
+Cell = tuple[str, int, int]  # text, columns and rows that it spans
+
+
+def _placed(rows: list[list[Cell]]) -> list[list[tuple[int, int, str]]]:
+    """(column, columns, text) of each row's own cells; cells that reach down from rows above
+    keep their columns. Columns in which no cell begins are left out."""
+    out, down = [], {}  # down: of a column that is taken from above, the first row and the next column that aren't
+    for r, row in enumerate(rows):
+        column, own = 0, []
+        for text, columns, deep in row:
+            while (taken := down.get(column, (0, 0)))[0] > r:
+                column = taken[1]
+            own.append((column, columns, text))
+            if deep > 1:
+                down |= dict.fromkeys(range(column, column + columns), (r + deep, column + columns))
+            column += columns
+        out.append(own)
+    begins = sorted({k for own in out for k, _, _ in own})
+    place = lambda k: bisect_left(begins, k)
+    return [[(place(k), max(1, place(k + n) - place(k)), text) for k, n, text in own] for own in out]
+
+
+def _grid(rows: list[list[Cell]]) -> str:
+    """Cells in columns as wide as their widest line, two spaces apart. A cell over several
+    columns widens the last of them if it has to; one over several rows stands in the first."""
+    split = [[(k, n, text.split("\n")) for k, n, text in own] for own in _placed(rows)]
+    width = [0] * max((k + n for own in split for k, n, _ in own), default=0)
+    for most in (False, True):
+        for own in split:
+            for k, n, lines in own:
+                if (n > 1) == most:
+                    width[k + n - 1] = max(width[k + n - 1], max(map(len, lines)) - (sum(width[k : k + n - 1]) + 2 * (n - 1)))
+    begin = [0]
+    for w in width:
+        begin.append(begin[-1] + w + 2)
+    out = []
+    for own in split:
+        for i in range(max((len(lines) for _, _, lines in own), default=0)):
+            line, n = [], 0
+            for k, _, lines in own:
+                if i < len(lines) and lines[i]:
+                    line += [" " * (begin[k] - n), lines[i]]
+                    n = begin[k] + len(lines[i])
+            out.append("".join(line).rstrip())
+    return "\n".join(out)
 
 
 def render(html: str | None) -> str:
     """All visible text of the page; the walk keeps its own stack, so depth is no limit."""
     page = Page()
     pages: list[Page] = []  # of the tables around, with their rows
-    grids: list[list[list[str]]] = []
+    grids: list[list[list[Cell]]] = []
     lists: list[list] = []  # [marker number or None] of the lists around
-    pre = 0
-    walk: list[tuple[object, bool]] = [(build(html or ""), True)]
+    pre = flat = 0
+    walk: list[tuple[object, bool, bool]] = [(build(html or ""), True, True)]
     while walk:
-        node, enter = walk.pop()
+        node, enter, drawn = walk.pop()
         if isinstance(node, str):
-            page.say(node, bool(pre))
+            if drawn:
+                page.say(node, bool(pre))
             continue
         tag = node.tag
         if enter:
-            if not node.visible():
+            if not node.present():
                 continue
-            walk.append((node, False))
-            walk += [(x, True) for x in reversed(node.children)]
+            drawn = node.shown(drawn)
+            if tag == "table" and len(grids) >= MOST_TABLES:
+                node.tag = tag = FLAT
+            walk.append((node, False, drawn))
+            walk += [(x, True, drawn) for x in reversed(node.children)]
             if tag == "br":
                 page.breaks, page.space = page.breaks + 1 if page.parts else 0, False
-            elif tag in BLOCK or node.foreign and tag == "text":
+            elif tag in BLOCK or tag == FLAT or node.foreign and tag == "text":
                 page.rest(2 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu")) else 1)
             if tag in ("ul", "ol", "menu"):
                 start = node.get("start") or "" if tag == "ol" else None
@@ -199,10 +274,13 @@ def render(html: str | None) -> str:
                 pre += 1
             elif tag == "table":
                 pages.append(page)
-                page, grids = Page(), [*grids, []]
-            elif grids and tag == "tr":
+                page = Page()
+                grids.append([])
+            elif tag == FLAT:
+                flat += 1
+            elif grids and tag == "tr" and not flat:
                 grids[-1].append([])
-            elif grids and tag in CELLS:
+            elif grids and tag in CELLS and not flat:
                 if not grids[-1]:
                     grids[-1].append([])
                 pages.append(page)
@@ -222,10 +300,12 @@ def render(html: str | None) -> str:
                     if part:
                         page.rest(2 if not outside.parts or part is not grid else 1)
                         page.say(part, True)
-            elif grids and tag in CELLS:
+            elif tag == FLAT:
+                flat -= 1
+            elif grids and tag in CELLS and not flat:
                 cell, page = page, pages.pop()
-                grids[-1][-1].append(cell.text().strip("\n"))
-            if tag in BLOCK or node.foreign and tag == "text":
+                grids[-1][-1].append((cell.text().strip("\n"), node.span("colspan", MOST_COLUMNS), node.span("rowspan", MOST_ROWS)))
+            if tag in BLOCK or tag == FLAT or node.foreign and tag == "text":
                 page.rest(2 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu")) else 1)
     return page.text()
 
