@@ -91,9 +91,9 @@ def test_split_sizes(spark):
 
 
 def test_text(spark):
-    one = spark.createDataFrame([("On 2024-05-01 ref AB12 The cat, a  hat! <answer> x </answer><answer>y</answer> it is 1,234",)], "t string")
+    one = spark.createDataFrame([("On 2024-05-01 ref AB12 id XY_901 The cat, a  hat! <answer> x </answer><answer>y</answer> it is 1,234",)], "t string")
     row = one.select(text.mask_entities(F.col("t")).alias("m"), text.normalize_answer(F.lit("The cat, a  hat!")).alias("n"), text.last_answer(F.col("t")).alias("a"), text.last_number(F.col("t")).alias("x")).first()
-    assert row.m.startswith("On <ENTITY> ref <ENTITY> The cat") and row.n == "cat hat" and row.a == "y" and row.x == "1234"
+    assert row.m.startswith("on <ENTITY> ref ab12 id <ENTITY> the cat") and row.n == "cat hat" and row.a == "y" and row.x == "1234"
 
 
 def test_retrieval_oddities(spark):

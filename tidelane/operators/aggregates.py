@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,18 +78,27 @@ def majority_vote(df: DataFrame, key: str, vote: str, value: str, order: str) ->
 
 
 def masked_stats(df: DataFrame, value: str, mask: str) -> DataFrame:
-    """Sum, mean (over the mask's sum plus 1e-8) and unbiased variance of masked values."""
+    """Sum, mean (over the mask's sum plus 1e-8) and unbiased variance of masked values. The
+    mean comes first, and then the squared distances from it."""
     m = F.col(mask).cast("double")
-    n, total, square = F.sum(m), F.sum(F.when(m != 0, F.col(value) * m)), F.sum(F.when(m != 0, F.col(value) * F.col(value) * m))
-    mean = total / (n + 1e-8)
-    return df.agg(total.alias("masked_sum"), mean.alias("masked_mean"), ((square / n - mean * mean) * n / (n - 1)).alias("masked_var"))
+    on = df.filter(m != 0)
+    first = on.agg(F.sum(F.col(value) * m).alias("masked_sum"), F.sum(m).alias("n_")).withColumn("masked_mean", F.col("masked_sum") / (F.col("n_") + 1e-8))
+    n, d = F.col("n_"), F.col(value) - F.col("masked_mean")
+    spread = on.crossJoin(F.broadcast(first)).agg(F.sum(d * d * m).alias("d_"))
+    return first.crossJoin(spread).select("masked_sum", "masked_mean", (F.col("d_") / n * n / (n - 1)).alias("masked_var"))
 
 
-def aggregate_loss(df: DataFrame, loss: str, mask: str, row: str, mode: str) -> DataFrame:
-    """One value: token-mean, seq-mean-token-sum or seq-mean-token-mean over tokens in long form."""
+def aggregate_loss(df: DataFrame, loss: str, mask: str, row: str, mode: str, scale: float | None = None) -> DataFrame:
+    """One value: token-mean, seq-mean-token-sum, seq-mean-token-sum-norm or seq-mean-token-mean
+    over tokens in long form. The norm divides the mean of the sequences' sums by `scale`, the
+    length that they are padded to."""
     m = F.col(mask).cast("double")
     if mode == "token-mean":
         return df.agg((F.sum(F.col(loss) * m) / F.sum(m)).alias("loss"))
+    if mode == "seq-mean-token-sum-norm":
+        if not scale:
+            raise ValueError("seq-mean-token-sum-norm needs a scale")
+        return aggregate_loss(df, loss, mask, row, "seq-mean-token-sum").select((F.col("loss") / scale).alias("loss"))
     total, n = F.sum(F.col(loss) * m), F.sum(m)
     per = {"seq-mean-token-sum": total, "seq-mean-token-mean": total / (n + 1e-8)}
     if mode not in per:
@@ -97,10 +107,30 @@ def aggregate_loss(df: DataFrame, loss: str, mask: str, row: str, mode: str) ->
     return rows.filter("n_ > 0").agg(F.avg("loss_").alias("loss"))
 
 
+def quantiles(df: DataFrame, value: str, keys: list[str], points: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation. Equal values are counted before the shuffle; a
+    group's distinct values are then sorted, and may spill, instead of being held in a buffer."""
+    w = Window.partitionBy(*keys, F.lit(0))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c_"))
+    upto = counts.withColumn("to_", F.sum("c_").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n_", F.sum("c_").over(w))
+    out = []
+    for name, p in points.items():
+        at = (F.col("n_") - 1) * F.lit(float(p))
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda k: F.max(F.when((F.col("to_") > k) & (F.col("to_") - F.col("c_") <= k), F.col(value).cast("double")))
+        part = F.max(at - low)
+        out.append((holds(low) + (holds(high) - holds(low)) * part).alias(name))
+    return upto.groupBy(*keys).agg(*out)
+
+
 def distribution(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Count, coverage, sum, mean, and exact median and 95th percentile with linear interpolation."""
-    at = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), (F.count(value) / F.count("*")).alias("coverage"), F.sum(value).alias("total"), F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    plain = df.groupBy(*keys).agg(F.count(value).alias("n"), (F.count(value) / F.count("*")).alias("coverage"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    ranks = quantiles(df, value, list(keys), {"p50": 0.5, "p95": 0.95})
+    if not keys:
+        return plain.join(ranks)
+    same = [F.col(f"{k}_k").eqNullSafe(F.col(k)) for k in keys]
+    return plain.join(ranks.withColumnsRenamed({k: f"{k}_k" for k in keys}), same, "left").drop(*(f"{k}_k" for k in keys))
 
 
 def reduce_metrics(df: DataFrame, name: str, value: str) -> DataFrame:
@@ -128,19 +158,29 @@ def association(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 def paired_bootstrap(pairs: DataFrame, resamples: int = 2000, confidence: float = 0.95, seed: int = 42, base: str = "baseline", new: str = "treatment") -> DataFrame:
-    """Mean difference of aligned tasks, its interval and a centred two-sided p-value, from
-    seeded resamples of tasks. Resamples are dealt over tasks of Spark; each reads the
-    differences, one number per evaluated task, that are bounded by the task list."""
-    differences = np.array([r[0] for r in pairs.select((F.col(new) - F.col(base)).alias("d")).filter("d is not null").orderBy("d").collect()])
-    if not len(differences):
-        raise ValueError("no task is in both")
+    """Mean difference of aligned tasks, its interval and a centred two-sided p-value.
 
-    def draw(parts):
+    A resample weighs every task by a Poisson number of mean 1, as drawing tasks with
+    replacement does where they are many, so that tasks never meet: each batch of them gives
+    its weighted sum and weights for all resamples, and Spark adds these up. Draws are
+    seeded by partition and batch.
+    """
+    differences = pairs.select((F.col(new) - F.col(base)).cast("double").alias("d")).filter("d is not null")
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for part in parts:
-            rows = [np.random.default_rng([seed, int(k)]).choice(differences, len(differences)).mean() for k in part["id"]]
-            yield pd.DataFrame({"mean": rows})
+            d = part["d"].to_numpy()
+            for at in range(0, len(d), 4096):
+                own = d[at : at + 4096]
+                weight = rng.poisson(1.0, (len(own), resamples))
+                yield pd.DataFrame({"id": np.arange(resamples), "total": own @ weight, "weight": weight.sum(axis=0).astype(float)})
 
-    spark, mean = pairs.sparkSession, float(differences.mean())
-    draws = spark.range(resamples).mapInPandas(draw, "mean double")
+    if differences.isEmpty():
+        raise ValueError("no task is in both")
+    mean = differences.agg(F.avg("d").alias("difference"))
+    draws = differences.mapInPandas(draw, "id long, total double, weight double").groupBy("id").agg((F.sum("total") / F.sum("weight")).alias("mean")).filter("mean is not null")
     tail = (1 - confidence) / 2
-    return draws.agg(F.lit(mean).alias("difference"), F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"), F.avg((F.abs(F.col("mean") - mean) >= abs(mean)).cast("double")).alias("p_value"))
+    seen = draws.crossJoin(F.broadcast(mean))
+    apart = F.abs(F.col("mean") - F.col("difference")) >= F.abs(F.col("difference"))
+    return seen.groupBy("difference").agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"), F.avg(apart.cast("double")).alias("p_value"))

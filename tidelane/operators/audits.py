@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators.sequences import borders, seeded_hash
+
 
 def task_buckets(trials: DataFrame, task: str = "task_id", success: str = "success", complete: str = "complete") -> DataFrame:
     """(task, trials, unresolved, successes, bucket, success_rate): stable_success, stable_failure,
@@ -43,14 +45,14 @@ def restore_mask(runs: str, length: str) -> Column:
 
 def fraction_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """Adds `held`: whether the key is among the given part, at least one and never all, that
-    come first by sha256(seed:key). Only that part is sorted, as a top-k; its last hash is the border."""
-    n = df.select(key).distinct().count()
+    come first by sha256(seed:key). Keys are compared with the last hash of that part."""
+    keys = df.select(key).distinct()
+    n = keys.count()
     if n < 2:
         raise ValueError("a split needs two or more keys")
     take = max(1, min(n - 1, round(n * fraction)))
-    rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
-    border = df.select(rank.alias("h_")).distinct().orderBy("h_").limit(take).agg(F.max("h_").alias("border_"))
-    return df.join(F.broadcast(border)).withColumn("held", rank <= F.col("border_")).drop("border_")
+    border = borders(keys.select(seeded_hash(key, seed).alias("hash_")), [take])
+    return df.crossJoin(F.broadcast(border)).withColumn("held", seeded_hash(key, seed) <= F.col("borders_")[0]).drop("borders_")
 
 
 def cyclic_schedule(pool: DataFrame, key: str, seed: int, groups: int, updates: int) -> DataFrame:

@@ -6,11 +6,13 @@ across rollouts is exploded into one row per turn or token and normalised by win
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelane.operators.aggregates import group_normalize
 from tidelane.operators.estimators import discounted_returns, whiten
+from tidelane.operators.scans import backward
 
 
 def turn_credit(rollouts: DataFrame, gamma: float = 0.9, outcome_weight: float = 0.3, uid: str = "uid", row: str = "row_id", rewards: str = "turn_rewards", outcome: str = "outcome") -> DataFrame:
@@ -32,9 +34,12 @@ def turn_credit(rollouts: DataFrame, gamma: float = 0.9, outcome_weight: float =
 def reset_returns(rewards: str, mask: str, gamma: float) -> Column:
     """Discounted returns whose running value is multiplied by the mask, so that it starts
     again before a masked position."""
-    cur = f"CAST(p.r + {gamma}D * a.last AS DOUBLE)"
-    pairs = f"zip_with(reverse({rewards}), reverse({mask}), (r, m) -> struct(r, m))"
-    return F.expr(f"reverse(aggregate({pairs}, struct(0D AS last, CAST(array() AS ARRAY<DOUBLE>) AS out), (a, p) -> struct(CAST({cur} * p.m AS DOUBLE) AS last, array_append(a.out, {cur}) AS out), a -> a.out))")
+
+    def step(now: list[np.ndarray], state: list[np.ndarray]) -> tuple:
+        value = now[0] + gamma * state[0]
+        return value, [value * now[1]]
+
+    return backward(step, 1, rewards, mask)
 
 
 def reinforce_plus_plus(rollouts: DataFrame, gamma: float = 1.0, row: str = "row_id", rewards: str = "rewards", mask: str = "mask") -> DataFrame:
@@ -58,8 +63,8 @@ def token_baseline(tokens: DataFrame, uid: str = "uid", row: str = "row_id", pos
     baseline. With zero_tail it is also 0 where the longest rollout goes on beyond the
     second longest. For turns on compacted tokens, number the valid ones first (`compact`).
     """
-    line = Window.partitionBy(uid, row).orderBy(pos)
-    to_go, so_far = line.rowsBetween(0, Window.unboundedFollowing), line.rowsBetween(Window.unboundedPreceding, 0)
+    line, past = Window.partitionBy(uid, row), (Window.unboundedPreceding, 0)
+    to_go, so_far = line.orderBy(F.desc(pos)).rowsBetween(*past), line.orderBy(pos).rowsBetween(*past)
     own = tokens.withColumns({"token_return": F.sum(F.col(reward) * F.col(mask)).over(to_go), "w_": F.sum(F.col(energy) * F.col(mask)).over(so_far)})
     lengths = tokens.groupBy(uid, row).agg(F.sum(mask).alias("len_"))
     ranked = lengths.groupBy(uid).agg(F.count("*").alias("n_"), F.slice(F.sort_array(F.collect_list("len_"), asc=False), 1, 2).alias("top_"))

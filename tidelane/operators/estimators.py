@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelane.operators.scans import backward
+
 EPSILON = 1e-6
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -33,13 +36,15 @@ def advantage(name: str, rollouts: DataFrame, **options) -> DataFrame:
 
 def whiten(df: DataFrame, value: str, weight: str, name: str = "advantage", shift_mean: bool = True) -> DataFrame:
     """Adds `name`: value less its weighted mean, over its weighted unbiased deviation, over
-    all of df. One row of sums is broadcast. Without shift_mean the mean is added again."""
+    all of df. The mean comes first and then the squared distances from it, which large means
+    don't cancel; each is one row, and broadcast. Without shift_mean the mean is added again."""
     v, w = F.col(value), F.col(weight)
-    sums = df.agg(F.sum(w).alias("n_"), F.sum(v * w).alias("t_"), F.sum(v * v * w).alias("q_"))
-    mean = F.col("t_") / F.col("n_")
-    whole = sums.select(mean.alias("mean_"), ((F.col("q_") / F.col("n_") - mean * mean) * F.col("n_") / (F.col("n_") - 1)).alias("var_"))
-    scaled = (v - F.col("mean_")) / F.sqrt(F.col("var_") + 1e-8)
-    return df.crossJoin(F.broadcast(whole)).withColumn(name, scaled if shift_mean else scaled + F.col("mean_")).drop("mean_", "var_")
+    mean = df.agg((F.sum(v * w) / F.sum(w)).alias("mean_"))
+    centred = df.crossJoin(F.broadcast(mean))
+    n, d = F.sum(w), v - F.col("mean_")
+    var = centred.agg((F.sum(d * d * w) / n * n / (n - 1)).alias("var_"))
+    scaled = d / F.sqrt(F.col("var_") + 1e-8)
+    return centred.crossJoin(F.broadcast(var)).withColumn(name, scaled if shift_mean else scaled + F.col("mean_")).drop("mean_", "var_")
 
 
 def _group(score: str, uid: str) -> tuple[Column, Column, Column]:
@@ -129,16 +134,38 @@ def step_advantage(steps: DataFrame, value: str = "value", anchor: str = "anchor
 def discounted_returns(rewards: str, gamma: float, mask: str | None = None) -> Column:
     """For each position of an array of rewards, its discounted sum to the end; outside the
     mask a position has, and passes on, the value of the next one."""
-    pairs = f"zip_with(reverse({rewards}), reverse({mask}), (r, m) -> struct(r, m))" if mask else f"transform(reverse({rewards}), r -> struct(r, 1 AS m))"
-    step = f"CAST(CASE WHEN p.m = 1 THEN p.r + {gamma}D * a.last ELSE a.last END AS DOUBLE)"
-    return F.expr(f"reverse(aggregate({pairs}, struct(0D AS last, CAST(array() AS ARRAY<DOUBLE>) AS out), (a, p) -> struct({step} AS last, array_append(a.out, {step}) AS out), a -> a.out))")
+
+    def step(now: list[np.ndarray], state: list[np.ndarray]) -> tuple:
+        value = now[0] + gamma * state[0]
+        value = np.where(now[1] == 1, value, state[0]) if mask else value
+        return value, [value]
+
+    return backward(step, 1, *([rewards, mask] if mask else [rewards]))
+
+
+def gae(rewards: str, values: str, gamma: float, lam: float, mask: str | None = None) -> Column:
+    """Generalised advantage estimates of one row's arrays of rewards and values; a masked
+    position has the estimate of the next valid one, and is passed over by those before it."""
+
+    def step(now: list[np.ndarray], state: list[np.ndarray]) -> tuple:
+        following, last = state
+        value = now[0] + gamma * following - now[1] + gamma * lam * last
+        if not mask:
+            return value, [now[1], value]
+        valid = now[2] == 1
+        value = np.where(valid, value, last)
+        return value, [np.where(valid, now[1], following), value]
+
+    return backward(step, 2, *([rewards, values, mask] if mask else [rewards, values]))
 
 
-def gae(rewards: str, values: str, gamma: float, lam: float) -> Column:
-    """Generalised advantage estimates of one row's arrays of rewards and values."""
-    pairs = f"zip_with(reverse({rewards}), reverse({values}), (r, v) -> struct(r, v))"
-    delta = f"CAST(p.r + {gamma}D * a.next - p.v + {gamma}D * {lam}D * a.last AS DOUBLE)"
-    return F.expr(f"reverse(aggregate({pairs}, struct(0D AS next, 0D AS last, CAST(array() AS ARRAY<DOUBLE>) AS out), (a, p) -> struct(CAST(p.v AS DOUBLE) AS next, {delta} AS last, array_append(a.out, {delta}) AS out), a -> a.out))")
+@register("gae")
+def gae_advantage(df: DataFrame, rewards: str = "rewards", values: str = "values", mask: str = "mask", gamma: float = 1.0, lam: float = 1.0, row: str = "row_id") -> DataFrame:
+    """(row, pos, return, advantage) for every token of rows of arrays: estimates whitened over
+    the valid tokens of all rows; the return is the estimate plus the value, before whitening."""
+    tokens = df.select(row, F.posexplode(F.arrays_zip(gae(rewards, values, gamma, lam, mask).alias("a"), F.col(values).alias("v"), F.col(mask).alias("m"))).alias("pos", "x"))
+    tokens = tokens.select(row, "pos", F.col("x.a").alias("a_"), (F.col("x.a") + F.col("x.v")).alias("return"), F.col("x.m").alias("m_"))
+    return whiten(tokens, "a_", "m_").select(row, "pos", "return", "advantage")
 
 
 def kl_penalty(kind: str, logp: str = "logp", ref: str = "ref") -> Column:

@@ -6,6 +6,7 @@ Every loss is one pass of expressions and aggregates that combine before the shu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,6 +88,11 @@ def cispo(logp: Column, old: Column, adv: Column, mean: Column, low: float = 0.2
     return -kept * adv * logp, ratio != kept, F.lit(False)
 
 
+@register("reinforce")
+def reinforce(logp: Column, old: Column, adv: Column, mean: Column) -> tuple:
+    return -adv * logp, F.lit(False), F.lit(False)
+
+
 #: Losses that single out tokens by the covariance of advantage and log-probability.
 BY_COVARIANCE = ("clip_cov", "kl_cov")
 #: Losses whose tokens are always averaged within their sequence first.
@@ -165,6 +171,89 @@ def kl_coefficients(updates: DataFrame, run: str, step: str, kl: str, n_steps: s
     return updates.withColumn("coefficient", start * F.product(factor).over(past) if adaptive else F.lit(start))
 
 
+def bypass_loss(tokens: DataFrame, kind: str = "ppo_clip", weights: dict | None = None, rejection: dict[str, str] | None = None, mode: str = "token-mean", row: str = "row_id") -> DataFrame:
+    """policy_loss where the old policy is the one that sampled: tokens that the rejection (options
+    with their thresholds) leaves out are masked first. `reinforce` multiplies by importance
+    weights (the options of importance_weights); in `ppo_clip` the ratio itself does that."""
+    if kind not in ("reinforce", "ppo_clip"):
+        raise ValueError(f"unknown kind {kind}; known: reinforce, ppo_clip")
+    known = importance_weights(tokens, row=row, **weights) if weights is not None and kind == "reinforce" else tokens
+    known = rejection_mask(known, rejection, row) if rejection else known
+    return policy_loss("vanilla" if kind == "ppo_clip" else kind, known, mode, row, weight="weight" if weights is not None and kind == "reinforce" else None)
+
+
+def entropy(logits: str) -> Column:
+    """Entropy of the distribution that an array of logits gives."""
+    top = F.array_max(logits)
+    shifted = F.transform(logits, lambda x: x - top)
+    total = F.aggregate(F.transform(shifted, F.exp), F.lit(0.0), lambda s, x: s + x)
+    return F.log(total) - F.aggregate(shifted, F.lit(0.0), lambda s, x: s + x * F.exp(x)) / total
+
+
+def entropy_loss(tokens: DataFrame, logits: str = "logits", mode: str = "token-mean", row: str = "row_id", mask: str = "mask") -> DataFrame:
+    """One row: the entropy of each token's distribution, aggregated like a loss."""
+    return aggregate_loss(tokens.withColumn("loss_t", entropy(logits)), "loss_t", mask, row, mode)
+
+
+def label_logp(logits: str, label: str) -> Column:
+    """Log-probability of the label (from 0) under an array of logits."""
+    top = F.array_max(logits)
+    return F.get(logits, F.col(label)) - top - F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+
+
+def sum_of_squares(logits: str) -> Column:
+    """Sum of the squared probabilities that an array of logits gives."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(2 * (x - top))) / (total * total)
+
+
+#: Divergences of a token, by the log-ratio, and what a sequence's tokens are summed up to.
+DIVERGENCES = {"k1": lambda d: -d, "k2": lambda d: 0.5 * d * d, "k3": lambda d: F.exp(d) - 1 - d}
+LEVELS = {"token": ("k1", "k2", "k3"), "seq_sum": ("k1", "k2", "k3"), "seq_mean": ("k1", "k2", "k3"), "seq_max": ("k2", "k3")}
+
+
+def rejection_options(options: dict[str, str | float]) -> dict[str, tuple[float | None, float]]:
+    """Lowest and highest value allowed for each option; k1 takes "low_high" bounds on the
+    ratio (a single one is the high one, and its inverse the low one), the others one bound."""
+    out = {}
+    for name, bound in options.items():
+        level, _, kind = name.rpartition("_")
+        if kind not in LEVELS.get(level, ()):
+            raise ValueError(f"unknown option {name}")
+        low, _, high = str(bound).rpartition("_")
+        if kind != "k1" and low:
+            raise ValueError(f"{name} takes one bound")
+        if float(high) <= 0 or low and not 0 < float(low) <= float(high):
+            raise ValueError(f"bounds of {name} aren't positive or not in order")
+        out[name] = (math.log(float(low) if low else 1 / float(high)), math.log(float(high))) if kind == "k1" else (None, float(high))
+    return out
+
+
+def rejection_mask(tokens: DataFrame, options: dict[str, str | float], row: str = "row_id") -> DataFrame:
+    """tokens with `mask` 0 wherever a divergence of the policies (log-ratio within ±20) is out
+    of its bounds: of the token itself, or the sum, mean or maximum of its sequence's valid
+    tokens. All options must pass."""
+    w, valid, m = Window.partitionBy(row), F.col("mask") > 0, F.col("mask").cast("double")
+    d = clamp(F.col("logp") - F.col("old"), -BOUND, BOUND)
+    keep = F.lit(True)
+    for name, (low, high) in rejection_options(options).items():
+        level, _, kind = name.rpartition("_")
+        x = DIVERGENCES[kind](d)
+        total = F.sum(x * m).over(w)
+        stat = {"token": x, "seq_sum": total, "seq_mean": total / (F.sum(m).over(w) + 1e-8), "seq_max": F.coalesce(F.max(F.when(valid, x)).over(w), F.lit(0.0))}[level]
+        keep = keep & (stat <= high) & (F.lit(True) if low is None else stat >= low)
+    return tokens.withColumn("mask", F.when(keep, F.col("mask")).otherwise(F.lit(0).cast(tokens.schema["mask"].dataType)))
+
+
+def rejected(before: DataFrame, after: DataFrame, row: str = "row_id", pos: str = "pos") -> DataFrame:
+    """One row: the part of the valid tokens that a mask left out, and of the rows in which it left out any."""
+    both = before.filter(F.col("mask") > 0).select(row, pos).join(after.select(row, pos, F.col("mask").alias("m_")), [row, pos])
+    rows = both.groupBy(row).agg(F.count("*").alias("n"), F.count_if(F.col("m_") == 0).alias("gone"))
+    total = before.agg(F.countDistinct(row).alias("rows"))
+    return rows.agg((F.sum("gone") / (F.sum("n") + 1e-8)).alias("masked_fraction"), F.count_if(F.col("gone") > 0).alias("hit_")).crossJoin(total).select("masked_fraction", (F.col("hit_") / F.col("rows")).alias("seq_masked_fraction"))
+
+
 def value_loss(tokens: DataFrame, clip: float, mode: str = "token-mean", row: str = "row_id") -> DataFrame:
     """One row: half the clipped squared error of `pred` against `target`, and the part of tokens it clips (old predictions in `value`)."""
     near = F.greatest(F.least(F.col("pred"), F.col("value") + clip), F.col("value") - clip)

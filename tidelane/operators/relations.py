@@ -90,11 +90,11 @@ def first_informative(df: DataFrame, uid: str, score: str, order: str, target: i
 
 def as_of_next(left: DataFrame, right: DataFrame, key: str, at: str, starts: str, value: str) -> DataFrame:
     """left with the first of right, in the same key, that starts at or after `at`.
-    One sort of both sides together; no pairs are made."""
+    One sort of both sides together, latest first, with a running value; no pairs are made."""
     a = left.select(*left.columns, F.col(at).alias("t_"), F.lit(None).cast(right.schema[value].dataType).alias("v_"), F.lit(None).cast(right.schema[starts].dataType).alias("s_"), F.lit(0).alias("side_"))
     b = right.select(*((F.col(key) if c == key else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in left.columns), F.col(starts).alias("t_"), F.col(value).alias("v_"), F.col(starts).alias("s_"), F.lit(1).alias("side_"))
-    ahead = Window.partitionBy(key).orderBy("t_", "side_", "v_").rowsBetween(0, Window.unboundedFollowing)
-    next_ = F.first(F.when(F.col("side_") == 1, F.struct("s_", "v_")), ignorenulls=True).over(ahead)
+    ahead = Window.partitionBy(key).orderBy(F.desc("t_"), F.desc("side_"), F.desc("v_")).rowsBetween(Window.unboundedPreceding, 0)
+    next_ = F.last(F.when(F.col("side_") == 1, F.struct("s_", "v_")), ignorenulls=True).over(ahead)
     return a.unionByName(b).withColumn("n_", next_).filter("side_ = 0").select(*left.columns, F.col("n_.s_").alias(f"next_{starts}"), F.col("n_.v_").alias(f"next_{value}"))
 
 

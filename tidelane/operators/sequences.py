@@ -38,24 +38,41 @@ def until_first(df: DataFrame, key: str, order: str, stop: Column) -> DataFrame:
     return df.withColumn("mask", (F.coalesce(F.sum(stop.cast("int")).over(w), F.lit(0)) == 0).cast("int"))
 
 
-def hash_rank_split(df: DataFrame, key: str, seed: int, sizes: dict[str, int], rest: str = "reserve") -> DataFrame:
-    """Adds `split`: rows in the order of sha256(seed:key) fill each named split to its size.
+#: Leading hexadecimal digits of a hash that make a bucket: buckets are counted before any row is ordered.
+DIGITS = 4
+
+
+def seeded_hash(key: str | Column, seed: int) -> Column:
+    return F.sha2(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")).cast("binary"), 256)
 
-    Only the sizes' total is ordered (a top-k, merged from the tasks), never the table;
-    the borders are then hashes that every row is compared with.
+
+def borders(hashes: DataFrame, edges: list[int], column: str = "hash_") -> DataFrame:
+    """One row, `borders_`: for each edge n the n-th least hash; "" for 0 and "~" beyond the last.
+
+    Running counts of at most 16**DIGITS buckets tell in which bucket an edge lies; only the
+    rows of that bucket are ordered.
     """
-    rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
-    total = sum(sizes.values())
-    hashed = df.withColumn("hash_", rank)
-    top = hashed.select("hash_").orderBy("hash_").limit(total).withColumn("n_", F.row_number().over(Window.orderBy("hash_")))
-    edge, borders = 0, []
-    for name, size in sizes.items():
+    prefixed = hashes.select(F.col(column).alias("h_"), F.substring(column, 1, DIGITS).alias("p_"))
+    counts = prefixed.groupBy("p_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).cast("long").alias("n")) for i, n in enumerate(edges)))).alias("e")
+    cut = counts.withColumn("before_", before).select("p_", "n_", "before_", asked).filter("e.n > before_ AND e.n <= before_ + n_").select("p_", F.col("e.i").alias("i_"), (F.col("e.n") - F.col("before_")).alias("k_"))
+    inside = prefixed.join(F.broadcast(cut.select("p_").distinct()), "p_").withColumn("r_", F.row_number().over(Window.partitionBy("p_").orderBy("h_")))
+    found = inside.join(F.broadcast(cut), "p_").filter("r_ = k_").agg(F.map_from_entries(F.collect_list(F.struct("i_", "h_"))).alias("m_"))
+    return found.select(F.array(*(F.coalesce(F.try_element_at("m_", F.lit(i)), F.lit("~" if n > 0 else "")) for i, n in enumerate(edges))).alias("borders_"))
+
+
+def hash_rank_split(df: DataFrame, key: str, seed: int, sizes: dict[str, int], rest: str = "reserve") -> DataFrame:
+    """Adds `split`: rows in the order of sha256(seed:key) fill each named split to its size.
+    Every row's hash is compared with the borders between splits; splits of any size are never ordered."""
+    hashed = df.withColumn("hash_", seeded_hash(key, seed))
+    named, edge, edges = F.lit(rest), 0, []
+    for size in sizes.values():
         edge += size
-        borders.append(F.max(F.when(F.col("n_") <= edge, F.col("hash_"))).alias(name))
-    named = F.lit(rest)
-    for name in reversed(sizes):
-        named = F.when(F.col("hash_") <= F.col(f"b_.{name}"), name).otherwise(named)
-    return hashed.crossJoin(F.broadcast(top.agg(F.struct(*borders).alias("b_")))).withColumn("split", named).drop("hash_", "b_")
+        edges.append(edge)
+    for i, name in reversed(list(enumerate(sizes))):
+        named = F.when(F.col("hash_") <= F.col("borders_")[i], name).otherwise(named)
+    return hashed.crossJoin(F.broadcast(borders(hashed, edges))).withColumn("split", named).drop("hash_", "borders_")
 
 
 def repeat_rows(df: DataFrame, times: int | str) -> DataFrame:
@@ -74,12 +91,35 @@ def workload(length: str) -> Column:
     return 24576 * F.col(length) + F.col(length) * F.col(length)
 
 
+#: Ranges of values, and parts of equal values, whose rows are counted before any are ordered.
+RANGES, PARTS = 4096, 256
+
+
+def places(df: DataFrame, value: str, row: str) -> DataFrame:
+    """Adds `place`, from 0, by falling value; rows with equal values are in the order of a hash of `row`.
+
+    Counts by value, then by hash within a value, are summed up; windows hold the distinct
+    values of a range, or the rows of one value and hash, and never the table.
+    """
+    v = F.col(value)
+    ends = df.agg(F.max(v).cast("double").alias("high_"), F.min(v).cast("double").alias("low_"))
+    dealt = df.withColumn("h_", F.pmod(F.xxhash64(row), F.lit(PARTS)))
+    own = dealt.groupBy(v.alias("v_"), "h_").agg(F.count("*").alias("n_"))
+    each = own.groupBy("v_").agg(F.sum("n_").alias("n_")).crossJoin(F.broadcast(ends))
+    each = each.withColumn("range_", F.coalesce(F.floor(F.try_divide((F.col("high_") - F.col("v_")) * RANGES, F.col("high_") - F.col("low_"))), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = each.groupBy("range_").agg(F.sum("n_").alias("n_")).withColumn("over_", before(Window.orderBy("range_"))).drop("n_")
+    each = each.join(F.broadcast(ranges), "range_").select("v_", (F.col("over_") + before(Window.partitionBy("range_").orderBy(F.desc("v_")))).alias("from_"))
+    start = own.join(each, "v_").select("v_", "h_", (F.col("from_") + before(Window.partitionBy("v_").orderBy("h_"))).alias("from_"))
+    same = (dealt[value] == start["v_"]) & (dealt["h_"] == start["h_"])
+    at = Window.partitionBy(value, dealt["h_"]).orderBy(row)
+    return dealt.join(start, same).withColumn("place", F.col("from_") + F.row_number().over(at) - 1).drop("v_", "h_", "from_")
+
+
 def snake_partitions(df: DataFrame, cost: str, row: str, parts: int) -> DataFrame:
     """Adds `part`: rows by falling cost are dealt forth and back over equally large parts."""
-    place = F.row_number().over(Window.orderBy(F.desc(cost), row)) - 1
-    turn = F.floor(place / parts)
-    at = place % parts
-    return df.withColumn("part", F.when(turn % 2 == 0, at).otherwise(parts - 1 - at).cast("int"))
+    turn, at = F.floor(F.col("place") / parts), F.col("place") % parts
+    return places(df, cost, row).withColumn("part", F.when(turn % 2 == 0, at).otherwise(parts - 1 - at).cast("int")).drop("place")
 
 
 def imbalance(df: DataFrame, part: str, cost: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelane.operators.sequences import hash_rank_split
+
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = True) -> DataFrame:
     """JSON lines. With a schema, a line that doesn't fit it is an error (or a row of
@@ -24,7 +26,7 @@ def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def dataset(spark: SparkSession, *paths: str, sample: int | None = None, seed: int | None = None, key: str | None = None) -> DataFrame:
     """Parquet, JSON or JSONL files as one frame. `sample` rows are the first by key, or with
-    a seed the first by a seeded hash of it: an exact number, merged as a top-k."""
+    a seed the first by a seeded hash of it: an exact number where keys are unique."""
     parts = [spark.read.parquet(p) if p.endswith(".parquet") else spark.read.option("multiLine", p.endswith(".json")).json(p) for p in paths]
     out = parts[0]
     for p in parts[1:]:
@@ -33,8 +35,9 @@ def dataset(spark: SparkSession, *paths: str, sample: int | None = None, seed: i
         return out
     if key is None:
         raise ValueError("an exact sample needs a key to order by")
-    order = F.col(key) if seed is None else F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"), 256)
-    return out.orderBy(order, key).limit(sample)
+    if seed is None:
+        return out.orderBy(key).limit(sample)
+    return hash_rank_split(out, key, seed, {"taken": sample}).filter("split = 'taken'").drop("split")
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
