@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelane.plans import credits, records, rollouts, selections
+from tidelane.plans import credits, records, rollouts, selections, updates
 
-MODULES = [rollouts, records, credits, selections]
+MODULES = [rollouts, records, credits, selections, updates]
 
 
 def queries() -> dict:
