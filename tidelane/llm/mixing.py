@@ -10,17 +10,20 @@ epoch in an order of its own, the documents that fit the rest of the budget.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import as_given, cut, set_aside, small, table
 
+#: What the registered query takes: the order's seed, epochs, and the weights of the tree's levels.
 SEED = 17
 MAX_EPOCHS = 4
-#: Weights are whole numbers; a name that is not listed weighs 1.
 DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
 LANG_WEIGHTS = {"en": 6, "de": 3, "fr": 2, "es": 1}
 SOURCE_WEIGHTS = {"src0": 2}
+WEIGHTS = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
 LEVELS = ["domain", "lang_", "source_"]
 NEEDED = {"doc_id", "text", "lang", "source"}
 #: Digits of the order's hash that make a bucket: prefix sums go over buckets first.
@@ -34,10 +37,15 @@ def domain_of(source: str = "source") -> Column:
     return F.when(number == "", F.lit("domain")).otherwise(F.concat(F.lit("domain"), (F.try_to_number(number, F.lit("999999999")).cast("long") % 4).cast("string")))
 
 
-def _weight(column: str, weights: dict[str, int]) -> Column:
+def _weight(level: int, weights: dict[str | tuple[str, ...], int]) -> Column:
+    """A child's weight: that of its whole path, or else of its name, or else 1."""
     listed = F.lit(1)
-    for name, weight in weights.items():
-        listed = F.when(F.col(column) == name, weight).otherwise(listed)
+    for name, weight in sorted(weights.items(), key=lambda kv: isinstance(kv[0], tuple)):
+        if not isinstance(weight, int) or weight < 1:
+            raise ValueError(f"weights are whole numbers from 1 on, not {weight!r} of {name!r}")
+        path = name if isinstance(name, tuple) else (name,)
+        here = zip(LEVELS[level + 1 - len(path) : level + 1], path, strict=True)
+        listed = F.when(reduce(lambda a, b: a & b, (F.col(c) == x for c, x in here)), weight).otherwise(listed)
     return listed.cast("long")
 
 
@@ -61,33 +69,39 @@ def share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     return shared.withColumn("share", F.when(F.col("full"), F.col("limit")).otherwise(part)).drop("full", "left_", "open_weight", "budget")
 
 
-def leaf_budgets(leaves: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def leaf_budgets(leaves: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS, weights: tuple[dict, dict, dict] = WEIGHTS) -> DataFrame:
     """(domain, lang_, source_, available, share) for leaves with their available tokens.
     Without a budget, as many tokens are given out as there are."""
     leaves = leaves.withColumn("limit", F.col("available") * max_epochs)
     total = leaves.agg(F.coalesce(F.lit(budget).cast("long"), F.sum("available")).alias("budget"))
-    at = leaves.groupBy("domain").agg(F.sum("limit").alias("limit")).withColumn("weight", _weight("domain", DOMAIN_WEIGHTS))
+    at = leaves.groupBy("domain").agg(F.sum("limit").alias("limit")).withColumn("weight", _weight(0, weights[0]))
     at = share_out(at.crossJoin(total), [], "domain").select("domain", F.col("share").alias("budget"))
-    langs = leaves.groupBy("domain", "lang_").agg(F.sum("limit").alias("limit")).withColumn("weight", _weight("lang_", LANG_WEIGHTS))
+    langs = leaves.groupBy("domain", "lang_").agg(F.sum("limit").alias("limit")).withColumn("weight", _weight(1, weights[1]))
     at = share_out(langs.join(at, "domain"), ["domain"], "lang_").select("domain", "lang_", F.col("share").alias("budget"))
-    sources = leaves.withColumn("weight", _weight("source_", SOURCE_WEIGHTS)).join(at, ["domain", "lang_"])
+    sources = leaves.withColumn("weight", _weight(2, weights[2])).join(at, ["domain", "lang_"])
     return share_out(sources, ["domain", "lang_"], "source_").select(*LEVELS, "available", "share")
 
 
-def _placed(docs: DataFrame) -> DataFrame:
+def _placed(docs: DataFrame, domain: Column) -> DataFrame:
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    return docs.withColumns({"domain": domain_of(), "lang_": none("lang"), "source_": none("source"), "n_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
+    return docs.withColumns({"domain": domain, "lang_": none("lang"), "source_": none("source"), "n_tokens": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
+def _ordered(docs: DataFrame, seed: int) -> DataFrame:
     """Adds the place in the order of the leaf's last epoch, and its bucket."""
-    key = F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))).cast("binary"))
     return docs.withColumn("order_", key).withColumn("bucket", F.substring("order_", 1, DIGITS))
 
 
-def mix_sources(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mix_sources(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS, weights: tuple[dict, dict, dict] = WEIGHTS, seed: int = SEED, domain: Column | None = None) -> DataFrame:
     """The rows of docs that are taken, with `domain`, `n_tokens` and `repeats`, how often each is taken.
 
+    budget is in tokens (None: as many as there are). weights has a dict for each level of the
+    tree, domain, language and source: a child's target weight among its siblings, a whole
+    number from 1 on, by its name, or by its path ("domain0", "en") where that is to differ;
+    children that aren't listed weigh 1. seed gives the order of epochs. domain is a column of
+    docs' doc_id, text, lang and source (None: domain_of).
+
     docs has doc_id, text, lang and source; other columns stay, whatever their names, and any
     named domain, n_tokens or repeats are replaced. Tokens are words between ASCII white space. A null
     language or source is a leaf of its own. Texts without tokens are never taken. Repeated
@@ -99,21 +113,22 @@ def mix_sources(docs: DataFrame, budget: int | None = None, max_epochs: int = MA
     rows of the one bucket in which a leaf's budget ends are ordered one by one.
     """
     docs = docs.drop("domain", "n_tokens", "repeats")
-    placed = cut(_placed(docs.select("doc_id", "text", "lang", "source")).filter("n_tokens > 0").select("doc_id", F.xxhash64("text").alias("text_key"), *LEVELS, "n_tokens"))
+    domain = domain_of() if domain is None else domain
+    placed = cut(_placed(docs.select("doc_id", "text", "lang", "source"), domain).filter("n_tokens > 0").select("doc_id", F.xxhash64("text").alias("text_key"), *LEVELS, "n_tokens"))
     leaves = cut(placed.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available")))
-    given = leaf_budgets(leaves, budget, max_epochs)
-    given = small(cut(given.select(*LEVELS, F.expr("share div available").alias("epochs"), (F.col("share") % F.col("available")).alias("rest"))))
+    given = leaf_budgets(leaves, budget, max_epochs, weights)
+    given = small(given.select(*LEVELS, F.expr("share div available").alias("epochs"), (F.col("share") % F.col("available")).alias("rest")))
 
-    filled = _ordered(placed.join(given, LEVELS))
+    filled = _ordered(placed.join(given, LEVELS), seed)
     run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = filled.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
-    last = small(cut(totals.filter("before <= rest AND before + n > rest").select(*LEVELS, F.col("bucket").alias("last"), (F.col("rest") - F.col("before")).alias("room"))))
+    last = small(totals.filter("before <= rest AND before + n > rest").select(*LEVELS, F.col("bucket").alias("last"), (F.col("rest") - F.col("before")).alias("room")))
     fine = Window.partitionBy(*LEVELS).orderBy("order_", "doc_id", "text_key")
     edge = filled.join(last, LEVELS).filter("bucket = last").withColumn("upto", F.sum("n_tokens").over(fine))  # equal rows count together
     edge = edge.filter("upto <= room").groupBy(F.col("doc_id").alias("of_"), F.col("text_key").alias("key_"), *(F.col(c).alias(f"{c}k_") for c in LEVELS)).agg(F.count("*").alias("fit"))
-    edge = small(cut(edge))
+    edge = small(edge)
 
-    rows = _ordered(_placed(set_aside(docs, NEEDED)).filter("n_tokens > 0").join(given, LEVELS).join(last, LEVELS, "left"))
+    rows = _ordered(_placed(set_aside(docs, NEEDED), domain).filter("n_tokens > 0").join(given, LEVELS).join(last, LEVELS, "left"), seed)
     same = rows["doc_id"].eqNullSafe(edge["of_"]) & (F.xxhash64(rows["text"]) == edge["key_"])
     for c in LEVELS:
         same = same & (rows[c] == edge[f"{c}k_"])
