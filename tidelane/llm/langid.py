@@ -27,8 +27,9 @@ PREDICTED = "doc_id long, lang_pred string, score double, langs array<string>, s
 
 
 def letters(text: str) -> Column:
-    """Lower-case letters, other runs as one space; padded so that each word has its n-grams."""
-    return F.concat(F.lit(" "), F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}]+", " ")), F.lit(" "))
+    """Lower-case letters, other runs as one space; padded so that each word has its n-grams,
+    and that a single letter has one."""
+    return F.concat(F.lit(" "), F.lower(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}]+", " ")), F.lit(" " * (GRAM - 2)))
 
 
 def grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
