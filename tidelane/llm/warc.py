@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import cut, shared_dir, small, table
+from tidelane.llm.common import shared_dir, small, table
 
 #: Smaller payloads are never revisits.
 LEAST_REVISIT = 1000
@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
     large = pages.filter(F.length("payload") >= LEAST_REVISIT)
     again = large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("top")).filter("n > 1").select("digest", "top")
-    joined = pages.join(small(cut(again)), "digest", "left").select("page_id", "url", "payload", "top")
+    joined = pages.join(small(again), "digest", "left").select("page_id", "url", "payload", "top")
     packed = _dictionary(pages)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
