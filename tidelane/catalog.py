@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelane.plans import credits, records, rollouts, selections, updates
+from tidelane.plans import credits, records, rollouts, selections, trials, updates
 
-MODULES = [rollouts, records, credits, selections, updates]
+MODULES = [rollouts, records, credits, selections, updates, trials]
 
 
 def queries() -> dict:
