@@ -11,10 +11,10 @@ across documents go, but for the first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelane.llm.common import as_given, cut, set_aside, small, table
+from tidelane.llm.common import as_given, cut, set_aside, small, stored, table
 
 #: Leading tokens in a leaf's key.
 DEPTH = 3
@@ -25,21 +25,33 @@ MIN_TOKENS = 5
 #: The least constant tokens of a template, in tenths of all.
 CONSTANT_TENTHS = 8
 FIELD = "<*>"
-BROADCAST_DOCS = 500_000
+#: Leaves of up to so many distinct lines are generalised in one row, larger ones over shuffled tokens.
+FEW = 16
 ID = ["doc_id", "text_key"]
+LINE = ["h", "leaf"]
+ODD_SPACE = ["  ", "\t", "\x0b", "\x0c", "\r"]
 
 
-def tokens_of(line: str) -> Column:
-    """Tokens between white space; one with a digit is a variable field."""
-    masked = F.when(F.col(line).rlike("[0-9]"), F.regexp_replace(line, r"(^|\s)[^\s0-9]*[0-9]\S*", f"$1{FIELD}")).otherwise(F.col(line))
-    return F.array_remove(F.split(masked, r"[\x20\x09-\x0D]+"), "")
+def _words(lines: DataFrame) -> DataFrame:
+    """Adds `words`: the tokens between white space, one space apart; one with a digit is a variable field."""
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"(^|\s)[^\s0-9]*[0-9]\S*", f"$1{FIELD}")).otherwise(F.col("line"))
+    m = F.col("masked_")
+    odd = m.startswith(" ") | m.endswith(" ")
+    for space in ODD_SPACE:
+        odd = odd | m.contains(space)
+    even = F.when(odd, F.trim(F.regexp_replace(m, r"[\x20\x09-\x0D]+", " "))).otherwise(m)
+    return lines.withColumn("masked_", masked).withColumn("words", even).drop("masked_", "line")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select(*ID, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.select(*ID, "line_no", tokens_of("line").alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return lines.select(*ID, "line_no", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), F.col("tokens")).alias("h2"), leaf.alias("leaf"))
+    """(doc_id, text_key, line_no, h, leaf): 64-bit hashes of a line's tokens and of its leaf; lines
+    with both alike count as one. Short lines are left out when the table is read, as a filter
+    before that would have Spark compute the words twice."""
+    lines = _words(docs.select(*ID, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")))
+    n = (F.octet_length("words") - F.octet_length(F.replace("words", F.lit(" "), F.lit(""))) + 1).alias("n")
+    hashed = lines.select(*ID, "line_no", "words", n)
+    hashed = hashed.select(*ID, "line_no", "n", F.xxhash64("words").alias("h"), F.xxhash64("n", F.substring_index("words", " ", DEPTH)).alias("leaf"))
+    return stored(hashed).filter(F.col("n") >= MIN_TOKENS).drop("n")
 
 
 def _twice(several: DataFrame, *by: str) -> DataFrame:
@@ -47,58 +59,82 @@ def _twice(several: DataFrame, *by: str) -> DataFrame:
     return several.groupBy(*by, *ID).agg((1 - F.count("*")).alias("n")).filter("n < 0").groupBy(*by).agg(F.sum("n").alias("n"))
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that computes value once for a body that names it within lambdas; Spark would
+    otherwise write a projected column's expression into them, and compute it at each step."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _few(found: DataFrame) -> DataFrame:
+    """Adds tokens, ns (documents of the leaf with the same token at each position) and total
+    (documents of the leaf), by comparing a leaf's few lines in one row."""
+    line = F.struct("h", "first", "n_docs", F.split("words", " ").alias("tokens"))
+    leaves = found.groupBy("leaf").agg(F.collect_set(line).alias("all"))
+    total = F.expr("aggregate(all, 0L, (s, o) -> s + o.n_docs)")
+    each = leaves.withColumn("total", total).withColumn("x", F.explode("all"))
+    ns = F.expr("transform(x.tokens, (t, i) -> aggregate(all, 0L, (s, o) -> s + IF(o.tokens[i] = t, o.n_docs, 0L)))")
+    return each.select("x.h", "leaf", "x.first", "x.n_docs", "x.tokens", ns.alias("ns"), "total")
+
+
+def _many(found: DataFrame, several: DataFrame) -> DataFrame:
+    """The same for leaves of any size, over one row for each token that can vary. `several`
+    (leaf, doc_id, text_key, h) has the documents with more than one line of a leaf."""
+    found = cut(found.dropDuplicates(LINE))  # repeated rows
+    said = lambda df: df.select("*", F.posexplode(F.split("words", " ")).alias("pos", "token")).filter((F.col("pos") >= DEPTH) & (F.col("token") != FIELD)).withColumn("key", F.xxhash64("pos", "token"))
+    token = said(found.select(*LINE, "n_docs", "words")).select(*LINE, "pos", "n_docs", "key")
+    again = said(several.join(found.select(*LINE, "words"), LINE)).select("leaf", "key", *ID)
+    often = token.select("leaf", "key", F.col("n_docs").alias("n")).union(_twice(again, "leaf", "key"))
+    often = often.groupBy("leaf", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    marks = token.join(often, ["leaf", "key"]).groupBy(*LINE).agg(F.collect_list(F.struct("pos", (-F.col("n")).alias("n"))).alias("marks"))
+    total = found.select("leaf", F.col("n_docs").alias("n")).union(_twice(several, "leaf")).groupBy("leaf").agg(F.sum("n").alias("total"))
+    every = found.join(marks, LINE, "left").join(small(total), "leaf").withColumn("tokens", F.split("words", " "))
+    both = "sort_array(concat(coalesce(marks, array()), transform(tokens, (t, i) -> struct(i AS pos, 0L AS n))))"
+    ns = F.expr(_let("d", both, "transform(filter(d, (x, i) -> i = 0 OR d[i - 1].pos != x.pos), x -> -x.n)"))
+    return every.select(*LINE, "first", "n_docs", "tokens", ns.alias("ns"), "total")
+
+
 def _generalised(docs: DataFrame, lines: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(h1, h2, template, n_docs, first) of the distinct lines that share a leaf with others,
-    and (template, n) that corrects the sum of n_docs where a document has several of them.
+    """(h, leaf, template, n_docs, first) of the distinct lines that share a leaf with others,
+    and (leaf, template, n) that corrects the sum of n_docs where a document has several of them.
     Two lines that both recur as they stand stay apart: one has half of the documents."""
-    leaves = contents.groupBy("leaf").agg(F.count("*").alias("k"), F.count_if(F.col("n_docs") < MIN_DOCS).alias("rare")).filter("k > 2 OR k > 1 AND rare > 0")
-    shared = contents.join(small(cut(leaves.select("leaf"))), "leaf")
-    wanted = shared.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("key")).agg(
-        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2", "leaf", "n_docs", "first")).alias("want")
-    )
-    wanted = small(cut(wanted), BROADCAST_DOCS)
+    leaves = contents.groupBy("leaf").agg(F.count("*").alias("k"), F.count_if(~F.col("recurs")).alias("rare")).filter("k > 2 OR k > 1 AND rare > 0")
+    shared = cut(contents.join(small(leaves.select("leaf", "k")), "leaf").select(*LINE, "first", "k"))
+    own = cut(lines.join(small(shared.select(*LINE)), LINE).select(*LINE, *ID).distinct())
+    several = own.groupBy("leaf", *ID).agg(F.collect_list("h").alias("of")).filter(F.size("of") > 1)
+    several = cut(several.select("leaf", *ID, F.explode("of").alias("h")))
+    shared = shared.join(own.groupBy(*LINE).agg(F.count("*").alias("n_docs")), LINE)
+    shared = shared.join(small(several.select("leaf").distinct().withColumn("twice", F.lit(True))), "leaf", "left")
+    shared = shared.withColumn("few", (F.col("k") <= FEW) & F.col("twice").isNull())
+    wanted = shared.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("key")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), *LINE, "n_docs", "few", "first")).alias("want"))
+    wanted = small(wanted)
     found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of"]) & (docs["text_key"] == wanted["key"]))
-    found = found.dropDuplicates(["of", "key"])  # repeated rows
     found = found.withColumn("lines", F.split("text", "\n")).select(F.explode(F.expr("transform(want, w -> struct(w, element_at(lines, w.line_no + 1) AS line))")).alias("x"))
-    found = cut(found.select("x.w.*", F.col("x.line").alias("line")).withColumn("tokens", tokens_of("line")).drop("line", "line_no"))
-
-    # Only a document with several distinct lines in one leaf can be counted twice.
-    own = lines.join(small(found.select("h1", "h2")), ["h1", "h2"]).select("h1", "h2", "leaf", *ID).distinct()
-    several = own.groupBy("leaf", *ID).agg(F.collect_list(F.struct("h1", "h2")).alias("of")).filter(F.size("of") > 1)
-    several = cut(several.select("leaf", *ID, F.explode("of").alias("of")).select("of.*", "leaf", *ID))
-
-    token = found.select("h1", "h2", "leaf", "n_docs", F.posexplode("tokens").alias("pos", "token"))
-    again = several.join(found.select("h1", "h2", "tokens"), ["h1", "h2"]).select("leaf", *ID, F.posexplode("tokens").alias("pos", "token"))
-    often = token.select("leaf", "pos", "token", F.col("n_docs").alias("n")).union(_twice(again, "leaf", "pos", "token"))
-    often = often.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS)
-    total = found.select("leaf", F.col("n_docs").alias("n")).union(_twice(several, "leaf"))
-    total = small(total.groupBy("leaf").agg(F.sum("n").alias("total")))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("n", F.lit(0)).alias("n"))))
-    general = token.join(often, ["leaf", "pos", "token"], "left").groupBy("h1", "h2", "leaf").agg(parts.alias("parts")).join(total, "leaf")
+    found = cut(_words(found.select("x.w.*", F.col("x.line").alias("line"))).drop("line_no"))
+
+    general = _few(found.filter("few")).unionByName(_many(found.filter("NOT few"), several))
+    parts = "transform(zip_with(tokens, ns, (t, n) -> struct(t AS token, n AS n)), (p, i) -> struct(i AS pos, p.token AS token, p.n AS n))"
     constant = f"p.token != '{FIELD}' AND (p.pos < {DEPTH} OR p.n >= share)"
     shares = f"transform(sequence(1, greatest(1, int(ceil(log2(total))) - 1)), e -> greatest(double({MIN_DOCS}), total / pow(2, e)))"
-    general = general.withColumn("share", F.expr(f"get(filter({shares}, share -> 10 * size(filter(parts, p -> {constant})) >= {CONSTANT_TENTHS} * size(parts)), 0)"))
-    said = F.expr(f"transform(parts, p -> CASE WHEN {constant} THEN p.token ELSE '{FIELD}' END)")
-    own = F.struct(F.col("h1").alias("a"), F.col("h2").alias("b"))
-    template = F.when(F.col("share").isNull(), own).otherwise(F.struct(F.xxhash64("leaf", said).alias("a"), F.xxhash64(F.lit(7), said).alias("b")))
-    general = cut(found.drop("tokens").join(general.select("h1", "h2", template.alias("template")), ["h1", "h2"]).select("h1", "h2", "template", "n_docs", "first"))
-    return general, _twice(several.join(general.select("h1", "h2", "template"), ["h1", "h2"]), "template")
+    share = f"get(filter({shares}, share -> 10 * size(filter(parts, p -> {constant})) >= {CONSTANT_TENTHS} * size(parts)), 0)"
+    said = f"xxhash64(7, transform(parts, p -> CASE WHEN {constant} THEN p.token ELSE '{FIELD}' END))"
+    template = F.expr(_let("parts", parts, _let("share", share, f"IF(share IS NULL, h, {said})")))
+    general = cut(general.select(*LINE, template.alias("template"), "n_docs", "first"))
+    return general, _twice(several.join(general.select(*LINE, "template"), LINE), "leaf", "template")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, dropped array<int>): line numbers that go, for documents that lose any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    lines = cut(_lines(docs))
-    here = lines.groupBy("h1", "h2", "leaf", *ID).agg(F.min("line_no").alias("line_no"))
-    contents = cut(here.groupBy("h1", "h2", "leaf").agg(F.count("*").alias("n_docs"), F.min(F.struct(*ID, "line_no")).alias("first")))
+    lines = _lines(docs)
+    contents = lines.groupBy(*LINE).agg(F.min(F.struct(*ID, "line_no")).alias("first"), F.max(F.struct(*ID)).alias("last"))
+    contents = stored(contents.select(*LINE, "first", (~F.struct("first.doc_id", "first.text_key").eqNullSafe(F.col("last"))).alias("recurs")))
     general, twice = _generalised(docs, lines, contents)
-    over = general.select("template", F.col("n_docs").alias("n"), "first").unionByName(twice, allowMissingColumns=True)
-    over = over.groupBy("template").agg(F.sum("n").alias("n"), F.min("first").alias("top")).filter(F.col("n") >= MIN_DOCS)
-    as_templates = general.join(over, "template").select("h1", "h2", F.col("top").alias("first"))
-    as_they_stand = contents.filter(F.col("n_docs") >= MIN_DOCS).join(general.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", "first")
-    gone = small(cut(as_templates.union(as_they_stand)))
+    over = general.select("leaf", "template", F.col("n_docs").alias("n"), "first").unionByName(twice, allowMissingColumns=True)
+    over = over.groupBy("leaf", "template").agg(F.sum("n").alias("n"), F.min("first").alias("top")).filter(F.col("n") >= MIN_DOCS)
+    as_templates = general.join(over, ["leaf", "template"]).select(*LINE, F.col("top").alias("first"))
+    as_they_stand = contents.filter("recurs").join(general.select(*LINE), LINE, "left_anti").select(*LINE, "first")
     first = F.struct(*ID, "line_no").eqNullSafe(F.col("first"))
-    again = lines.join(gone, ["h1", "h2"]).filter(~first)
+    again = lines.join(small(as_templates.union(as_they_stand)), LINE).filter(~first)
     return again.groupBy(*ID).agg(F.collect_set("line_no").alias("dropped"))
 
 
@@ -113,7 +149,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     A column of docs named n_lines or n_dropped is replaced; other names never clash.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    drop = small(cut(recurring_lines(docs).withColumnsRenamed({"doc_id": "of_", "text_key": "key_"})), BROADCAST_DOCS)
+    drop = small(recurring_lines(docs).withColumnsRenamed({"doc_id": "of_", "text_key": "key_"}))
     needed = {"doc_id", "text"}
     joined = set_aside(docs, needed).join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("of_")) & (F.xxhash64("text") == F.col("key_")), "left")
     joined = joined.withColumn("lines_", F.split("text", "\n"))
