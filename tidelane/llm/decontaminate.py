@@ -1,16 +1,19 @@
 """Operator 2: benchmark decontamination by SimHash windows. DataFrame functions only.
 
-Windows as long as an item are laid over a document wherever one of its five-word
-shingles falls on the place it has in an item. A passage that was copied, or had words
-put in, left out or replaced, keeps runs of shingles in step, and each run lays a window
-at its own offset. A window in which every shared shingle stands out of place is not laid,
-nor scored. Windows and items get 64-bit SimHash fingerprints; blocks of the fingerprint are the join keys.
-With RADIUS + 1 blocks, fingerprints within RADIUS share one whole block, so the join
-finds all of them. Pairs within RADIUS are verified on their weighted shingles.
+Windows as long as an item stand at every word of a document. A window whose shingles have
+a weighted similarity of THRESHOLD with an item shares so many shingles with it that it can
+be told, before any fingerprint is made, which windows can't: those that hold too few
+shingles of items of that length, wherever in the window and in the item they stand. All
+other windows, and the items, get 64-bit SimHash fingerprints, whose BLOCKS blocks are the
+join keys. Fingerprints within RADIUS differ in FLIPS bits at most in one block or more, and
+an item is in the index under every such value of each block, so the join finds all of
+them. Pairs within RADIUS are verified on their weighted shingles.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ from tidelane.llm.common import cut, small, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 fingerprints differ in 9.7 of 64 bits, with a deviation of 2.9.
-RADIUS = 21
-#: Most documents with candidate windows that are broadcast.
-BROADCAST_DOCS = 500_000
+RADIUS = 20
+#: Bits that a block may differ in; of so many blocks, one is within that where all are within RADIUS.
+FLIPS = 2
+BLOCKS = RADIUS // (FLIPS + 1) + 1
+EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 
 
 def words_of(text: str) -> Column:
@@ -34,17 +39,38 @@ def shingles_of(words: str) -> Column:
 
 
 def simhash(shingles: str) -> Column:
-    """64 bits; each is set where more than half of the shingles, by weight, have it set."""
-    return F.expr(
+    """64 bits; each is set where more than half of the shingles, by weight, have it set. It is
+    never null, and says so: else Spark computes it once more, to filter nulls before joins."""
+    bits = F.expr(
         f"aggregate(sequence(0, 63), 0L, (fp, b) -> fp | CASE WHEN 2 * size(filter({shingles}, h -> (shiftrightunsigned(h, b) & 1L) = 1L)) > size({shingles}) THEN shiftleft(1L, b) ELSE 0L END)"
     )
+    return F.coalesce(bits, F.lit(0).cast("long"))
 
 
 def blocks_of(fp: str) -> Column:
-    """RADIUS + 1 runs of bits that together are the fingerprint."""
-    n = RADIUS + 1
-    edge = [64 * k // n for k in range(n + 1)]
-    return F.array(*(F.expr(f"shiftrightunsigned({fp}, {edge[k]}) & {2 ** (edge[k + 1] - edge[k]) - 1}L") for k in range(n)))
+    """BLOCKS runs of bits that together are the fingerprint."""
+    return F.array(*(F.expr(f"shiftrightunsigned({fp}, {lo}) & {2 ** (hi - lo) - 1}L") for lo, hi in pairwise(EDGES)))
+
+
+def probes_of(fp: str) -> Column:
+    """For each block, every value that differs from it in FLIPS bits or fewer."""
+    flips = [[sum(1 << b for b in some) for n in range(FLIPS + 1) for some in combinations(range(hi - lo), n)] for lo, hi in pairwise(EDGES)]
+    return F.array(*(F.expr(f"transform(array({', '.join(f'{x}L' for x in own)}), x -> x ^ shiftrightunsigned({fp}, {lo}) & {2 ** (hi - lo) - 1}L)") for own, (lo, hi) in zip(flips, pairwise(EDGES))))
+
+
+def starts_of(hits: str, n: str, length: str) -> Column:
+    """First words of all windows of n words that can reach THRESHOLD: hits are the places, in
+    order, of the document's shingles that an item of n words has; length is its number of shingles.
+
+    A window of m shingles needs 2 * T / (1 + T) * m of them in common with an item of m. One that
+    an end of the document cuts off needs T * m. So c hits from the i-th on in less than m
+    places allow the starts from the last of them, less m, to the first of them.
+    """
+    m = f"({n} - {WORDS - 1})"
+    reach = lambda c: f"flatten(transform(filter(CASE WHEN size({hits}) >= {c} THEN sequence(0, size({hits}) - {c}) ELSE array() END, i -> {hits}[i + {c} - 1] - {hits}[i] < {m}), i -> sequence({hits}[i + {c} - 1] - {m} + 1, {hits}[i])))"
+    whole, part = (f"CAST(greatest(1, ceil({x} * {m} - 1e-9)) AS INT)" for x in (2 * THRESHOLD / (1 + THRESHOLD), THRESHOLD))
+    inside = f"s BETWEEN 0 AND {length} - {m}"
+    return F.expr(f"array_distinct(concat(filter({reach(whole)}, s -> {inside}), filter({reach(part)}, s -> NOT ({inside}))))")
 
 
 def weighted_jaccard(a: str, b: str) -> Column:
@@ -60,38 +86,42 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, start, similarity): for each document and item, the best window.
 
     docs has doc_id and text, items has item_id and text; other columns are ignored. A row
-    is returned where a window of the item's length (cut at the document's ends) has a
-    weighted similarity of five-word shingles of 0.8 or more; start counts words from 0,
-    and of equally good windows the first is named. Texts that are null or have fewer than
-    five words match nothing, on either side. Repeated rows count as one document, rows
+    is returned where a window of the item's length, at any word (cut at the document's
+    ends), has a weighted similarity of five-word shingles of 0.8 or more and fingerprints
+    within RADIUS; start counts words from 0, and of equally good windows the first is named.
+    Texts that are null or have fewer than five words match nothing, on either side. Repeated rows count as one document, rows
     with equal doc_id and other texts as different ones (text_key tells them apart); null
     ids stay null. Empty tables give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), words_of("text").alias("words"))
-    items = cut(items.select(F.col("item_id").cast("long").alias("item_id"), words_of("text").alias("words")).filter(F.size("words") >= WORDS).select("item_id", F.size("words").alias("n"), shingles_of("words").alias("item")).distinct())
-
-    places = items.select("n", F.posexplode("item").alias("place", "h")).distinct()
-    hits = docs.select("doc_id", "text_key", F.posexplode(shingles_of("words")).alias("at", "h")).join(small(places), "h")
-    windows = hits.select("doc_id", "text_key", (F.col("at") - F.col("place")).alias("start"), "n").distinct()
-    laid = cut(windows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("windows")))
-
-    known = small(laid.withColumnsRenamed({"doc_id": "of", "text_key": "key"}), BROADCAST_DOCS)
-    cuts = F.expr("transform(windows, w -> struct(w.start AS start, w.n AS n, slice(words, greatest(w.start, 0) + 1, w.n + least(w.start, 0)) AS words))")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), words_of("text").alias("words")).filter(F.size("words") >= WORDS)
+    items = items.select("item_id", F.size("words").alias("n"), shingles_of("words").alias("item")).distinct()
+    items = cut(items.withColumn("item_no", F.monotonically_increasing_id()).withColumn("item_fp", simhash("item")))
+
+    known = items.select("n", F.explode("item").alias("h")).distinct()
+    words = docs.select("doc_id", "text_key", words_of("text").alias("words")).withColumn("length", F.size("words") - (WORDS - 1))
+    hits = words.select("doc_id", "text_key", "length", F.posexplode(shingles_of("words")).alias("at", "h")).join(small(known), "h")
+    hits = hits.groupBy("doc_id", "text_key", "length", "n").agg(F.array_sort(F.collect_set("at")).alias("hits"))
+    windows = hits.select("doc_id", "text_key", "n", starts_of("hits", "n", "length").alias("starts")).filter(F.size("starts") > 0)
+    laid = small(windows.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("key")).agg(F.collect_list(F.struct("starts", "n")).alias("windows")))
+
+    cuts = F.expr("flatten(transform(windows, w -> transform(w.starts, s -> struct(s AS start, w.n AS n, slice(words, greatest(s, 0) + 1, w.n + least(s, 0)) AS words))))")
     printed = (
-        docs.join(known, docs["doc_id"].eqNullSafe(known["of"]) & (docs["text_key"] == known["key"]))
+        docs.join(laid, docs["doc_id"].eqNullSafe(laid["of"]) & (docs["text_key"] == laid["key"]))
+        .select("doc_id", "text_key", "windows", words_of("text").alias("words"))
         .select("doc_id", "text_key", F.explode(cuts).alias("w"))
         .select("doc_id", "text_key", "w.start", "w.n", F.col("w.words").alias("words"))
         .select("doc_id", "text_key", "start", "n", shingles_of("words").alias("shingles"))
         .withColumn("fp", simhash("shingles"))
-        .withColumn("blocks", blocks_of("fp"))
     )
-    index = items.withColumn("item_fp", simhash("item")).withColumn("item_blocks", blocks_of("item_fp"))
-    index = index.select("item_id", "n", "item", "item_fp", "item_blocks", F.posexplode("item_blocks").alias("k", "bits"))
-    first = F.expr("array_position(zip_with(blocks, item_blocks, (x, y) -> x = y), true) = k + 1")  # each pair once
+    index = items.select("item_no", "n", "item_fp", F.posexplode(probes_of("item_fp")).alias("k", "near")).select("item_no", "n", "item_fp", "k", F.explode("near").alias("bits"))
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    within = F.array(*(F.bit_count(apart.bitwiseAND(F.lit((1 << hi) - (1 << lo) - (1 << 64 if hi == 64 else 0)).cast("long"))) <= FLIPS for lo, hi in pairwise(EDGES)))
     pairs = (
-        printed.select("*", F.posexplode("blocks").alias("k", "bits"))
+        printed.select("doc_id", "text_key", "start", "n", "shingles", "fp", F.posexplode(blocks_of("fp")).alias("k", "bits"))
         .join(small(index), ["n", "k", "bits"])
-        .filter(first & (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS))
+        .filter((F.bit_count(apart) <= RADIUS) & (F.array_position(within, True) == F.col("k") + 1))  # each pair once
+        .join(small(items.select("item_no", "item_id", "item")), "item_no")
         .withColumn("similarity", weighted_jaccard("shingles", "item"))
         .filter(F.col("similarity") >= THRESHOLD)
     )
@@ -101,7 +131,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs in which no item was found, with all of their columns."""
-    found = small(contaminated(docs, items).select(F.col("doc_id").alias("of"), F.col("text_key").alias("key")).distinct(), BROADCAST_DOCS)
+    found = small(contaminated(docs, items).select(F.col("doc_id").alias("of"), F.col("text_key").alias("key")).distinct())
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["of"]) & (F.xxhash64(docs["text"]) == found["key"]), "left_anti")
 
 
@@ -117,7 +147,8 @@ ish AS (SELECT item_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS place, w FR
 ip AS (SELECT item_id, n, place, array_to_string(w[place + 1 : place + 5], ' ') AS g FROM ish),
 dsh AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS pos, w FROM d WHERE len(w) >= 5),
 dp AS (SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 5], ' ') AS g FROM dsh),
-win AS (SELECT DISTINCT dp.doc_id, ip.item_id, dp.pos - ip.place AS start, ip.n FROM dp JOIN ip USING (g)),
+hit AS (SELECT DISTINCT dp.doc_id, dp.pos, ip.item_id, ip.n FROM dp JOIN ip USING (g)),
+win AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(pos - n + 5, pos + 1)) AS start FROM hit),
 ww AS (SELECT win.*, unnest(range(greatest(start, 0), greatest(start, 0) + n + least(start, 0) - 4)) AS pos FROM win),
 wc AS (SELECT ww.doc_id, ww.item_id, ww.start, g, count(*) AS c FROM ww JOIN dp USING (doc_id, pos) GROUP BY ALL),
 ic AS (SELECT item_id, g, count(*) AS c FROM ip GROUP BY ALL),
