@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -118,6 +119,50 @@ def test_decontaminate(spark, corpus):
     assert kept.count() == len(rows) - 6 and kept.columns == docs_of(spark, rows).columns
 
 
+def brute_windows(docs, items):
+    """The best window of each document and item, from all windows of the item's length."""
+    split = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    shingles = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    out = {}
+    for i, text in docs:
+        w = split(text)
+        for j, item in items:
+            own = split(item)
+            want = shingles(own)
+            for start in range(-len(own), len(w)):
+                got = shingles(w[max(start, 0) : max(start + len(own), 0)])
+                both = (got & want).total()
+                if both and (score := both / (got.total() + want.total() - both)) >= 0.8:
+                    out[i, j] = max(out.get((i, j), (0, 0)), (round(score, 6), -max(start, 0)))
+    return {(i, j, -start, score) for (i, j), (score, start) in out.items()}
+
+
+def test_decontaminate_scores_every_window(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(500)]
+    items = [(j, " ".join(rng.choices(vocabulary, k=rng.randint(5, 60)))) for j in range(25)] + [(90, " ".join(["same"] * 30)), (91, " ".join(rng.choices("xy", k=40)))]
+    docs = []
+    for j, item in items:
+        w = item.split()
+        half = len(w) // 2
+        forms = [w, w[half:] + w[:half], w[1:], w[:-2], w[:half] + ["new"] + w[half:], w[:half] + w[half + 1 :], w[: half // 2] + w[half:] + w[half // 2 : half], w + w]
+        for form in forms:
+            before, after = (rng.choices(vocabulary, k=rng.choice([0, 3, 50])) for _ in range(2))
+            docs.append((len(docs), " ".join(before + form + after)))
+    want = brute_windows(docs, items)
+    got = {(r.doc_id, r.item_id, r.start, r.similarity) for r in decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 100
+    longest = max(items[:25], key=lambda x: len(x[1]))  # its halves exchanged keep 0.8 and more
+    assert sum(j == longest[0] for _, j, *_ in got) >= 4
+
+
+def test_index_holds_all_within_the_radius():
+    rng = random.Random(3)
+    for _ in range(2000):
+        flipped = rng.sample(range(64), decontaminate.RADIUS)
+        assert min(sum(lo <= b < hi for b in flipped) for lo, hi in zip(decontaminate.EDGES, decontaminate.EDGES[1:])) <= decontaminate.FLIPS
+
+
 def test_line_dedup(spark):
     form = "user {} signed in from the office of {} at noon today"
     texts = [(i, f"some words of document {'abcdefgh'[i]} alone here\n" + form.format(i, "pqrst"[i]) + "\nshort one\n") for i in range(5)]
@@ -175,6 +220,52 @@ def test_html_shows_all_visible_text():
     assert html.render("<object data=x><param name=y>instead <i>this</i></object>") == "instead this"
 
 
+def test_html_tables_align_over_columns_and_rows():
+    assert html.render("<table><tr><td rowspan=2>R<td>x<tr><td>y</table>") == "R  x\n   y"
+    assert html.render("<table><tr><th colspan=2>wide head<th>C<tr><td>a<td>b<td>c</table>") == "wide head  C\na  b       c"
+    assert html.render("<table><tr><td colspan=3>abc<td>z<tr><td colspan=9999 rowspan=0>d<tr><td colspan=x>e<td>f</table>") == "abc   z\nd\ne  f"
+    rng = random.Random(2)
+    for _ in range(50):  # the text of every cell stands where a plain model of the grid puts it
+        columns, rows, taken, cells = 5, 6, {}, []
+        for r in range(rows):
+            line, c = [], 0
+            while c < columns:
+                if (r, c) in taken:
+                    c += 1
+                    continue
+                wide = 1
+                while wide < 3 and c + wide < columns and (r, c + wide) not in taken and rng.random() < 0.3:
+                    wide += 1
+                deep = rng.choice([1, 1, 1, 2, 3])
+                name = f"{r}{c}" + "x" * rng.randrange(4)
+                taken |= {(r + i, c + k): name for i in range(deep) for k in range(wide)}
+                line.append(f"<td colspan={wide} rowspan={deep}>{name}")
+                cells.append((r, c, name))
+                c += wide
+            taken[r] = line
+        text = html.render("<table>" + "".join("<tr>" + "".join(taken[r]) for r in range(rows)) + "</table>").split("\n")
+        at = defaultdict(set)
+        for line in text:
+            for m in re.finditer(r"\S+", line):
+                at[int(m[0][1])].add(m.start())
+        assert all(len(x) == 1 for x in at.values()) and [min(at[c]) for c in sorted(at)] == sorted(min(x) for x in at.values())
+        assert Counter(w for line in text for w in line.split()) == Counter(n for _, _, n in cells if n)
+
+
+def test_html_visibility_is_inherited_and_can_return():
+    page = "a <div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no <i>no</i></div> b"
+    assert html.render(page) == "a\nyes\nb"
+    assert html.render("<div style='display:none'>no <b style='visibility:visible;display:block'>no</b></div>b") == "b"
+    assert html.render("<table><tr><td style='visibility:hidden'>hide<td>x<tr><td>y<td>z</table>") == "   x\ny  z"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60000 + "deep", "<b>" * 60000 + "</i>" * 60000 + "deep", "<b><table>" + "<div>" * 30000 + "</b>" * 30000 + "deep", "<p><ul><li>" * 3000 + "deep", "<table><tr><td>" * 10000 + "deep", "<ul>" + "<li><span>" * 30000 + "deep", "<table><tr><td colspan=1000 rowspan=65534>deep" + "<tr><td>" * 30000])
+def test_html_of_any_depth_takes_no_long_time(page):
+    began = time.process_time()
+    assert "deep" in html.render(page)
+    assert time.process_time() - began < 8
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert Counter(map(tuple, html.extract_text(pages).collect())) == {(1, "u", "x"): 2, (None, None, ""): 1}
@@ -248,6 +339,64 @@ def test_mixing(spark):
     assert len(everything) == 300 and {r.repeats for r in everything} == {mixing.MAX_EPOCHS}
 
 
+def test_mixing_to_given_weights(spark):
+    rows = [(i, "w " * 10, ("en", "de")[i % 2], f"src{i % 4}", 0, "x", "x", "x", "x") for i in range(800)]
+    docs = spark.createDataFrame(rows, DOCS)
+    weights = ({"a": 3, "b": 1}, {"en": 2, ("b", "en"): 5}, {"src0": 4})
+    domain = F.when(F.col("source").isin("src0", "src1"), "a").otherwise("b")
+    taken = lambda **more: mixing.mix_sources(docs, budget=4000, weights=weights, domain=domain, **more)
+    got = {(r.domain, r.lang): r.n for r in taken().groupBy("domain", "lang").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("n")).collect()}
+    for leaf, share in {("a", "en"): 2000, ("a", "de"): 1000, ("b", "en"): 4000 * 5 / 24, ("b", "de"): 4000 / 24}.items():
+        assert share - 20 < got[leaf] <= share
+    ids = lambda d: {r.doc_id for r in d.collect()}
+    assert ids(taken()) == ids(taken()) != ids(taken(seed=18))
+    for bad in (0, -1, 1.5):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(docs, weights=({"a": bad}, {}, {}))
+
+
+def brute_mixture(rows, budget, max_epochs, weights, seed):
+    """Budgets by filling up one child after the other, and a scan of each leaf's order."""
+    import hashlib
+
+    leaves = defaultdict(list)
+    for i, text, lang, source in rows:
+        if n := len(WORD.findall(text or "")):
+            domain = f"domain{int(source[3:]) % 4}" if source else "domain"
+            leaves[domain, lang or mixing.NONE, source or mixing.NONE].append((i, n))
+
+    def share(children, amount, level):
+        limit = {c: max_epochs * sum(n for leaf, own in leaves.items() if leaf[: level + 1] == c for _, n in own) for c in children}
+        weight, out, open_ = {c: weights[level].get(c[-1], 1) for c in children}, {}, set(children)
+        for c in sorted(children, key=lambda c: (limit[c] / weight[c], c[-1])):
+            if limit[c] * sum(weight[x] for x in open_) <= (amount - sum(out.values())) * weight[c]:
+                out[c] = limit[c]
+                open_.discard(c)
+        left, total = amount - sum(out.values()), sum(weight[x] for x in open_)
+        return out | {c: left * weight[c] // total for c in open_}
+
+    given = {(): sum(n for own in leaves.values() for _, n in own) if budget is None else budget}
+    for level in range(3):
+        given = {c: n for up, amount in given.items() for c, n in share(sorted({leaf[: level + 1] for leaf in leaves if leaf[:level] == up}), amount, level).items()}
+    out = Counter()
+    for leaf, own in leaves.items():
+        epochs, rest = divmod(given[leaf], sum(n for _, n in own))
+        upto = 0
+        for i, n in sorted(own, key=lambda x: hashlib.md5(f"{seed}:{epochs}:{x[0]}".encode()).digest()):
+            upto += n
+            out[i] = epochs + (upto <= rest)
+    return {i: n for i, n in out.items() if n}
+
+
+@pytest.mark.parametrize("budget", [None, 300, 100000])
+def test_mixing_against_brute_force(spark, budget):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(12), rng.choice(["en", "en", "de", "fr", None]), rng.choice(["src0", "src1", "src2", "src5", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.repeats for r in mixing.mix_sources(docs, budget).collect()}
+    assert got == brute_mixture(rows, budget, mixing.MAX_EPOCHS, mixing.WEIGHTS, mixing.SEED)
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[1][1]
     rows = [(1, "intro\nReleased under the MIT license\nmore"), (2, mit.replace(", subject", ",\nsubject")), (3, "the license plate of a car, and a licensed driver"), (4, None), (5, ""), (None, "All rights reserved."), (6, "words " * 500 + "Licensed under CC BY-NC 4.0. " + "words " * 500)]
@@ -283,6 +432,44 @@ def test_licenses_confirm_every_template():
     assert named(f"free of charge {two}\n{two}") == ["MIT", "MIT"]
 
 
+def test_licenses_told_apart():
+    named = lambda text: sorted({x[1] for x in licenses.scan(text)})
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    assert named(gnu.format("program", "", 2)) == ["GPL-2.0"] and named(gnu.format("library", "Lesser ", 3)) == ["LGPL-3.0"] and named(gnu.format("program", "Affero ", 3)) == ["AGPL-3.0"]
+    assert named(gnu.format("program", "", 7)) == []  # no such version
+    for name, of, v in (("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-2.1", "Lesser ", 2.1), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3)):
+        assert named(f"It is licensed under the GNU {of}General Public License, version {v}.") == [name]
+    assert named("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed") == ["MPL-2.0"]
+    assert named("This is not released under the MIT License.") == named("This work is not licensed under the GNU General Public License, version 3.") == []
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        assert named(f"Licensed under CC {kind} 4.0.") == [f"CC-{kind}-4.0"]
+    five = "Released under the MIT License. Licensed under CC BY 4.0. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. All rights reserved. This work is licensed under the GNU General Public License, version 3."
+    assert named(five) == ["All-Rights-Reserved", "CC-BY-4.0", "GPL-3.0", "MIT", "MPL-2.0"]
+
+
+def test_licenses_against_every_template():
+    """Blocks around cues lose nothing that a comparison of all templates with the whole text finds."""
+    rng = random.Random(4)
+    filler = ["".join(rng.choices("bdfgkmnz", k=rng.randint(3, 9))) for _ in range(200)]
+    for name, notice in licenses.TEMPLATES:
+        for _ in range(3):
+            w = notice.split()
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                k = rng.randrange(len(w))
+                w[k : k + rng.choice([0, 1])] = rng.choice([[], [rng.choice(filler)], ["3"], ["lesser"]])
+            text = " ".join([*rng.choices(filler, k=rng.choice([0, 9, 60])), *w, *rng.choices(filler, k=rng.choice([0, 9, 60]))])
+            said = licenses.words(text)
+            want = {n for n, t in licenses.TEMPLATES if licenses.accepted(licenses.words(t), said)} if licenses.CUE.search(text) else set()
+            assert {x[1] for x in licenses.scan(text)} == want, (name, text)
+
+
+def test_one_letter_has_a_language(spark):
+    langs, logp = langid.fit(spark.createDataFrame([("le la un une x", "fr"), ("I a the it is", "en")], "text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs_of(spark, [(1, "x"), (2, "I"), (3, "4 I!"), (4, "é"), (5, "字"), (6, "5")]), langs, logp).collect()}
+    assert got[1][0] == "fr" and got[2][0] == got[3][0] == "en" and got[4][0] in langs and got[5][0] in langs and got[6] == ("und", 0.0)
+    assert all(0 <= x <= 1 for _, x in got.values())
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [(1, "x")]).limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
