@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelane.plans import credits, records, rollouts, selections, trials, updates
+from tidelane.plans import credits, curations, records, rollouts, rows, selections, trials, updates
 
-MODULES = [rollouts, records, credits, selections, updates, trials]
+MODULES = [rollouts, records, credits, selections, updates, trials, rows, curations]
 
 
 def queries() -> dict:
