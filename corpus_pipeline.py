@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet
 in the shared folder and reads it again as the next stage's docs.
+
+Stages read the columns of documents and leave others out, whatever their names; tables
+without rows give none. Repeated rows are documents of their own until the Jaccard stage.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null or empty text has too few words, and goes; null
+    ids and sources stay as they are, and repeated rows stay or go together."""
     return with_quality(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those left without a word go."""
+    """Documents without recurring lines, of which the first stays; those that lose every word go,
+    and n_chars is counted again. Null texts lose nothing and stay. Repeated rows are one document here."""
     lines = line_dedup(docs.select(*COLUMNS)).filter("n_dropped = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     return lines.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -43,12 +48,15 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
+    """Documents in which no benchmark item was found, at any similarity from the threshold on: ties
+    don't matter. Null and short texts match nothing, and stay; repeated rows stay or go together.
+    A benchmark without usable items keeps every document."""
     return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken by the mixture, with how often."""
+    """Documents taken by the mixture, with their domain, tokens and how often. Texts without words, and
+    nulls, are never taken; a null language or source is a leaf of its own."""
     return mix_sources(docs.select(*COLUMNS))
 
 
