@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelane.plans import credits, curations, dialogues, records, rollouts, rows, selections, trials, updates
+from tidelane.plans import credits, curations, dialogues, hooks, records, rollouts, rows, selections, trials, updates
 
-MODULES = [rollouts, records, credits, selections, updates, trials, rows, curations, dialogues]
+MODULES = [rollouts, records, credits, selections, updates, trials, rows, curations, dialogues, hooks]
 
 
 def queries() -> dict:

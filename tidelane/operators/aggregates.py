@@ -83,7 +83,7 @@ def masked_stats(df: DataFrame, value: str, mask: str) -> DataFrame:
     m = F.col(mask).cast("double")
     on = df.filter(m != 0)
     first = on.agg(F.sum(F.col(value) * m).alias("masked_sum"), F.sum(m).alias("n_")).withColumn("masked_mean", F.col("masked_sum") / (F.col("n_") + 1e-8))
-    n, d = F.col("n_"), F.col(value) - F.col("masked_mean")
+    n, d = F.col("n_"), F.col(value) - F.col("masked_sum") / F.col("n_")
     spread = on.crossJoin(F.broadcast(first)).agg(F.sum(d * d * m).alias("d_"))
     return first.crossJoin(spread).select("masked_sum", "masked_mean", (F.col("d_") / n * n / (n - 1)).alias("masked_var"))
 

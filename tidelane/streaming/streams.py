@@ -64,3 +64,46 @@ def sink_once(stream: DataFrame, path: str, checkpoint: str, write: Callable[[Da
     so that one that is run again replaces itself."""
     default = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
     return stream.writeStream.foreachBatch(write or default).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def batches_of(stream: DataFrame, size: int, key: str = "queue", item: str = "item") -> DataFrame:
+    """(key, number, items): every `size` items of a key, in the order they came, as one batch; the rest waits in the state."""
+
+    def gather(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, done = state.get if state.exists else ([], 0)
+        held = [*held, *sorted(int(x) for p in parts for x in p["item"])]
+        whole = len(held) // size
+        out = [held[i * size : (i + 1) * size] for i in range(whole)]
+        state.update((held[whole * size :], done + whole))
+        yield pd.DataFrame({"key": [k[0]] * whole, "number": [done + i for i in range(whole)], "items": out})
+
+    named = stream.select(F.col(key).cast("string").alias("key"), F.col(item).cast("long").alias("item"))
+    return named.groupBy("key").applyInPandasWithState(gather, "key string, number long, items array<long>", "held array<long>, done long", "append", GroupStateTimeout.NoTimeout)
+
+
+def sliding_windows(stream: DataFrame, at: str, window: str, slide: str, late: str, *keys: str) -> DataFrame:
+    """Counts and sums of `value` per sliding window."""
+    return stream.withWatermark(at, late).groupBy(F.window(at, window, slide).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", *keys, "n", "total")
+
+
+def sessions(stream: DataFrame, at: str, gap: str, late: str, *keys: str) -> DataFrame:
+    """Counts and sums of `value` per session: rows of a key no further apart than the gap."""
+    return stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", *keys, "n", "total")
+
+
+def joined_within(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, span: str, late: str) -> DataFrame:
+    """Rows of two streams with one key, the right one at or up to `span` after the left; watermarks bound what is kept."""
+    a = left.withWatermark(left_at, late)
+    b = right.withColumnRenamed(key, "k_").withWatermark(right_at, late)
+    return a.join(b, (F.col(key) == F.col("k_")) & (F.col(right_at) >= F.col(left_at)) & (F.col(right_at) <= F.col(left_at) + F.expr(f"INTERVAL {span}"))).drop("k_")
+
+
+def allowed_samples(required: int, threshold: float, sync_step: int) -> int:
+    """How many samples may be made before the next sync of parameters."""
+    return int(required * (threshold + 1) * sync_step)
+
+
+def paused(progress: DataFrame, most: int, made: str = "made", queued: str = "queued", capacity: int | None = None) -> DataFrame:
+    """Adds `pause`: whether as many samples as allowed were made since the last sync, or the queue is full."""
+    full = F.lit(False) if capacity is None else F.col(queued) >= capacity
+    return progress.withColumn("pause", (F.col(made) >= most) | full)
