@@ -489,3 +489,23 @@ def test_columns_of_any_name_stay(spark):
     assert mixed.count() == 4 and lines.count() == 4 and clean.columns == docs.columns and clean.count() == 2  # x is in documents 0 and 3
     for out in (mixed, lines):
         assert all(r[n] == n for r in out.collect() for n in ("last", "rest", "fit", "of_", "lang_", "bucket", "dropped", "lines_", "a.b"))
+
+
+def test_other_columns_and_empty_tables_of_python_operators(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>x"), (2, None, None)], "page_id long, url string, html string")
+    for name in ("text", "payload", "digest", "top", "frame", "n", "a.b"):
+        pages = pages.withColumn(name, F.lit(name))
+    assert {tuple(r) for r in html.extract_text(pages).collect()} == {(1, "u", "x"), (2, None, "")}
+    warc.write_archives(pages, f"{tmp_path}/clash")
+    assert warc.read_archives(spark, f"{tmp_path}/clash").count() == 2
+    turns = spark.createDataFrame([(1, 0, "user", "a" * 1000), *((1, k, ("user", "assistant")[k % 2], "b" * 1000) for k in range(1, 200))], "conv_id long, turn long, role string, text string")
+    for name in ("head", "body", "last", "example", "trainable", "formatted", "losses", "a.b"):
+        turns = turns.withColumn(name, F.lit(name))
+    back = chat.read_back(chat.format_chats(turns)).first()
+    assert len(back.turns) == 200 and len(back.loss) == 100 * 1000
+    assert chat.format_chats(turns.limit(0)).count() == 0 and chat.read_back(chat.format_chats(turns.limit(0))).count() == 0
+    langs, logp = langid.fit(spark.createDataFrame([("le la", "fr")], "text string, lang string"))
+    docs = docs_of(spark, [(1, "le"), (None, None)]).withColumn("worded", F.lit("x")).withColumn("score", F.lit("x"))
+    assert langid.predict(docs.limit(0), langs, logp).count() == 0
+    assert {(r.doc_id, r.lang_pred) for r in langid.predict(docs, langs, logp).collect()} == {(1, "fr"), (None, "und")}
+    assert licenses.license_scan(docs.withColumn("license", F.lit("x"))).count() == 0

@@ -21,6 +21,8 @@ from tidelane.llm.textnum import blocks
 #: Bytes in an n-gram, bits of its hash, and the count that each n-gram is given beforehand.
 GRAM, BITS, PRIOR = 4, 16, 0.5
 ROUNDS = 10
+#: Bytes of text that are worked on at once; a longer document goes alone, and whole.
+BLOCK = 1 << 18
 #: A further language must raise the log-likelihood by this much times log(n-grams), and hold this share.
 PENALTY, LEAST_SHARE = 2.0, 0.05
 PREDICTED = "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>"
@@ -34,7 +36,7 @@ def letters(text: str) -> Column:
 
 def grams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, document, n-gram) for blocks of documents; n-grams stay within one document."""
-    for i, j, b in blocks(texts):
+    for i, j, b in blocks(texts, BLOCK):
         n = len(b.data) - GRAM + 1
         if n <= 0:
             yield i, j, np.zeros(0, np.int64), np.zeros(0, np.int64)
