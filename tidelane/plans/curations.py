@@ -236,3 +236,33 @@ def split_collisions(spark, sf_dir):
 def reuse_screen(spark, sf_dir):
     c = C.flagged(read(spark, sf_dir, "customer"), {n: F.expr(x) for n, x in _FLAGS.items()})
     return C.cohort_summary(c, "c_mktsegment").drop("first_flag")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'baggage,cancel' WHEN 1 THEN 'baggage' WHEN 2 THEN 'cancel' ELSE '' END AS tags, CASE o_orderkey % 4 WHEN 0 THEN 'multi_goal' WHEN 1 THEN 'baggage' WHEN 2 THEN 'cancel' ELSE 'lookup_or_policy' END AS main,
+CASE WHEN o_orderkey % 4 IN (0, 2) THEN 'u' || o_custkey ELSE '' END AS entities, CASE WHEN o_orderkey % 4 IN (0, 2) THEN 'drop' ELSE '' END AS mutations FROM orders""")
+def record_tags(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    call = F.struct(F.when(k.isin(0, 2), "drop").otherwise("look").alias("name"), F.when(k.isin(0, 2), F.create_map(F.lit("user_id"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")), F.lit("x"), F.lit("y"))).otherwise(F.create_map(F.lit("x"), F.lit("z"))).alias("arguments"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k.isin(0, 1), "My BAGS").otherwise("hello").alias("text"), F.array(call).alias("actions"))
+    t = o.withColumn("t", T.tags(F.col("text"), {"baggage": r"\bbags?\b"}, F.transform("actions", lambda a: a["name"]), {"drop": "cancel"}))
+    join = lambda c: F.array_join(c, ",")
+    return t.select("o_orderkey", join(F.col("t")).alias("tags"), T.primary_tag(F.col("t")).alias("main"), join(T.entities("actions")).alias("entities"), join(T.mutations("actions", ("drop",))).alias("mutations"))
+
+
+@query("SELECT p_partkey FROM part WHERE len(string_split(p_name, ' ')) <= 2 AND p_partkey % 5 <> 0")
+def length_filter(spark, sf_dir):
+    def words(t: str) -> int:
+        if t == "broken":
+            raise ValueError(t)
+        return len(t.split(" "))
+
+    p = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, "broken").otherwise(F.col("p_name")).alias("t"))
+    return T.within_length(p, "t", 2, words).select("p_partkey")
+
+
+@query("WITH v AS (SELECT l_orderkey AS k, -(exp(-l_discount) / 3 * (-l_discount - ln(3)) + exp(-l_tax) / 4 * (-l_tax - ln(4))) AS h FROM lineitem), e AS (SELECT k, 2 * h / ln(1000) AS h FROM v) SELECT k % 9 AS k, round(avg(h), 6) AS entropy, round(avg(greatest(0, least(1, 0.5 + 2 * (h - 0.2)))), 6) AS branch FROM e GROUP BY 1")
+def branch_entropy(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    one = F.array(-F.col("l_discount") - F.log(F.lit(3.0)), -F.col("l_tax") - F.log(F.lit(4.0)))
+    v = li.select((F.col("l_orderkey") % 9).alias("k"), F.array(one, one, one).alias("x")).withColumn("h", T.partial_entropy("x", 1000, 2))
+    return rounded(v.groupBy("k").agg(F.avg("h").alias("entropy"), F.avg(T.branch_probability(0.5, 2.0, F.col("h") - 0.2)).alias("branch")), "entropy", "branch")
