@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelane.operators.curation import unique_keys
-from tidelane.operators.sequences import hash_rank_split
+from tidelane.operators.sequences import borders, seeded_hash
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = True) -> DataFrame:
@@ -34,7 +34,7 @@ def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def dataset(spark: SparkSession, *paths: str, sample: int | None = None, seed: int | None = None, key: str | None = None) -> DataFrame:
     """Parquet, JSON or JSONL files as one frame. `sample` rows are the first by key, or with
-    a seed the first by a seeded hash of it: an exact number where keys are unique."""
+    a seed the first by a seeded hash of it: an exact number, though keys be repeated."""
     parts = [spark.read.parquet(p) if p.endswith(".parquet") else spark.read.option("multiLine", p.endswith(".json")).json(p) for p in paths]
     out = parts[0]
     for p in parts[1:]:
@@ -45,7 +45,10 @@ def dataset(spark: SparkSession, *paths: str, sample: int | None = None, seed: i
         raise ValueError("an exact sample needs a key to order by")
     if seed is None:
         return out.orderBy(key).limit(sample)
-    return hash_rank_split(out, key, seed, {"taken": sample}).filter("split = 'taken'").drop("split")
+    hashed = out.withColumn("hash_", seeded_hash(key, seed))
+    border = borders(hashed, [sample]).first()[0][0]
+    below = hashed.filter(F.col("hash_") < border)
+    return below.union(hashed.filter(F.col("hash_") == border).limit(max(0, sample - below.count()))).drop("hash_")
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
