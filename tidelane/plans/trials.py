@@ -167,12 +167,12 @@ def binned_accuracy(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT o_orderstatus AS llm, l_orderkey AS run, CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE l_extendedprice END AS cost FROM lineitem JOIN orders ON o_orderkey = l_orderkey), r AS (SELECT llm, run, CASE WHEN count(*) = count(cost) THEN sum(cost) END AS c FROM m GROUP BY ALL)
-SELECT llm, count(c) AS runs, round(avg(c), 2) AS mean_cost, round(sum(c), 1) AS total_cost FROM r GROUP BY 1""")
+SELECT llm, count(c) AS runs, round(avg(c), 2) AS mean_cost, round(sum(c), 2) AS total_cost FROM r GROUP BY 1""")
 def run_costs(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     m = li.select(F.col("o_orderstatus").alias("llm"), F.col("l_orderkey").alias("run"), F.when(F.col("l_partkey") % 50 != 0, F.col("l_extendedprice")).alias("cost"))
     out = V.costs(m, "run", "llm")
-    return out.select("llm", "runs", F.round("mean_cost", 2).alias("mean_cost"), F.round("total_cost", 1).alias("total_cost"))
+    return out.select("llm", "runs", F.round("mean_cost", 2).alias("mean_cost"), F.round("total_cost", 2).alias("total_cost"))
 
 
 @query("""WITH t AS (SELECT o_custkey AS task_id, o_orderstatus AS e, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS r FROM orders), p AS (SELECT task_id, avg(r) FILTER (e = 'F') AS F, avg(r) FILTER (e = 'O') AS O FROM t GROUP BY 1)
