@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidelane.llm import chat, decontaminate, html, jaccard, langid, licenses, linededup, mixing, quality, warc
+from tidelane.llm import chat, decontaminate, html, jaccard, langid, licenses, linededup, mixing, quality, resample, sharding, spelling, warc
 
-MODULES = [quality, decontaminate, linededup, html, langid, warc, chat, mixing, licenses, jaccard]
+MODULES = [quality, decontaminate, linededup, html, langid, warc, chat, mixing, licenses, jaccard, sharding, spelling, resample]
 
 
 def queries() -> dict:
