@@ -63,19 +63,22 @@ def chunks(data: bytes, n: int = WORDS, size: int = CHUNK) -> Iterator[tuple[byt
         at = end
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, doc, text in zip(batch.column("row"), batch.column("doc_id"), batch.column("text")):
-            for part, (piece, own) in enumerate(chunks(text.as_buffer().to_pybytes())):
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()]), pa.array([doc.as_py()], pa.int64()), pa.array([part]), pa.array([own]), pa.array([piece.decode()])], ["row", "doc_id", "part", "own", "text"])
+def _split(n: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc, text in zip(batch.column("row"), batch.column("doc_id"), batch.column("text")):
+                for part, (piece, own) in enumerate(chunks(text.as_buffer().to_pybytes(), n)):
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()]), pa.array([doc.as_py()], pa.int64()), pa.array([part]), pa.array([own]), pa.array([piece.decode()])], ["row", "doc_id", "part", "own", "text"])
+
+    return run
 
 
-def pieces(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def pieces(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, own, text) of the texts that stay whole, and of the chunks of long ones, which
     are dealt out and stored. `row` tells rows apart."""
     docs = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     size = F.octet_length("text").cast("long")
-    long = docs.filter(size > CHUNK).mapInArrow(_split, "row long, doc_id long, part long, own long, text string")
+    long = docs.filter(size > CHUNK).mapInArrow(_split(n), "row long, doc_id long, part long, own long, text string")
     return docs.filter(size <= CHUNK).select("row", "doc_id", size.alias("own"), "text"), stored(long.repartition("row", "part").drop("part"))
 
 
@@ -191,11 +194,11 @@ def importance_resample(docs: DataFrame, target: DataFrame, percent: int = PERCE
     Texts are read twice, as the gains need all counts first; what is shuffled is chunks of long texts,
     a count for each bucket and task, and one short row for each document. The gains are `buckets` numbers.
     """
-    whole, split = pieces(docs)
+    whole, split = pieces(docs, n)
     counts = bucket_counts(whole, split, n, buckets)
     told = target.select(F.lit(0).cast("long").alias("doc_id"), target["text"])
     gain = np.zeros(buckets)
-    for r in bucket_gains(cut(counts), bucket_counts(*pieces(told), n, buckets), buckets).collect():  # as many rows as buckets
+    for r in bucket_gains(cut(counts), bucket_counts(*pieces(told, n), n, buckets), buckets).collect():  # as many rows as buckets
         gain[r.bucket] = r.gain
     run, kind = _weighed(n, gain), "row long, doc_id long, n_words long, n_features long, gains long"
     parts = split.mapInArrow(run, kind).groupBy("row", "doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_features").alias("n_features"), F.sum("gains").alias("gains"))

@@ -10,7 +10,7 @@ little. All nodes of a level are split in the same passes.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,14 +37,14 @@ def magnitude(name: str) -> Column:
 
 
 #: The metadata of `documents`; `size` is the row's size in bytes.
-AXES = {"lang": category("lang"), "source": category("source"), "size": magnitude("size")}
+AXES = {"lang": category, "source": category, "size": magnitude}
 
 
-def _points(docs: DataFrame, axes: dict[str, Column]) -> DataFrame:
+def _points(docs: DataFrame, axes: dict[str, Callable[[str], Column]]) -> DataFrame:
     """(doc_id, copy, size, crc, text_at, row_at, at array<int>): a row for each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     sized = docs.withColumn("size", F.octet_length(text).cast("long") + 1)
-    read = sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), "size", F.crc32(text).alias("crc"), F.array(*axes.values()).alias("at"))
+    read = sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("key"), "size", F.crc32(text).alias("crc"), F.array(*(axis(name) for name, axis in axes.items())).alias("at"))
     rows = stored(read).groupBy("doc_id", "key").agg(F.first("size").alias("size"), F.first("crc").alias("crc"), F.min("at").alias("at"), F.count("*").alias("n"))
     rows = stored(rows)
     groups = rows.groupBy("key").agg(F.min(F.struct("doc_id", "at"))["at"].alias("led"), F.min("at").alias("low"), F.max("at").alias("high"))
@@ -104,7 +104,7 @@ def _level(points: DataFrame, nodes: DataFrame, total: int, shards: int, n_axes:
     return stored(moved.select(points.columns)), small(parts)
 
 
-def shard_documents(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, axes: dict[str, Column] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, axes: dict[str, Callable[[str], Column]] | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs.
 
     docs has doc_id, text and what the axes read; a column of docs named size is replaced, others don't
@@ -116,7 +116,7 @@ def shard_documents(docs: DataFrame, shards: int | None = SHARDS, target_bytes:
     one text are numbered as copies, one like another. grown_shard is null, as it belongs to another
     law. With fewer documents than shards some stay empty. No rows give no rows.
 
-    axes are columns of whole numbers below GRID, by name. Bytes are summed by node and digit of a row's
+    axes give a column's place, a whole number from 0 to below GRID, by the column's name. Bytes are summed by node and digit of a row's
     place before they are shuffled, in four passes a level, so no task holds a node's rows; what is kept of a
     level is one row for each node.
     """
@@ -185,8 +185,8 @@ WITH bits AS (SELECT range AS c, list_reduce([range] || range(8), lambda c, b: C
 crc AS (SELECT list(t ORDER BY c) AS t FROM bits),
 d AS (SELECT *, coalesce(text, '') AS said FROM documents),
 h AS (SELECT *, md5(said) AS key, octet_length(encode(said)) + 1 AS size, hex(encode(said)) AS hexed FROM d),
-g AS (SELECT key, any_value(hexed) AS hexed, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source FROM h GROUP BY key),
-k AS (SELECT key, lang, source, list_reduce([4294967295] || list_transform(range(length(hexed) // 2), lambda i: ('0x' || hexed[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)) AS state FROM g, crc),
+g AS (SELECT key, any_value(hexed) AS hexed, arg_min({{'lang': lang, 'source': source}}, doc_id) AS led FROM h GROUP BY key),
+k AS (SELECT key, led.lang AS lang, led.source AS source, list_reduce([4294967295] || list_transform(range(length(hexed) // 2), lambda i: ('0x' || hexed[2 * i + 1:2 * i + 2])::BIGINT), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)) AS state FROM g, crc),
 p0 AS (SELECT doc_id, size, key, xor(state, 4294967295) AS crc, row_number() OVER (PARTITION BY doc_id, key) - 1 AS copy, ('0x' || key[1:8])::BIGINT AS text_at,
   ('0x' || md5(coalesce(k.lang, ''))[1:3])::BIGINT AS a0, ('0x' || md5(coalesce(k.source, ''))[1:3])::BIGINT AS a1, least({GRID - 1}, floor(100 * ln(size)))::BIGINT AS a2, 0 AS node FROM h JOIN k USING (key)),
 total AS (SELECT sum(size) AS total FROM p0),
