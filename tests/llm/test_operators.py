@@ -167,7 +167,7 @@ def test_line_dedup(spark):
     form = "user {} signed in from the office of {} at noon today"
     texts = [(i, f"some words of document {'abcdefgh'[i]} alone here\n" + form.format(i, "pqrst"[i]) + "\nshort one\n") for i in range(5)]
     rows = [*texts, (0, texts[0][1]), (9, None), (10, ""), (11, form.format(3, "south")), (None, form.format("x", "north")), (12, "a b c d e f g\na b c d e f g")]
-    got = linededup.line_dedup(docs_of(spark, rows)).collect()
+    got = linededup.line_dedup(docs_of(spark, rows), min_docs=2).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     assert by[9].text is None and by[9].n_lines == 0 and by[10].text == ""
@@ -185,7 +185,7 @@ def test_line_dedup_fields_from_pools(spark, values):
     mixed = "This page was bought at {} and never seen a second time since"
     other = "This page was sold off by {} to us before it closed down"  # two templates in one leaf
     rows = [(values * i + j, "\n".join([two.format(a, b), one.format(b), (mixed if i % 2 else other).format(b)])) for i, a in enumerate(name) for j, b in enumerate(city)]
-    got = {r.doc_id: r for r in linededup.line_dedup(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r for r in linededup.line_dedup(docs_of(spark, rows), min_docs=2).collect()}
     assert got[0].n_dropped == 0 and sum(r.n_dropped for r in got.values()) == 3 * len(rows) - 4
     assert got[values].text == mixed.format(city[0])
 
@@ -195,7 +195,7 @@ def test_line_dedup_counts_documents(spark):
     alone = [(1, form.format("Xyz") + "\n" + form.format("Abc")), (2, "other words that nothing else repeats\nother words that no one repeats")]
     rows = [*alone, (3, "lines of a list of {0} here\nlines of a list of {1} here".format("this", "that")), (4, "lines of a list of those here")]
     for some, dropped in ((alone, {1: 0, 2: 0}), (rows, {1: 0, 2: 0, 3: 1, 4: 1})):
-        assert {r.doc_id: r.n_dropped for r in linededup.line_dedup(docs_of(spark, [*some, *some])).collect()} == dropped
+        assert {r.doc_id: r.n_dropped for r in linededup.line_dedup(docs_of(spark, [*some, *some]), min_docs=2).collect()} == dropped
 
 
 def test_html():

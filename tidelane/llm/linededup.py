@@ -3,10 +3,10 @@
 A line's leaf in the tree is its token count and its leading tokens, after tokens with
 digits have become variable fields. Within a leaf, a token is a variable field too where
 it is in less than a half, a quarter, an eighth and so on of the leaf's documents, and at
-last in fewer than MIN_DOCS: the first of these shares at which enough of the line stays
+last in fewer than min_docs: the first of these shares at which enough of the line stays
 constant is taken. So lines of one template agree at CONSTANT_TENTHS of their positions,
-and lines that a smaller share unites stay together. Lines of a template that recurs
-across documents go, but for the first.
+and lines that a smaller share unites stay together. Lines of a template that is in
+min_docs documents or more go, but for the first; a line as it stands is a template too.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from tidelane.llm.common import as_given, cut, set_aside, small, stored, table
 
 #: Leading tokens in a leaf's key.
 DEPTH = 3
-#: Documents from which on a template recurs.
-MIN_DOCS = 2
+#: Documents from which on a template recurs. Sentences of ordinary prose that differ in a word are found in
+#: two or three documents, and so are lines of a document's few near copies, which are another operator's to judge.
+MIN_DOCS = 5
 #: Shorter lines always stay: they are headings, bullets and ends of lines.
 MIN_TOKENS = 5
 #: The least constant tokens of a template, in tenths of all.
@@ -76,7 +77,7 @@ def _few(found: DataFrame) -> DataFrame:
     return each.select("x.h", "leaf", "x.first", "x.n_docs", "x.tokens", ns.alias("ns"), "total")
 
 
-def _many(found: DataFrame, several: DataFrame) -> DataFrame:
+def _many(found: DataFrame, several: DataFrame, min_docs: int) -> DataFrame:
     """The same for leaves of any size, over one row for each token that can vary. `several`
     (leaf, doc_id, text_key, h) has the documents with more than one line of a leaf."""
     found = cut(found.dropDuplicates(LINE))  # repeated rows
@@ -84,7 +85,7 @@ def _many(found: DataFrame, several: DataFrame) -> DataFrame:
     token = said(found.select(*LINE, "n_docs", "words")).select(*LINE, "pos", "n_docs", "key")
     again = said(several.join(found.select(*LINE, "words"), LINE)).select("leaf", "key", *ID)
     often = token.select("leaf", "key", F.col("n_docs").alias("n")).union(_twice(again, "leaf", "key"))
-    often = often.groupBy("leaf", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS)
+    often = often.groupBy("leaf", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     marks = token.join(often, ["leaf", "key"]).groupBy(*LINE).agg(F.collect_list(F.struct("pos", (-F.col("n")).alias("n"))).alias("marks"))
     total = found.select("leaf", F.col("n_docs").alias("n")).union(_twice(several, "leaf")).groupBy("leaf").agg(F.sum("n").alias("total"))
     every = found.join(marks, LINE, "left").join(small(total), "leaf").withColumn("tokens", F.split("words", " "))
@@ -93,16 +94,12 @@ def _many(found: DataFrame, several: DataFrame) -> DataFrame:
     return every.select(*LINE, "first", "n_docs", "tokens", ns.alias("ns"), "total")
 
 
-def _generalised(docs: DataFrame, lines: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _generalised(docs: DataFrame, own: DataFrame, shared: DataFrame, min_docs: int, tenths: int) -> tuple[DataFrame, DataFrame]:
     """(h, leaf, template, n_docs, first) of the distinct lines that share a leaf with others,
-    and (leaf, template, n) that corrects the sum of n_docs where a document has several of them.
-    Two lines that both recur as they stand stay apart: one has half of the documents."""
-    leaves = contents.groupBy("leaf").agg(F.count("*").alias("k"), F.count_if(~F.col("recurs")).alias("rare")).filter("k > 2 OR k > 1 AND rare > 0")
-    shared = cut(contents.join(small(leaves.select("leaf", "k")), "leaf").select(*LINE, "first", "k"))
-    own = cut(lines.join(small(shared.select(*LINE)), LINE).select(*LINE, *ID).distinct())
+    and (leaf, template, n) that corrects the sum of n_docs where a document has several of them."""
+    own = own.join(small(shared.select("leaf").distinct()), "leaf", "left_semi")
     several = own.groupBy("leaf", *ID).agg(F.collect_list("h").alias("of")).filter(F.size("of") > 1)
     several = cut(several.select("leaf", *ID, F.explode("of").alias("h")))
-    shared = shared.join(own.groupBy(*LINE).agg(F.count("*").alias("n_docs")), LINE)
     shared = shared.join(small(several.select("leaf").distinct().withColumn("twice", F.lit(True))), "leaf", "left")
     shared = shared.withColumn("few", (F.col("k") <= FEW) & F.col("twice").isNull())
     wanted = shared.groupBy(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("key")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), *LINE, "n_docs", "few", "first")).alias("want"))
@@ -111,45 +108,53 @@ def _generalised(docs: DataFrame, lines: DataFrame, contents: DataFrame) -> tupl
     found = found.withColumn("lines", F.split("text", "\n")).select(F.explode(F.expr("transform(want, w -> struct(w, element_at(lines, w.line_no + 1) AS line))")).alias("x"))
     found = cut(_words(found.select("x.w.*", F.col("x.line").alias("line"))).drop("line_no"))
 
-    general = _few(found.filter("few")).unionByName(_many(found.filter("NOT few"), several))
+    general = _few(found.filter("few")).unionByName(_many(found.filter("NOT few"), several, min_docs))
     parts = "transform(zip_with(tokens, ns, (t, n) -> struct(t AS token, n AS n)), (p, i) -> struct(i AS pos, p.token AS token, p.n AS n))"
     constant = f"p.token != '{FIELD}' AND (p.pos < {DEPTH} OR p.n >= share)"
-    shares = f"transform(sequence(1, greatest(1, int(ceil(log2(total))) - 1)), e -> greatest(double({MIN_DOCS}), total / pow(2, e)))"
-    share = f"get(filter({shares}, share -> 10 * size(filter(parts, p -> {constant})) >= {CONSTANT_TENTHS} * size(parts)), 0)"
+    shares = f"transform(sequence(1, greatest(1, int(ceil(log2(total))) - 1)), e -> greatest(double({min_docs}), total / pow(2, e)))"
+    share = f"get(filter({shares}, share -> 10 * size(filter(parts, p -> {constant})) >= {tenths} * size(parts)), 0)"
     said = f"xxhash64(7, transform(parts, p -> CASE WHEN {constant} THEN p.token ELSE '{FIELD}' END))"
     template = F.expr(_let("parts", parts, _let("share", share, f"IF(share IS NULL, h, {said})")))
     general = cut(general.select(*LINE, template.alias("template"), "n_docs", "first"))
     return general, _twice(several.join(general.select(*LINE, "template"), LINE), "leaf", "template")
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, dropped array<int>): line numbers that go, for documents that lose any."""
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, tenths: int = CONSTANT_TENTHS) -> DataFrame:
+    """(doc_id, text_key, dropped array<int>): line numbers that go, for documents that lose any.
+    Lines are told off by how often they are written, which is at least the number of
+    documents that have them; only those that are left are counted by document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     lines = _lines(docs)
-    contents = lines.groupBy(*LINE).agg(F.min(F.struct(*ID, "line_no")).alias("first"), F.max(F.struct(*ID)).alias("last"))
-    contents = stored(contents.select(*LINE, "first", (~F.struct("first.doc_id", "first.text_key").eqNullSafe(F.col("last"))).alias("recurs")))
-    general, twice = _generalised(docs, lines, contents)
+    contents = stored(lines.groupBy(*LINE).agg(F.min(F.struct(*ID, "line_no")).alias("first"), F.count("*").alias("n")))
+    leaves = contents.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n").alias("all")).filter((F.col("k") > 1) & (F.col("all") >= min_docs))
+    asked = cut(contents.join(small(leaves.select("leaf", "k")), "leaf", "left").filter(F.col("k").isNotNull() | (F.col("n") >= min_docs)).select(*LINE, "first", "k"))
+    own = cut(lines.join(small(asked.select(*LINE)), LINE).select(*LINE, *ID).distinct())
+    asked = cut(asked.join(own.groupBy(*LINE).agg(F.count("*").alias("n_docs")), LINE))
+    general, twice = _generalised(docs, own, asked.filter("k IS NOT NULL"), min_docs, tenths)
     over = general.select("leaf", "template", F.col("n_docs").alias("n"), "first").unionByName(twice, allowMissingColumns=True)
-    over = over.groupBy("leaf", "template").agg(F.sum("n").alias("n"), F.min("first").alias("top")).filter(F.col("n") >= MIN_DOCS)
+    over = over.groupBy("leaf", "template").agg(F.sum("n").alias("n"), F.min("first").alias("top")).filter(F.col("n") >= min_docs)
     as_templates = general.join(over, ["leaf", "template"]).select(*LINE, F.col("top").alias("first"))
-    as_they_stand = contents.filter("recurs").join(general.select(*LINE), LINE, "left_anti").select(*LINE, "first")
+    as_they_stand = asked.filter("k IS NULL").filter(F.col("n_docs") >= min_docs).select(*LINE, "first")
     first = F.struct(*ID, "line_no").eqNullSafe(F.col("first"))
     again = lines.join(small(as_templates.union(as_they_stand)), LINE).filter(~first)
     return again.groupBy(*ID).agg(F.collect_set("line_no").alias("dropped"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, tenths: int = CONSTANT_TENTHS) -> DataFrame:
     """doc_id, text without the lines that go, n_lines and n_dropped, and the other columns of docs.
 
     Lines are what newlines separate. The first line of a template, by doc_id (nulls
     first) and line number, stays. Lines of fewer than five tokens stay. A null text stays
     null and has no lines. Repeated rows count as one document and get the same answer;
     rows with equal doc_id and other texts are different documents. A template recurs when
-    it is in two different documents, however many of its lines one has. Empty tables give no rows.
+    it is in min_docs different documents (2 or more), however many of its lines one has; `tenths` of its
+    tokens are constant. Empty tables give no rows.
     A column of docs named n_lines or n_dropped is replaced; other names never clash.
     """
+    if min_docs < 2:
+        raise ValueError("a template recurs from two documents on")
     docs = docs.drop("n_lines", "n_dropped")
-    drop = small(recurring_lines(docs).withColumnsRenamed({"doc_id": "of_", "text_key": "key_"}))
+    drop = small(recurring_lines(docs, min_docs, tenths).withColumnsRenamed({"doc_id": "of_", "text_key": "key_"}))
     needed = {"doc_id", "text"}
     joined = set_aside(docs, needed).join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("of_")) & (F.xxhash64("text") == F.col("key_")), "left")
     joined = joined.withColumn("lines_", F.split("text", "\n"))
@@ -164,22 +169,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = {
-    "op3_line_dedup": r"""
+    "op3_line_dedup": rf"""
 WITH l AS (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, line_no, string_split(text, chr(10))[line_no + 1] AS line FROM l),
 t AS (SELECT doc_id, line_no, [x FOR x IN regexp_split_to_array(regexp_replace(line, '(^|\s)[^\s0-9]*[0-9]\S*', '\1<*>', 'g'), '[\x20\x09-\x0D]+') IF x <> ''] AS tokens FROM m),
 u AS (SELECT doc_id, line_no, tokens, array_to_string(tokens, ' ') AS h, array_to_string([CAST(len(tokens) AS VARCHAR)] || tokens[1:3], ' ') AS leaf FROM t WHERE len(tokens) >= 5),
-c AS (SELECT h, leaf, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS n_docs, min(doc_id * 1000000 + line_no) AS first FROM u GROUP BY h, leaf),
-lf AS (SELECT leaf FROM c GROUP BY leaf HAVING count(*) > 1 AND count(*) FILTER (n_docs < 2) > 0),
-v AS (SELECT c.* FROM c JOIN lf USING (leaf)),
-p AS (SELECT h, leaf, n_docs, unnest(range(0, len(tokens))) AS pos, tokens FROM v),
-q AS (SELECT h, leaf, n_docs, pos, tokens[pos + 1] AS token FROM p),
-o AS (SELECT leaf, pos, token, sum(n_docs) AS n FROM q GROUP BY ALL),
-g AS (SELECT q.h, q.leaf, string_agg(CASE WHEN q.token <> '<*>' AND (o.n >= 2 OR q.pos < 3) THEN q.token ELSE '<*>' END, ' ' ORDER BY q.pos) AS parts,
-  count(*) FILTER (q.token <> '<*>' AND (o.n >= 2 OR q.pos < 3)) AS kept, count(*) AS n FROM q JOIN o USING (leaf, pos, token) GROUP BY q.h, q.leaf),
-w AS (SELECT v.h, v.n_docs, v.first, CASE WHEN 10 * kept >= 8 * n THEN 'T' || parts ELSE 'L' || v.h END AS template FROM v JOIN g USING (h)),
-over_ AS (SELECT template, min(first) AS top FROM w GROUP BY template HAVING sum(n_docs) >= 2),
-gone AS (SELECT w.h, top AS first FROM w JOIN over_ USING (template) UNION ALL SELECT h, first FROM c WHERE n_docs >= 2 AND h NOT IN (SELECT h FROM v)),
+c AS (SELECT h, leaf, any_value(tokens) AS tokens, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id * 1000000 + line_no) AS first FROM u GROUP BY h, leaf),
+lf AS (SELECT leaf FROM c GROUP BY leaf HAVING count(*) > 1 AND sum(n) >= {MIN_DOCS}),
+z AS (SELECT leaf, count(DISTINCT doc_id) AS total FROM u JOIN lf USING (leaf) GROUP BY leaf),
+p AS (SELECT doc_id, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM u JOIN lf USING (leaf)),
+o AS (SELECT leaf, pos, token, count(DISTINCT doc_id) AS n FROM p GROUP BY ALL),
+v0 AS (SELECT h, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM c JOIN lf USING (leaf)),
+v AS (SELECT h, leaf, pos, CASE WHEN token = '<*>' THEN 0 WHEN pos < 3 THEN 1e18 ELSE o.n END AS n, token FROM v0 JOIN o USING (leaf, pos, token)),
+e AS (SELECT leaf, e, greatest({MIN_DOCS}, total / pow(2, e)) AS share FROM (SELECT leaf, total, unnest(range(1, greatest(1, CAST(ceil(log2(total)) AS INT) - 1) + 1)) AS e FROM z)),
+s AS (SELECT h, leaf, min(e) AS e FROM (SELECT h, leaf, e FROM v JOIN e USING (leaf) GROUP BY h, leaf, e HAVING 10 * count(*) FILTER (n >= share) >= 8 * count(*)) GROUP BY h, leaf),
+g AS (SELECT h, leaf, 'T' || string_agg(CASE WHEN n >= share THEN token ELSE '<*>' END, ' ' ORDER BY pos) AS template FROM v JOIN s USING (h, leaf) JOIN e USING (leaf, e) GROUP BY h, leaf),
+w AS (SELECT c.h, c.first, coalesce(template, 'L' || c.h) AS template FROM c LEFT JOIN g USING (h)),
+over_ AS (SELECT template, min(first) AS top FROM w JOIN u USING (h) GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+gone AS (SELECT w.h, top AS first FROM w JOIN over_ USING (template)),
 again AS (SELECT doc_id, line_no FROM u JOIN gone USING (h) WHERE doc_id * 1000000 + line_no <> first),
 rest AS (SELECT m.doc_id, string_agg(m.line, chr(10) ORDER BY m.line_no) FILTER (a.line_no IS NULL) AS text, count(*) AS n_lines, count(a.line_no) AS n_dropped
   FROM m LEFT JOIN again a ON a.doc_id = m.doc_id AND a.line_no = m.line_no GROUP BY m.doc_id)
