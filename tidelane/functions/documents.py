@@ -9,7 +9,6 @@ import ast
 import json
 import operator
 import re
-from collections import Counter
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -69,86 +68,150 @@ def matched_arguments(actual: Column, expected: Column, keys: Column | None = No
     return F.struct(exact.alias("exact"), F.coalesce(F.try_divide(same, F.size(on)), F.lit(0.0)).alias("partial"))
 
 
-def _differences(a: object, b: object, path: str = "") -> list[dict]:
-    if isinstance(a, dict) and isinstance(b, dict):
-        out: list[dict] = []
-        for k in sorted({*a, *b}):
-            if k in a and k in b:
-                out += _differences(a[k], b[k], f"{path}/{k}")
-            else:
-                out.append({"path": f"{path}/{k}", "expected": canonical(a[k]) if k in a else None, "actual": canonical(b[k]) if k in b else None, "kind": "missing_key"})
-        return out
-    if a == b:
-        return []
-    kind = "value"
-    if isinstance(a, list) and isinstance(b, list):
-        kind = "list_order_only" if Counter(map(canonical, a)) == Counter(map(canonical, b)) else "list_content"
-    return [{"path": path, "expected": canonical(a), "actual": canonical(b), "kind": kind}]
+def _numeric(value: object) -> bool:
+    return isinstance(value, (int, float, Decimal))
+
+
+def _decimal(value: object) -> str:
+    """A number's digits and power of ten, one text for all ways of writing it; true is 1."""
+    sign, digits, power = Decimal(str(int(value) if isinstance(value, bool) else value)).as_tuple()
+    if not isinstance(power, int):  # nan and the infinities
+        return str(value)
+    kept = "".join(map(str, digits)).rstrip("0").lstrip("0")
+    return f"{'-' if sign else ''}{kept}e{power + len(digits) - len(''.join(map(str, digits)).rstrip('0'))}" if kept else "0"
+
+
+def _folded(value: object, scalar: Callable, array: Callable, record: Callable) -> object:
+    """A JSON value from its leaves up, without recursion: array and record get a value and what became of its parts."""
+    out: list = []
+    todo = [(value, False)]
+    while todo:
+        v, seen = todo.pop()
+        if not isinstance(v, (dict, list)):
+            out.append(scalar(v))
+        elif seen:
+            parts = out[len(out) - len(v) :]
+            del out[len(out) - len(v) :]
+            out.append(record(v, dict(zip(v, parts))) if isinstance(v, dict) else array(v, parts))
+        else:
+            todo.append((v, True))
+            todo.extend((x, False) for x in reversed(v.values() if isinstance(v, dict) else v))
+    return out[0]
+
+
+def _braces(parts: dict[str, str]) -> str:
+    return "{" + ",".join(f"{json.dumps(k)}:{parts[k]}" for k in sorted(parts)) + "}"
+
+
+def _same(value: object) -> str:
+    """A text that is equal for values that are: numbers by their amount, objects without order."""
+    return _folded(value, lambda v: _decimal(v) if _numeric(v) else json.dumps(v), lambda _, parts: f"[{','.join(parts)}]", lambda _, parts: _braces(parts))
+
+
+NODES = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("kind", pa.string()), ("text", pa.string()), ("same", pa.string()), ("bag", pa.string()), ("number", pa.float64())]))
+
+
+def _nodes(text: str) -> list[dict]:
+    """The values that keys lead to, the whole document first. Lists are one value each; `bag` has their items in order of their texts."""
+    todo: list[tuple[list[str], object]] = [([], json.loads(text))]
+    out = []
+    for path, v in todo:
+        kind = "object" if isinstance(v, dict) else "list" if isinstance(v, list) else "value"
+        amount = float(v) if _numeric(v) and abs(v) < float("inf") else None
+        bag = canonical(sorted(map(canonical, v))) if kind == "list" else None
+        out.append({"path": path, "kind": kind, "text": canonical(v), "same": _same(v), "bag": bag, "number": amount})
+        if kind == "object":
+            todo.extend(([*path, k], v[k]) for k in sorted(v))
+    return out
+
+
+def nodes(document: Column) -> Column:
+    """What keys lead to in a JSON text, at every depth: array of (path, kind object, list or value, text, same, bag, number).
+    Two values are equal if `same` is; `number` is that of a finite number or boolean."""
+    return _each(_nodes, "array<struct<path:array<string>,kind:string,text:string,same:string,bag:string,number:double>>", NODES, document)
+
+
+def _slashed(path: Column) -> Column:
+    return F.array_join(F.transform(path, lambda k: F.concat(F.lit("/"), k)), "")
 
 
 def differences(expected: Column, actual: Column) -> Column:
-    """Where two JSON texts differ: path, both values, and kind (missing_key, list_order_only, list_content or value)."""
-    item = "array<struct<path:string,expected:string,actual:string,kind:string>>"
-    out = pa.list_(pa.struct([(n, pa.string()) for n in ("path", "expected", "actual", "kind")]))
-    return _each(lambda a, b: _differences(json.loads(a), json.loads(b)), item, out, expected, actual)
+    """Where two JSON texts differ, in order of the paths: path, both values, and kind (missing_key, list_order_only,
+    list_content or value). A key that one object lacks is named once, with all below it; lists are compared
+    whole. Null where either is null."""
+    by_path = lambda n: F.map_from_entries(F.transform(n, lambda x: F.struct(x["path"], x)))
+    pair = F.struct(by_path(nodes(expected)).alias("a"), by_path(nodes(actual)).alias("b"))
+
+    def compared(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        is_object = lambda m, path: F.coalesce(F.try_element_at(m, path)["kind"] == "object", F.lit(False))
+
+        def row(path: Column) -> Column:
+            x, y = F.try_element_at(a, path), F.try_element_at(b, path)
+            lists = F.when(x["bag"] == y["bag"], "list_order_only").otherwise("list_content")
+            kind = F.when(x.isNull() | y.isNull(), "missing_key").when((x["kind"] == "list") & (y["kind"] == "list"), lists).otherwise("value")
+            return F.struct(_slashed(path).alias("path"), x["text"].alias("expected"), y["text"].alias("actual"), kind.alias("kind"))
+
+        def differs(path: Column) -> Column:
+            x, y = F.try_element_at(a, path), F.try_element_at(b, path)
+            above = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+            within = (F.size(path) == 0) | (is_object(a, above) & is_object(b, above))
+            return within & ~(is_object(a, path) & is_object(b, path)) & ~x["same"].eqNullSafe(y["same"])
+
+        paths = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+        return F.transform(F.filter(paths, differs), row)
+
+    return F.when(expected.isNotNull() & actual.isNotNull(), F.get(F.transform(F.array(pair), compared), 0))
 
 
 #: Keys whose values are secret, and the end of others.
 SECRETS, SECRET_END = {"api_key", "password", "secret", "access_token", "auth_token", "token"}, "_api_key"
 
 
-def _redacted(value: object) -> object:
-    if isinstance(value, dict):
-        return {k: "[REDACTED]" if k.lower() in SECRETS or k.lower().endswith(SECRET_END) else _redacted(v) for k, v in value.items()}
-    return [_redacted(v) for v in value] if isinstance(value, list) else value
+def _masked(pairs: list[tuple[str, object]]) -> dict:
+    return dict((k, "[REDACTED]") if (low := k.lower()) in SECRETS or low.endswith(SECRET_END) else (k, v) for k, v in pairs)
 
 
 def redacted(document: Column) -> Column:
-    """Canonical JSON text with secrets replaced at every depth."""
-    return _each(lambda x: canonical(_redacted(json.loads(x))), "string", pa.string(), document)
-
-
-def _scalars(value: dict, prefix: str = "") -> list[tuple[str, float]]:
-    out: list[tuple[str, float]] = []
-    for k, v in value.items():
-        name = f"{prefix}/{k}" if prefix else k
-        if isinstance(v, dict):
-            out += _scalars(v, name)
-        elif isinstance(v, (int, float)) and abs(v) != float("inf") and v == v:
-            out.append((name, float(v)))
-    return out
+    """Canonical JSON text with secrets replaced at every depth, as its objects are read."""
+    return _each(lambda x: canonical(json.loads(x, object_pairs_hook=_masked)), "string", pa.string(), document)
 
 
 def scalar_metrics(document: Column) -> Column:
-    """The finite numbers of a JSON object by path, as a map; booleans are 0 and 1."""
-    return _each(lambda x: _scalars(json.loads(x)), "map<string,double>", pa.map_(pa.string(), pa.float64()), document)
+    """The finite numbers of a JSON object by path, as a map; booleans are 0 and 1. What is in lists is left out."""
+    numbers = F.filter(nodes(document), lambda n: n["number"].isNotNull() & (F.size(n["path"]) > 0))
+    return F.map_from_entries(F.transform(numbers, lambda n: F.struct(F.array_join(n["path"], "/"), n["number"])))
 
 
 NUMBER = re.compile(r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?")
 
 
-def _identity(value: object) -> object:
-    empty = lambda v: v is None or v == "" or v == [] or v == {}
-    if isinstance(value, dict):
-        return ["object", *([k, _identity(v)] for k, v in sorted(value.items()) if not empty(v))]
-    if isinstance(value, list):
-        items = [_identity(v) for v in value if not empty(v)]
-        return ["list", *(sorted(items, key=repr) if all(isinstance(v, dict) for v in value) else items)]
-    if isinstance(value, bool):
-        return ["bool", value]
-    if value is None:
-        return ["null"]
-    if isinstance(value, (int, float, Decimal)) or isinstance(value, str) and NUMBER.fullmatch(value.strip()):
-        sign, digits, exponent = Decimal(str(value).strip()).as_tuple()
-        kept = "".join(map(str, digits)).rstrip("0")
-        return ["number", f"{'-' if sign else ''}{kept.lstrip('0')}e{exponent + len(digits) - len(kept)}" if kept.strip("0") else "0"]
-    return ["string", value]
+def _identity(text: str) -> str:
+    told = lambda v: v is not None and v not in ("", [], {})
+
+    def scalar(v: object) -> str:
+        if isinstance(v, bool) or v is None:
+            return json.dumps(v)
+        if isinstance(v, str):
+            return f"#{_decimal(v.strip())}" if NUMBER.fullmatch(v.strip()) else json.dumps(v)
+        if not Decimal(v).is_finite():
+            raise ValueError("numbers must be finite")
+        return f"#{_decimal(v)}"
+
+    def array(v: list, parts: list[str]) -> str:
+        kept = [p for x, p in zip(v, parts) if told(x)]
+        return f"[{','.join(sorted(kept) if all(isinstance(x, dict) for x in v) else kept)}]"
+
+    def record(v: dict, parts: dict[str, str]) -> str:
+        return _braces({k: p for k, p in parts.items() if told(v[k])})
+
+    return _folded(json.loads(text, parse_float=Decimal), scalar, array, record)
 
 
 def identity(document: Column) -> Column:
     """A text that is equal for equal JSON: types are kept apart (numbers in text count as numbers), numbers
-    are exact decimals, empty entries are left out and lists of objects are sorted."""
-    return _each(lambda x: canonical(_identity(json.loads(x, parse_float=Decimal))), "string", pa.string(), document)
+    are exact decimals, empty entries are left out and lists of objects are sorted. Infinite numbers are an error."""
+    return _each(_identity, "string", pa.string(), document)
 
 
 OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}

@@ -25,21 +25,32 @@ def query(sql: str | None = None):
 
 
 def _json(spark, sf_dir):
-    o = read(spark, sf_dir, "orders")
-    text = F.format_string('{"z": %d, "a": {"status": "%s", "api_key": "x%d"}, "list": [%d, 2], "ok": true}', "o_custkey", "o_orderstatus", "o_orderkey", (F.col("o_orderkey") % 3))
-    other = F.format_string('{"a": {"api_key": "x%d", "status": "F"}, "ok": true, "list": [2, %d]}', "o_orderkey", (F.col("o_orderkey") % 3))
+    """Two nested documents of each order, alike but for some keys, values and orders of lists."""
+    o = read(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey")).withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    text = F.format_string(
+        '{"z": %d, "a": {"status": "%s", "api_key": "x%d", "deep": {"price": %d, "clerk_api_key": "%s", "items": [{"token": "t%d", "n": %d}, %d]}}, "list": [%d, 2], "ok": true, "date": "%s"}',
+        "o_custkey", "o_orderstatus", "k", "cents", F.concat(F.lit("clerk "), F.col("o_custkey")), "k", F.col("k") % 7, F.col("k") % 5, F.col("k") % 3, F.to_date("o_orderdate").cast("string"),
+    )
+    other = F.format_string(
+        '{"a": {"api_key": "x%d", "deep": {"items": [%d, {"n": %d, "token": "t%d"}], "price": %d}, "status": "F"}, "date": "%s", "ok": true, "list": [2, %d]}',
+        "k", F.col("k") % 5, F.col("k") % 7, "k", F.col("cents") + F.when(F.col("k") % 4 == 0, 1).otherwise(0), "o_orderpriority", F.col("k") % 3,
+    )
     return o.select("o_orderkey", "o_custkey", "o_orderstatus", text.alias("doc"), other.alias("other"))
 
 
-_CANON = """'{"a":{"api_key":"' || {key} || '","status":"' || o_orderstatus || '"},"list":[' || o_orderkey % 3 || ',2],"ok":true,"z":' || o_custkey || '}'"""
+_ITEM = """'{"n":' || o_orderkey % 7 || ',"token":"' || {token} || '"}'"""
+_CANON = """'{"a":{"api_key":"' || {key} || '","deep":{"clerk_api_key":"' || {clerk} || '","items":[' || {item} || ',' || o_orderkey % 5 || '],"price":' || cents || '},"status":"' || o_orderstatus || '"},"date":"' || CAST(o_orderdate AS VARCHAR)[1:10] || '","list":[' || o_orderkey % 3 || ',2],"ok":true,"z":' || o_custkey || '}'""".replace("{item}", _ITEM)
+_OPEN = _CANON.replace("{key}", "'x' || o_orderkey").replace("{clerk}", "'clerk ' || o_custkey").replace("{token}", "'t' || o_orderkey")
+_HIDDEN = _CANON.replace("{key}", "'[REDACTED]'").replace("{clerk}", "'[REDACTED]'").replace("{token}", "'[REDACTED]'")
+_CENTS = "(SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)"
 
 
-@query("SELECT o_orderkey, " + _CANON.replace("{key}", "'x' || o_orderkey") + " AS canonical, sha256(" + _CANON.replace("{key}", "'x' || o_orderkey") + ") AS hash FROM orders")
+@query(f"SELECT o_orderkey, {_OPEN} AS canonical, sha256({_OPEN}) AS hash FROM {_CENTS}")
 def canonical_documents(spark, sf_dir):
     return _json(spark, sf_dir).select("o_orderkey", D.canonical_text(F.col("doc")).alias("canonical"), D.json_hash(F.col("doc")).alias("hash"))
 
 
-@query("SELECT o_orderkey, " + _CANON.replace("{key}", "'[REDACTED]'") + " AS redacted FROM orders")
+@query(f"SELECT o_orderkey, {_HIDDEN} AS redacted FROM {_CENTS}")
 def redacted_documents(spark, sf_dir):
     return _json(spark, sf_dir).select("o_orderkey", D.redacted(F.col("doc")).alias("redacted"))
 
@@ -50,17 +61,37 @@ def decoded_documents(spark, sf_dir):
     return m.select("o_orderkey", F.col("m")["z"].alias("z"), F.col("m")["ok"].alias("ok"), D.first_known(F.col("m")["none"].cast("long"), F.col("o_orderkey")).alias("chosen"))
 
 
-@query("""SELECT o_orderkey, '/z' AS path, 'missing_key' AS kind FROM orders UNION ALL SELECT o_orderkey, '/list', 'list_order_only' FROM orders WHERE o_orderkey % 3 <> 2 UNION ALL SELECT o_orderkey, '/a/status', 'value' FROM orders WHERE o_orderstatus <> 'F'""")
+_TOKENED = _ITEM.replace("{token}", "'t' || o_orderkey")
+
+
+@query(f"""SELECT o_orderkey, '/z' AS path, CAST(o_custkey AS VARCHAR) AS expected, NULL AS actual, 'missing_key' AS kind FROM orders
+UNION ALL SELECT o_orderkey, '/a/deep/clerk_api_key', '"clerk ' || o_custkey || '"', NULL, 'missing_key' FROM orders
+UNION ALL SELECT o_orderkey, '/list', '[' || o_orderkey % 3 || ',2]', '[2,' || o_orderkey % 3 || ']', 'list_order_only' FROM orders WHERE o_orderkey % 3 <> 2
+UNION ALL SELECT o_orderkey, '/a/deep/items', '[' || {_TOKENED} || ',' || o_orderkey % 5 || ']', '[' || o_orderkey % 5 || ',' || {_TOKENED} || ']', 'list_order_only' FROM orders
+UNION ALL SELECT o_orderkey, '/a/deep/price', CAST(cents AS VARCHAR), CAST(cents + 1 AS VARCHAR), 'value' FROM {_CENTS} WHERE o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, '/date', '"' || CAST(o_orderdate AS VARCHAR)[1:10] || '"', '"' || o_orderpriority || '"', 'value' FROM orders
+UNION ALL SELECT o_orderkey, '/a/status', '"' || o_orderstatus || '"', '"F"', 'value' FROM orders WHERE o_orderstatus <> 'F'""")
 def document_differences(spark, sf_dir):
     d = _json(spark, sf_dir).select("o_orderkey", F.explode(D.differences(F.col("doc"), F.col("other"))).alias("d"))
-    return d.select("o_orderkey", "d.path", "d.kind")
+    return d.select("o_orderkey", "d.*")
 
 
-@query("SELECT o_orderkey, 'z' AS name, CAST(o_custkey AS DOUBLE) AS value FROM orders UNION ALL SELECT o_orderkey, 'ok', 1 FROM orders")
+@query(f"SELECT o_orderkey, 'z' AS name, CAST(o_custkey AS DOUBLE) AS value FROM orders UNION ALL SELECT o_orderkey, 'ok', 1 FROM orders UNION ALL SELECT o_orderkey, 'a/deep/price', cents FROM {_CENTS}")
 def scalar_paths(spark, sf_dir):
     return _json(spark, sf_dir).select("o_orderkey", F.explode(D.scalar_metrics(F.col("doc"))).alias("name", "value"))
 
 
+@query("SELECT o_orderstatus AS status, o_orderpriority AS priority, o_custkey % 5 AS part, count(*) AS n, min(o_orderkey) AS least FROM orders GROUP BY ALL")
+def identity_classes(spark, sf_dir):
+    """Orders whose documents are one value, in two ways of writing it: classes by identity are classes by columns."""
+    o = read(spark, sf_dir, "orders").withColumn("part", F.col("o_custkey") % 5)
+    plain = F.format_string('{"s": "%s", "of": {"p": "%s", "n": %d}, "all": [{"x": 1.50}, {"y": %d}]}', "o_orderstatus", "o_orderpriority", "part", "part")
+    other = F.format_string('{"all": [{"y": "%d.0"}, {}, {"x": 15e-1}], "none": null, "of": {"n": " %d ", "p": "%s", "e": []}, "s": "%s"}', "part", "part", "o_orderpriority", "o_orderstatus")
+    told = o.withColumn("same", D.identity(F.when(F.col("o_orderkey") % 2 == 0, plain).otherwise(other)))
+    of = told.groupBy(F.sha2("same", 256).alias("class")).agg(F.first("o_orderstatus").alias("status"), F.first("o_orderpriority").alias("priority"), F.first("part").alias("part"), F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
+    return of.drop("class")
+
+
 @query("SELECT o_orderkey, true AS reordered, o_orderkey % 2 = 1 AS typed, o_orderkey % 2 = 0 AS same FROM orders")
 def document_identity(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey")
