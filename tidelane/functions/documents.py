@@ -77,8 +77,9 @@ def _decimal(value: object) -> str:
     sign, digits, power = Decimal(str(int(value) if isinstance(value, bool) else value)).as_tuple()
     if not isinstance(power, int):  # nan and the infinities
         return str(value)
-    kept = "".join(map(str, digits)).rstrip("0").lstrip("0")
-    return f"{'-' if sign else ''}{kept}e{power + len(digits) - len(''.join(map(str, digits)).rstrip('0'))}" if kept else "0"
+    text = "".join(map(str, digits))
+    kept = text.rstrip("0")
+    return f"{'-' if sign else ''}{kept.lstrip('0')}e{power + len(text) - len(kept)}" if kept else "0"
 
 
 def _folded(value: object, scalar: Callable, array: Callable, record: Callable) -> object:
@@ -186,7 +187,7 @@ def scalar_metrics(document: Column) -> Column:
 NUMBER = re.compile(r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?")
 
 
-def _identity(text: str) -> str:
+def _identity(value: object) -> str:
     told = lambda v: v is not None and v not in ("", [], {})
 
     def scalar(v: object) -> str:
@@ -205,13 +206,52 @@ def _identity(text: str) -> str:
     def record(v: dict, parts: dict[str, str]) -> str:
         return _braces({k: p for k, p in parts.items() if told(v[k])})
 
-    return _folded(json.loads(text, parse_float=Decimal), scalar, array, record)
+    return _folded(value, scalar, array, record) if isinstance(value, (dict, list)) else scalar(value)
+
+
+def _members(text: str, strict: bool) -> list[tuple[str, str]] | None:
+    try:
+        value = json.loads(text, parse_constant=_refuse, parse_float=None if strict else Decimal)
+    except ValueError:
+        return None
+    if not isinstance(value, dict):
+        return None
+    if strict:
+        return [(k, canonical(v)) for k, v in sorted(value.items())]
+    return [(k, _identity(v)) for k, v in sorted(value.items()) if v is not None and v not in ("", [], {})]
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
+
+
+def members(document: Column, strict: bool = True) -> Column:
+    """A JSON object as map<string, string> of its keys, in order, to texts that are equal for equal values: strictly, in types and
+    order of lists, or as `identity` has it, without empty entries. Null for other JSON and for text that is none."""
+    return _each(lambda x: _members(x, strict), "map<string,string>", pa.map_(pa.string(), pa.string()), document)
+
+
+def observed(text: Column) -> Column:
+    """A text that is equal for equal observations: canonical where it is JSON, else the text as a JSON
+    string. Null where it is blank or has an infinite number or none."""
+
+    def told(x: str) -> str | None:
+        try:
+            value = json.loads(x)
+        except ValueError:
+            return canonical(x) if x.strip() else None
+        try:
+            return json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False)
+        except ValueError:
+            return None
+
+    return _each(told, "string", pa.string(), text)
 
 
 def identity(document: Column) -> Column:
     """A text that is equal for equal JSON: types are kept apart (numbers in text count as numbers), numbers
     are exact decimals, empty entries are left out and lists of objects are sorted. Infinite numbers are an error."""
-    return _each(_identity, "string", pa.string(), document)
+    return _each(lambda x: _identity(json.loads(x, parse_float=Decimal)), "string", pa.string(), document)
 
 
 OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
