@@ -183,3 +183,18 @@ def test_replay(spark):
     gold = act(("r", "a", 1, 9), ("s", "b", 1, None), ("t", "a", 1, 1))
     said = act(("r", "a", 1, 5), ("r", "a", 2, 9), ("s", "b", 1, 7), ("u", "a", 1, 1))
     assert {r.run: r.reward for r in dialogues.same_outcome(state, said, gold, "run", "key", "step", "value").collect()} == {"r": 1.0, "s": 0.0, "t": 1.0, "u": 1.0}
+
+
+def test_knowledge_base_of_json_documents(spark, tmp_path):
+    import json
+
+    write = lambda name, **doc: (tmp_path / name).write_text(json.dumps(doc))
+    write("a.json", id="one", title="First", content="Text of\none", more=[1])
+    write("b.json", id="two", title="Second", content="é")
+    write("c.json", id="two", title="Second again", content="")
+    assert {tuple(r) for r in files.knowledge_base(spark, str(tmp_path)).collect()} == {("one", "First", "Text of\none"), ("two", "Second again", "")}
+    write("d.json", id="three", content="no title")
+    with pytest.raises(Exception, match="no id, title or content"):
+        files.knowledge_base(spark, str(tmp_path)).collect()
+    (tmp_path / "none").mkdir()
+    assert files.knowledge_base(spark, str(tmp_path / "none")).count() == 0

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions.documents import matching_blocks_ratio, sequence_ratio
-from tidelane.functions.text import normalize_reason, token_jaccard
+from tidelane.functions.documents import matching_blocks_ratio
+from tidelane.functions.text import normalize_reason
+from tidelane.operators import similarity
 from tidelane.operators.sequences import seeded_hash
 
-#: Texts of a stated list that rows are compared with, and rows that a greedy choice may be made from; more is an error.
-MOST_BLOCKED, MOST_POOL = 20_000, 200_000
+#: Rows that a greedy choice may be made from; more is an error.
+MOST_POOL = 200_000
 
 
 def _bounded(df: DataFrame, most: int, what: str) -> DataFrame:
@@ -24,34 +25,7 @@ def _bounded(df: DataFrame, most: int, what: str) -> DataFrame:
     return df
 
 
-def closest(df: DataFrame, text: str, blocked: DataFrame, key: str, threshold: float = 0.88) -> DataFrame:
-    """(key, blocked, similarity): the blocked text (of a stated list) that is most like each row's, where the
-    likeness, of sets of words or in sequence, reaches the threshold. Only pairs that lengths don't rule out reach Python."""
-    listed = F.broadcast(_bounded(blocked.select(F.col("text").alias("blocked"), normalize_reason(F.col("text")).alias("b_")).filter("b_ != ''").distinct(), MOST_BLOCKED, "blocked texts"))
-    pairs = df.select(key, normalize_reason(F.col(text)).alias("a_")).filter("a_ != ''").crossJoin(listed)
-    pairs = pairs.withColumn("j_", F.when(F.col("a_") == F.col("b_"), 1.0).otherwise(token_jaccard(F.col("a_"), F.col("b_"))))
-    fits = 2 * F.least(F.length("a_"), F.length("b_")) >= threshold * (F.length("a_") + F.length("b_"))
-    pairs = pairs.filter((F.col("j_") >= threshold) | fits)
-    asked = (F.col("j_") < 1) & fits
-    ratio = sequence_ratio(F.when(asked, F.col("a_")), F.when(asked, F.col("b_")))
-    scored = pairs.withColumn("similarity", F.greatest("j_", F.coalesce(ratio, F.lit(0.0)))).filter(F.col("similarity") >= threshold)
-    best = F.max_by(F.struct("blocked", "similarity"), F.struct("similarity", "blocked")).alias("x")
-    return scored.groupBy(key).agg(best).select(key, "x.blocked", "x.similarity")
-
-
-def best_matches(df: DataFrame, others: DataFrame, key: str, other: str) -> DataFrame:
-    """(key, other, exact, jaccard, same): for each row the most alike of others that share a tag with it or have the same
-    reason: by equal reasons, then the Jaccard similarity of tags, then equal actions; ties by the least other.
-    Both sides have reason (normalised), tags and actions (arrays); rows are blocked by tag and by reason."""
-    side = lambda d, k, p: d.select(F.col(k).alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("reason", "tags", "actions")))
-    a, b = side(df, key, "a"), side(others, other, "b")
-    tags = lambda d, p: d.select(p, F.explode(F.array_distinct(f"{p}_tags")).alias("tag_"))
-    linked = tags(a, "a").join(tags(b, "b"), "tag_").select("a", "b").union(a.join(b, F.col("a_reason") == F.col("b_reason")).select("a", "b")).distinct()
-    pairs = linked.join(a, "a").join(b, "b")
-    jaccard = F.coalesce(F.try_divide(F.size(F.array_intersect("a_tags", "b_tags")), F.size(F.array_union("a_tags", "b_tags"))), F.lit(0.0))
-    scored = pairs.select("a", "b", (F.col("a_reason") == F.col("b_reason")).alias("exact"), jaccard.alias("jaccard"), (F.array_sort("a_actions") == F.array_sort("b_actions")).alias("same"))
-    order = Window.partitionBy("a").orderBy(F.desc("exact"), F.desc("jaccard"), F.desc("same"), "b")
-    return scored.withColumn("n_", F.row_number().over(order)).filter("n_ = 1").select(F.col("a").alias(key), F.col("b").alias(other), "exact", "jaccard", "same")
+closest, best_matches = similarity.closest_texts, similarity.best_matches
 
 
 def _in_order(df: DataFrame, choose: Callable[[pd.DataFrame], pd.DataFrame], schema: str, what: str) -> DataFrame:

@@ -152,6 +152,14 @@ def closest_reasons(spark, sf_dir):
     return rounded(C.closest(c.filter("conv_id % 2 = 1").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "text", c.filter("conv_id % 50 = 0").select("text"), "id", 0.8), "similarity")
 
 
+@query()
+def closest_lines(spark, sf_dir):
+    """The line of a 50th of the documents that is most like each line of the others; near copies make many."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    mine = lines.filter("doc_id % 50 != 0").select(F.concat_ws("-", "doc_id", "line_no").alias("id"), "text")
+    return rounded(C.closest(mine, "text", lines.filter("doc_id % 50 = 0"), "id", 0.88, order="doc_id"), "similarity")
+
+
 @query()
 def near_duplicate_turns(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", T.normalize_reason(F.col("text")).alias("a"))
@@ -159,13 +167,13 @@ def near_duplicate_turns(spark, sf_dir):
     return pairs.select("conv_id", "turn", D.near_duplicate(F.col("a"), F.col("b"), 0.6).alias("near"), F.round(D.sequence_ratio(F.col("a"), F.col("b")), 5).alias("ratio"))
 
 
-_TAGGED = "t AS (SELECT o_orderkey AS k, 'r' || o_custkey % 50 AS reason, ['a' || o_orderkey % 4, 'b' || o_orderkey % 3] AS tags, ['x' || o_orderkey % 2] AS actions FROM orders WHERE o_orderkey < 600)"
+_TAGGED = "t AS (SELECT o_orderkey AS k, 'r' || o_custkey % 50 AS reason, ['a' || o_orderkey % 4, 'b' || o_orderkey % 3] AS tags, ['x' || o_orderkey % 2] AS actions FROM orders)"
 
 
 def _tagged(spark, sf_dir):
     k = F.col("o_orderkey")
     name = lambda p, c, n: F.concat(F.lit(p), (c % n).cast("string"))
-    return read(spark, sf_dir, "orders").filter("o_orderkey < 600").select(k.alias("k"), name("r", F.col("o_custkey"), 50).alias("reason"), F.array(name("a", k, 4), name("b", k, 3)).alias("tags"), F.array(name("x", k, 2)).alias("actions"))
+    return read(spark, sf_dir, "orders").select(k.alias("k"), name("r", F.col("o_custkey"), 50).alias("reason"), F.array(name("a", k, 4), name("b", k, 3)).alias("tags"), F.array(name("x", k, 2)).alias("actions"))
 
 
 @query(f"""WITH {_TAGGED}, p AS (SELECT a.k, b.k AS other, a.reason = b.reason AS exact, len(list_intersect(a.tags, b.tags)) / len(list_distinct(a.tags || b.tags)) AS jaccard, a.actions = b.actions AS same FROM t a, t b WHERE a.k % 5 = 1 AND b.k % 5 = 2 AND (len(list_intersect(a.tags, b.tags)) > 0 OR a.reason = b.reason)),
@@ -184,29 +192,28 @@ def diverse_selection(spark, sf_dir):
 
 @query()
 def balanced_selection(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").filter("c_custkey < 2000").select("c_custkey", F.col("c_mktsegment").alias("category"), (F.col("c_custkey") % 3).alias("stratum"), F.array((F.col("c_nationkey")).cast("string")).alias("entities"), F.col("c_acctbal").alias("merit"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("category"), (F.col("c_custkey") % 3).alias("stratum"), F.array((F.col("c_nationkey")).cast("string")).alias("entities"), F.col("c_acctbal").alias("merit"))
     return C.balanced_selection(c, "c_custkey", 40, 42)
 
 
 @query()
 def covering_selection(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").filter("c_custkey < 2000").select("c_custkey", F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("s"), (F.col("c_custkey") % 4).cast("string"))).alias("tools"), F.col("c_mktsegment").alias("category"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("s"), (F.col("c_custkey") % 4).cast("string"))).alias("tools"), F.col("c_mktsegment").alias("category"))
     return C.covering_selection(c, "c_custkey", 60, 42, least=2)
 
 
-@query(f"WITH {_TAGGED}, s AS (SELECT k, list_sort(tags || actions) AS s FROM t) SELECT min(k) AS k FROM s WHERE k % 7 = 1 AND s NOT IN (SELECT s FROM s WHERE k % 7 = 2 AND k < 40) GROUP BY s")
+@query(f"WITH {_TAGGED}, s AS (SELECT k, list_sort(tags || actions) AS s FROM t) SELECT min(k) AS k FROM s WHERE k % 7 = 1 AND s NOT IN (SELECT s FROM s WHERE k % 7 = 2 AND k % 60 < 9) GROUP BY s")
 def curriculum_extension(spark, sf_dir):
     t = _tagged(spark, sf_dir).select("k", F.concat("tags", "actions").alias("signature"))
-    return C.extension(t.filter("k % 7 = 1"), t.filter("k % 7 = 2 AND k < 40"), "k", "signature").select("k")
+    return C.extension(t.filter("k % 7 = 1"), t.filter("k % 7 = 2 AND k % 60 < 9"), "k", "signature").select("k")
 
 
 @query("""WITH RECURSIVE g AS (SELECT o_custkey AS g, o_custkey % 3 AS b, count(*) AS n, sha256('42:' || o_custkey) AS h FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY h) AS k FROM g), t AS (SELECT b, CAST(floor(sum(n) * 0.25 + 0.5) AS BIGINT) AS t FROM g GROUP BY b),
 f AS (SELECT r.b, r.g, k, r.n, t, CAST(CASE WHEN abs(r.n - t) < t THEN r.n ELSE 0 END AS BIGINT) AS now, abs(r.n - t) < t AS v FROM r JOIN t USING (b) WHERE k = 1 UNION ALL SELECT r.b, r.g, r.k, r.n, t, CAST(now + CASE WHEN abs(now + r.n - t) < abs(now - t) THEN r.n ELSE 0 END AS BIGINT), abs(now + r.n - t) < abs(now - t) FROM f JOIN r ON r.b = f.b AND r.k = f.k + 1)
-SELECT CASE WHEN v THEN 'validation' ELSE 'train' END AS split, count(*) AS groups, CAST(sum(n) AS BIGINT) AS n_rows FROM f GROUP BY 1""")
+SELECT o_orderkey, o_custkey AS g, CASE WHEN v THEN 'validation' ELSE 'train' END AS split FROM f JOIN orders ON o_custkey = f.g""")
 def group_preserving_split(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("g"), (F.col("o_custkey") % 3).cast("int").alias("b"), F.lit(None).cast("string").alias("lock"))
-    out = C.group_split(o, "o_orderkey", "g", "b", 42, 0.25).join(o, "o_orderkey")
-    return out.groupBy("split").agg(F.countDistinct("g").alias("groups"), F.count("*").alias("n_rows"))
+    return C.group_split(o, "o_orderkey", "g", "b", 42, 0.25).select("o_orderkey", "split").join(o.select("o_orderkey", "g"), "o_orderkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer")
@@ -232,10 +239,10 @@ def comparable_pairs(spark, sf_dir):
     return C.comparable_pairs(s, "k", "a", "b", size=3)
 
 
-@query("SELECT sha256(coalesce(text, '')) AS identity, min(doc_id) AS kept, count(*) AS n, count(DISTINCT doc_id) AS aliases, array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ',') AS sources FROM documents GROUP BY 1")
+@query("SELECT sha256(coalesce(text, '')) AS identity, min(doc_id) AS kept, count(*) AS n, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS aliases, array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ',') AS sources FROM documents GROUP BY 1")
 def dedup_ledger(spark, sf_dir):
     out = C.dedup_ledger(read(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")), "source")
-    return out.select("identity", "kept", "n", F.size("aliases").cast("long").alias("aliases"), F.array_join("source", ",").alias("sources"))
+    return out.select("identity", "kept", "n", F.array_join(F.array_sort("aliases").cast("array<string>"), ",").alias("aliases"), F.array_join("source", ",").alias("sources"))
 
 
 _FLAGS = {"low": "c_acctbal < 0", "odd": "c_custkey % 2 = 1", "named": "c_name LIKE '%7'"}

@@ -118,19 +118,24 @@ def contiguous_groups(spark, sf_dir):
     return B.contiguous_groups(read(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
-@query("""WITH o AS (SELECT o_orderkey % 20 AS batch, o_orderkey % 100 + 1 AS l FROM orders WHERE o_orderkey < 2000), k AS (SELECT batch, sum(l) AS t, count(*) AS n FROM o GROUP BY 1)
-SELECT batch, CAST(least(n, ceil(t / 400.0)) AS BIGINT) AS parts, n AS n_rows FROM k""")
+@query("""WITH o AS (SELECT o_custkey AS batch, o_orderkey % 100 + 1 AS l FROM orders), k AS (SELECT batch, sum(l) AS t, count(*) AS n FROM o GROUP BY 1)
+SELECT batch, CAST(least(n, ceil(t / 400.0)) AS BIGINT) AS parts, n AS n_rows, CAST(t AS BIGINT) AS tokens FROM k""")
 def token_budget_batches(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey < 2000").select((F.col("o_orderkey") % 20).alias("batch"), "o_orderkey", (F.col("o_orderkey") % 100 + 1).alias("l"))
-    out = B.token_batches(o, "batch", "o_orderkey", "l", 400)
-    return out.groupBy("batch").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("n_rows"))
+    """How many parts a customer's orders need; that the parts are near equal is tested on its own."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch"), "o_orderkey", (F.col("o_orderkey") % 100 + 1).alias("l"))
+    out = B.token_batches(o, "batch", "o_orderkey", "l", 400).join(o, ["batch", "o_orderkey"])
+    return out.groupBy("batch").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("n_rows"), F.sum("l").alias("tokens"))
 
 
-@query("SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders GROUP BY 1")
+@query("""SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS k, array_to_string(list(o_orderstatus ORDER BY o_orderkey), ',') AS p,
+  string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS back FROM orders GROUP BY 1""")
 def row_lists(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"))
-    back = B.from_lists(B.to_lists(o, "o_custkey", "o_orderdate"), "o_custkey", "place")
-    return back.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+    """Lists of each customer's orders, and the rows made of them again."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("at"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("p"))
+    lists = B.to_lists(o, "o_custkey", "at")
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    rows = B.from_lists(lists, "o_custkey", "place").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "k", "p").alias("x")))).alias("x"))
+    return lists.select("o_custkey", text("k"), text("p")).join(rows.select("o_custkey", F.array_join("x.x", ",").alias("back")), "o_custkey")
 
 
 @query("SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey + 100000000 FROM orders")
@@ -155,11 +160,10 @@ def suffix_periods(spark, sf_dir):
     return v.select("k", B.suffix_period("x", 3, 3).alias("period"))
 
 
-@query("""WITH g AS (SELECT o_custkey, o_orderkey, o_orderkey % 37 AS c FROM orders) SELECT o_custkey, count(*) AS n, CAST(sum(c) AS BIGINT) AS total FROM g GROUP BY 1""")
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderkey % 37 AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 37 DESC, o_orderkey) AS r FROM orders),
+g AS (SELECT o_custkey, o_orderkey, r, 0 AS part, [c, 0, 0] AS loads FROM o WHERE r = 1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.r, list_position(loads, list_min(loads)) - 1,
+  list_transform([1, 2, 3], lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN o.c ELSE 0 END) FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.r = g.r + 1)
+SELECT o_custkey, o_orderkey, CAST(part AS INT) AS part FROM g""")
 def greedy_partitions(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 37).alias("c"))
-    parts = B.greedy_partitions(o, "o_custkey", "o_orderkey", "c", 3).join(o, ["o_custkey", "o_orderkey"])
-    loads = parts.groupBy("o_custkey", "part").agg(F.sum("c").alias("load"), F.count("*").alias("n"))
-    w = Window.partitionBy("o_custkey")
-    fair = loads.withColumn("spread", F.max("load").over(w) - F.min("load").over(w)).filter("spread >= 0")
-    return fair.groupBy("o_custkey").agg(F.sum("n").alias("n"), F.sum("load").alias("total"))
+    return B.greedy_partitions(o, "o_custkey", "o_orderkey", "c", 3).withColumn("part", F.col("part").cast("int"))

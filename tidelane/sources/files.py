@@ -173,12 +173,20 @@ def toml_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def knowledge_base(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, title, text) of a folder of Markdown and text files: the title is the first heading, or else the file's name."""
+    """(doc_id, title, text) of a folder's documents. A JSON file is an object with id, title and content, all of them
+    texts; one that lacks any is an error, and of files with one id the greatest name holds. Markdown and text files, in
+    folders below too, have their name as id, and the first heading, or else the name, as title. A folder without such files has no documents."""
+    kind = "id string, title string, content string"
+    json = spark.read.schema(kind).option("mode", "FAILFAST").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    path = F.col("_metadata.file_path")
+    lacks = F.raise_error(F.concat(F.lit("no id, title or content: "), path)).cast(kind.join(("struct<", ">")).replace(" string", ":string"))
+    told = json.select(F.when(F.col("id").isNull() | F.col("title").isNull() | F.col("content").isNull(), lacks).otherwise(F.struct("id", "title", "content")).alias("x"), path.alias("path"))
+    told = told.groupBy("x.id").agg(F.max_by("x", "path").alias("x")).select(F.col("id").alias("doc_id"), "x.title", F.col("x.content").alias("text"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").load(folder)
     text = F.decode("content", "UTF-8")
     name = F.regexp_extract("path", r"([^/]+)\.[a-z]+$", 1)
     title = F.regexp_extract(text, r"(?m)^#+[ \t]+(.+?)[ \t]*$", 1)
-    return files.select(name.alias("doc_id"), F.when(title != "", title).otherwise(name).alias("title"), text.alias("text"))
+    return told.union(files.select(name.alias("doc_id"), F.when(title != "", title).otherwise(name).alias("title"), text.alias("text")))
 
 
 def leaderboard(spark: SparkSession, folder: str, schema: str) -> DataFrame:
