@@ -58,27 +58,80 @@ for _parts in (("BY",), ("BY", "SA"), ("BY", "NC"), ("BY", "ND"), ("BY", "NC", "
             (f"CC-{'-'.join(_parts)}-{_v}", f"Licensed under CC {'-'.join(_parts)} {_v}."),
             (f"CC-{'-'.join(_parts)}-{_v}", f"This work is licensed under a Creative Commons {_long} {_v} International License."),
         ]
+# Names under which licenses are spoken of. A short notice is "under" one, with or without "the".
+NAMES = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache-2.0 License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+    "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPL-2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, Version 2.0", "EPL-2.0"],
+    "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License v1.0", "EPL-1.0"],
+    "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0"],
+    "Zlib": ["zlib License"],
+    "Unlicense": ["Unlicense"],
+    "CC0-1.0": ["CC0 1.0", "CC0-1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License"],
+}
+for _name, _kind, _versions in (("GPL", "", ("2", "3")), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",))):
+    for _v in _versions:
+        _id = f"{_name}-{_v if '.' in _v else _v + '.0'}"
+        NAMES[_id] = [f"GNU {_kind}General Public License{x}" for x in (f" v{_v}", f" v{_v}.0", f" {_v}", f" {_v}.0", f", version {_v}", f" version {_v}.0")] + [f"{_name}v{_v}", f"GNU {_name}v{_v}", f"GNU {_name} v{_v}", f"GNU {_name} version {_v}", f"{_name} v{_v}", _id, f"{_id}-only", f"{_id}-or-later"]
+for _parts in (("BY",), ("BY", "SA"), ("BY", "NC"), ("BY", "ND"), ("BY", "NC", "SA"), ("BY", "NC", "ND")):
+    _long = "-".join({"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}[x] for x in _parts)
+    for _v in ("3.0", "4.0"):
+        _id = f"CC-{'-'.join(_parts)}-{_v}"
+        NAMES[_id] = [_id, f"CC {'-'.join(_parts)} {_v}", *(f"{a}Creative Commons {_long} {_v}{x}" for a in ("", "a ") for x in ("", " License", " International License", " Unported License"))]
+#: Templates made of the names by rule; `template` counts on through them.
+SHORT_TEMPLATES: list[tuple[str, str]] = []
+for _id, _said in NAMES.items():
+    _ids = [_id] if _id.split("-")[0] not in ("GPL", "LGPL", "AGPL") else [_id, f"{_id}-only", f"{_id}-or-later", f"{_id}+"]
+    SHORT_TEMPLATES += [(_id, f"SPDX-License-Identifier: {x}") for x in _ids] + [(_id, f"under {the}{x}") for x in _said for the in ("", "the ") if not x.startswith("a ") or not the]
+ALL_TEMPLATES = TEMPLATES + SHORT_TEMPLATES
 #: Words that tell one license from another; a number does so too.
 TELLING = set("lesser library affero not no non never without mit apache bsd mozilla eclipse boost cc0 unencumbered gnu attribution sa nc nd sharealike noncommercial commercial noderivatives noderivs international zero proprietary confidential".split())
 DENIALS = set("not no never neither nor cannot isn't aren't wasn't don't doesn't without unless".split())
 #: Words before a notice in which a denial takes it back.
 DENIED = 2
-CUE = re.compile(r"licen[cs]e|copyright|all\W+rights\W+reserved|permission\W+(?:is|to)\b|redistribut|public\W+domain|endorse\W+or\W+promote", re.I)
+CUE = re.compile(r"licen[cs]e|copyright|all\W+rights\W+reserved|permission\W+(?:is|to)\b|redistribut|public\W+domain|endorse\W+or\W+promote|\bunder\s+(?:the\s+|a\s+)?(?:gnu|[al]?gpl|cc|cc0|mpl|epl|creative)(?:\b|v\d)", re.I)
 #: The least part of a template's words, in order, in the block, and the most other words among them.
 LEAST_WORDS, MOST_OTHER = 0.9, 0.15
 #: Words before and after a cue that a block takes in, as a multiple of the template. With
 #: MOST_OTHER, no notice is longer, so that the block holds it wherever in it the cue stands.
 REACH = 1.25
+#: Words to both sides of a cue among which a short template's rarest word is looked for.
+SHORT = int(REACH * 10)
 FOUND = "doc_id long, line_no long, license string, template int, saved double, covered double, differences array<string>"
 WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 
 
+@functools.cache
+def _keys() -> tuple[dict[str, list[int]], list[int], dict[tuple[str, ...], str]]:
+    """Templates by their rarest word, where all of their words must be there; the other templates; and titles by their words."""
+    often = Counter(w for _, t in ALL_TEMPLATES for w in set(words(t)))
+    by_word, others = {}, []
+    for t, (_, said) in enumerate(ALL_TEMPLATES):
+        own = words(said)
+        if LEAST_WORDS * len(own) > len(own) - 1:
+            by_word.setdefault(min(own, key=lambda w: (often[w], w)), []).append(t)
+        else:
+            others.append(t)
+    titles = {}
+    for name, spoken in NAMES.items():
+        for x in spoken:
+            own = tuple(words(x))
+            if len(own) > 1:
+                titles |= {own: name, ("the", *own): name}
+    titles |= {("mit", "license", "mit"): "MIT", ("the", "mit", "license", "mit"): "MIT", ("isc", "license", "isc"): "ISC"}
+    return by_word, others, titles
+
+
 @functools.cache
 def _packers() -> tuple:
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
-    lower = [t.lower().encode() for _, t in TEMPLATES]
+    lower = [t.lower().encode() for _, t in ALL_TEMPLATES]
     given = [zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(t, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in lower]
-    return plain, given, [len(plain.compress(t)) for t in lower], [words(t) for _, t in TEMPLATES]
+    return plain, given, [len(plain.compress(t)) for t in lower], [words(t) for _, t in ALL_TEMPLATES]
 
 
 def words(text: str) -> list[str]:
@@ -141,6 +194,7 @@ def scan(text: str | None) -> Iterator[tuple]:
     """(line number, license, template, saved, covered, differences) of every line that begins a notice."""
     plain, given, own, texts = _packers()
     kinds = [set(t) for t in texts]
+    by_word, long, titles = _keys()
     if not text or not CUE.search(text):
         return
     low = text.lower()
@@ -148,9 +202,16 @@ def scan(text: str | None) -> Iterator[tuple]:
     starts, ends, said = [x.start() for x in found], [x.end() for x in found], [x[0] for x in found]
     feeds = [x.start() for x in re.finditer("\n", low)]
     best: dict[tuple, tuple] = {}
+    for k in sorted({bisect_right(feeds, m.start()) for m in CUE.finditer(low)}):
+        line = low[feeds[k - 1] + 1 if k else 0 : feeds[k] if k < len(feeds) else len(low)]
+        name = titles.get(tuple(words(line))) if len(line) < 200 else None
+        if name:
+            best[k, name] = (k, name, next(t for t, (x, _) in enumerate(ALL_TEMPLATES) if x == name), 0.0, 1.0, [])
     for cue in sorted({max(0, bisect_right(starts, m.start()) - 1) for m in CUE.finditer(low)}):
         ranked = []
-        for t, template in enumerate(texts):
+        near = said[max(0, cue - SHORT) : cue + SHORT + 1]
+        for t in sorted({*long, *(t for w in set(near) for t in by_word.get(w, ()))}):
+            template = texts[t]
             n = int(REACH * len(template))
             lo, hi = max(0, cue - n), min(len(said), cue + 1 + n)
             least = LEAST_WORDS * len(template)
@@ -162,7 +223,7 @@ def scan(text: str | None) -> Iterator[tuple]:
         for saved, t, lo, hi in sorted(ranked, reverse=True):
             if confirmed := accepted(texts[-t], said[lo:hi]):
                 covered, differences, at = confirmed
-                name, k = TEMPLATES[-t][0], bisect_right(feeds, starts[lo + at])
+                name, k = ALL_TEMPLATES[-t][0], bisect_right(feeds, starts[lo + at])
                 was = best.get((k, name))
                 if was is None or (covered * len(texts[-t]), saved) > (was[4] * len(texts[was[2]]), was[3]):
                     best[k, name] = (k, name, -t, saved, covered, differences)
@@ -182,7 +243,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """FOUND's columns, one row for each line of docs at which a license's notice begins.
 
     docs has doc_id long and text string; other columns are ignored. Among several templates
-    of one license the one with most words found is named, then the one that saves most.
+    of one license the one with most words found is named, then the one that saves most. A line of a license's
+    name alone is its title, and a notice too.
     Null and empty texts have no notices; a null doc_id stays null; repeated rows give
     repeated rows; no rows give no rows. Whole texts are searched, over line ends too: around
     every cue, each template's block reaches as far to both sides as that template could take.
