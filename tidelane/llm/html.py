@@ -21,6 +21,9 @@ from tidelane.llm.common import table
 # start a block, and which open elements a start tag closes (up to the named boundary).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template".split())
+ESCAPABLE = {"textarea", "title"}
+#: Boxes of their own within a line: words don't run on into them.
+CONTROLS = {"button", "textarea", "select"}
 HIDDEN = set("head script style title template noscript iframe noembed noframes datalist audio video canvas".split())
 #: What a head may hold; any other tag, and text, begins the body. Parts of SVG and MathML that only define or describe.
 IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template".split())
@@ -65,9 +68,11 @@ class Node:
         """Whether it, or what it holds, can be seen at all."""
         if self.tag in HIDDEN or self.foreign and self.tag in FOREIGN_HIDDEN:
             return False
+        if self.tag == "input" or self.tag == "dialog" and self.get("open") is None:
+            return False
         if not self.attributes:
             return True
-        if self.get("hidden") is not None or self.tag == "input" or self.tag == "dialog" and self.get("open") is None:
+        if self.get("hidden") is not None:
             return False
         if self.foreign and self.get("display") == "none":
             return False
@@ -152,7 +157,8 @@ def build(html: str) -> Node:
         stack[-1].children.append(node)
         if tag in RAW and not (node.foreign and m[3].endswith("/")):
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
-            node.children.append(html[at : end.start() if end else len(html)])
+            raw = html[at : end.start() if end else len(html)]
+            node.children.append(unescape(raw) if tag in ESCAPABLE else raw)
             at = end.end() if end else len(html)
         elif tag not in VOID and not (node.foreign and m[3].endswith("/")):
             open_.push(node)
@@ -255,7 +261,11 @@ def render(html: str | None) -> str:
             if tag == "table" and len(grids) >= MOST_TABLES:
                 node.tag = tag = FLAT
             walk.append((node, False, drawn))
-            walk += [(x, True, drawn) for x in reversed(node.children)]
+            held = node.children
+            if tag == "details" and node.get("open") is None:  # closed: only its summary is seen
+                held = [x for x in held if isinstance(x, Node) and x.tag == "summary"][:1]
+            walk += [(x, True, drawn) for x in reversed(held)]
+            page.space |= tag in CONTROLS
             if tag == "br":
                 page.breaks, page.space = page.breaks + 1 if page.parts else 0, False
             elif tag in BLOCK or tag == FLAT or node.foreign and tag == "text":
@@ -307,6 +317,7 @@ def render(html: str | None) -> str:
                 grids[-1][-1].append((cell.text().strip("\n"), node.span("colspan", MOST_COLUMNS), node.span("rowspan", MOST_ROWS)))
             if tag in BLOCK or tag == FLAT or node.foreign and tag == "text":
                 page.rest(2 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu")) else 1)
+            page.space |= tag in CONTROLS
     return page.text()
 
 
