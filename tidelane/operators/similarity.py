@@ -12,6 +12,8 @@ At a similarity of t, with s characters in both texts, this is at least f s - (q
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,9 +80,10 @@ def similar_texts(texts: DataFrame, others: DataFrame, threshold: float) -> Data
     found = _by_words(both, threshold).union(_by_runs(both, threshold, 1, 0.0, split))
     if q > 1:
         found = found.union(_by_runs(both, threshold, q, split, float("inf")))
-    pairs = found.distinct().join(side(texts, "a").select(F.col("id").alias("a"), F.col("said").alias("x")), "a").join(side(others, "b").select(F.col("id").alias("b"), F.col("said").alias("y")), "b")
-    counted = lambda c: F.array(*(F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS))
-    shared = F.aggregate(F.zip_with(counted(F.col("x")), counted(F.col("y")), lambda m, n: F.least(m, n)), F.lit(0), lambda s, n: s + n)
+    counted = F.array(*(F.length("said") - F.length(F.replace("said", F.lit(x), F.lit(""))) for x in LETTERS))
+    told = lambda df, i, c, n: side(df, i).select(F.col("id").alias(i), F.col("said").alias(c), counted.alias(n))
+    pairs = found.distinct().join(told(texts, "a", "x", "m_"), "a").join(told(others, "b", "y", "n_"), "b")
+    shared = reduce(lambda s, k: s + F.least(F.col("m_")[k], F.col("n_")[k]), range(len(LETTERS)), F.lit(0))
     together = F.length("x") + F.length("y")
     pairs = pairs.withColumn("words_", F.when(F.col("x") == F.col("y"), 1.0).otherwise(token_jaccard(F.col("x"), F.col("y"))))
     asked = (F.col("words_") < 1) & (2 * shared >= threshold * together - 1e-9)

@@ -157,7 +157,7 @@ def closest_lines(spark, sf_dir):
     """The line of a 50th of the documents that is most like each line of the others; near copies make many."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     mine = lines.filter("doc_id % 50 != 0").select(F.concat_ws("-", "doc_id", "line_no").alias("id"), "text")
-    return rounded(C.closest(mine, "text", lines.filter("doc_id % 50 = 0"), "id", 0.88, order="doc_id"), "similarity")
+    return rounded(C.closest(mine, "text", lines.filter("doc_id % 50 = 0"), "id", 0.95, order="doc_id"), "similarity")
 
 
 @query()
