@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelane.plans import audits, credits, curations, dialogues, hooks, records, replays, rollouts, rows, scores, selections, trials, updates
+from tidelane.plans import audits, checks, credits, curations, dialogues, hooks, records, replays, rollouts, rows, scores, selections, trials, updates
 
-MODULES = [rollouts, records, credits, selections, updates, trials, rows, curations, dialogues, hooks, scores, audits, replays]
+MODULES = [rollouts, records, credits, selections, updates, trials, rows, curations, dialogues, hooks, scores, audits, replays, checks]
 
 
 def queries() -> dict:
