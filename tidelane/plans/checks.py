@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidelane.functions.json_schema import call_findings
+from tidelane.operators import raw_rows as W
 from tidelane.operators import trajectories as J
 from tidelane.plans.rollouts import read
 
@@ -60,3 +61,25 @@ def trajectory_spans(spark, sf_dir):
     got = J.retained_spans(o.withColumns({"mask": mask, "ids": mask, "spans": F.array(first, last)}), "ids", "mask", "spans")
     size = F.array_join(F.transform("retained", lambda s: (s["end"] - s["start"]).cast("string")), ",")
     return got.select("k", "problem", F.when(F.col("problem").isNull(), size).alias("kept"), F.when(F.col("problem").isNull(), F.aggregate("discarded", F.lit(0).cast("long"), lambda s, x: s + x)).alias("discarded"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 3 AS shape, 't' || o_custkey AS task, CASE o_orderstatus WHEN 'F' THEN 'user_stop' WHEN 'O' THEN 'max_steps' ELSE 'infrastructure_error' END AS ended,
+  CASE WHEN o_orderstatus = 'F' THEN o_custkey % 2 WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS score FROM orders),
+p AS (SELECT *, ended <> 'user_stop' AND score = 1 AS bad, ended <> 'infrastructure_error' AS complete FROM o), q AS (SELECT *, complete AND score = 0 AS lost FROM p)
+SELECT k, CASE WHEN bad THEN 'unscored run has an outcome' END AS problem, CASE WHEN NOT bad THEN task END AS task_id, CASE WHEN NOT bad THEN score::DOUBLE END AS score,
+  CASE WHEN NOT bad THEN CASE ended WHEN 'user_stop' THEN 'officially_scored' WHEN 'max_steps' THEN 'budget_limit' ELSE 'infrastructure_error' END END AS category, CASE WHEN NOT bad THEN ended = 'user_stop' END AS scored,
+  CASE WHEN NOT bad AND complete THEN score = 1 END AS success, CASE WHEN NOT bad THEN concat_ws(',', CASE WHEN NOT complete THEN 'infrastructure_error' END, CASE WHEN lost AND shape = 2 THEN 'no_tool_calls_observed_on_failure' END,
+  CASE WHEN shape = 1 THEN 'repeated_call_signature' END, CASE WHEN ended = 'max_steps' THEN 'turn_or_time_limit' END, CASE WHEN lost AND shape < 2 THEN 'write_attempt_on_failure' END, CASE WHEN shape = 0 THEN 'write_attempt_without_later_read' END) END AS labels,
+  CASE WHEN NOT bad THEN ['messages', 'simulation.messages', 'trajectory_facts'][shape + 1] END AS source, CASE WHEN NOT bad THEN CASE shape WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END::BIGINT END AS calls FROM q""")
+def normalized_rows(spark, sf_dir):
+    """Orders as flat rows, as simulations and as trajectory facts in a text, made one shape."""
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    end = F.when(F.col("o_orderstatus") == "F", "user_stop").when(F.col("o_orderstatus") == "O", "max_steps").otherwise("infrastructure_error")
+    score = F.when(F.col("o_orderstatus") == "F", cust % 2).when(k % 10 == 0, 1).otherwise(0)
+    flat = F.format_string('{"task_id": "t%d", "score": %d, "termination_reason": "%s", "messages": [{"role": "assistant", "tool_calls": [{"name": "look"}, {"function": {"name": "change", "arguments": "{}"}}]}]}', cust, score, end)
+    whole = F.format_string('{"simulation": {"task_id": "t%d", "termination_reason": "%s", "reward_info": {"reward": %d.0}, "messages": [{"role": "assistant", "tool_calls": [{"name": "change"}, {"name": "look"}, {"tool_name": "look"}]}, {"role": "user"}]}}', cust, end, score)
+    inner = F.format_string('{"identity": {"task_id": "t%d"}, "terminal": {"reward": %d, "termination_reason": "%s"}, "turns": [{"tool_calls": []}]}', cust, score, end)
+    facts = F.to_json(F.struct(inner.alias("trajectory_facts_json")))
+    rows = read(spark, sf_dir, "orders").select(k.alias("k"), F.when(k % 3 == 0, flat).when(k % 3 == 1, whole).otherwise(facts).alias("raw"))
+    got = W.normalized_rows(rows, "raw", ["look"], ["change"])
+    return got.select("k", "problem", "task_id", "score", F.col("eligibility_category").alias("category"), "scored", "success", F.array_join("labels", ",").alias("labels"), F.col("tool_evidence_source").alias("source"), F.col("tool_call_count").alias("calls"))
