@@ -198,3 +198,11 @@ def test_knowledge_base_of_json_documents(spark, tmp_path):
         files.knowledge_base(spark, str(tmp_path)).collect()
     (tmp_path / "none").mkdir()
     assert files.knowledge_base(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_next_step_takes_one_row_of_each(spark):
+    log = spark.createDataFrame([(1, "a"), (3, "b")], "step long, text string")
+    rows = spark.createDataFrame([(3, "old"), (4, "y"), (4, "x"), (5, "z"), (5, "z"), (None, "none")], "step long, text string")
+    assert sorted(tuple(r) for r in files.next_step(log, rows).collect()) == [(4, "x"), (5, "z")]
+    assert sorted(tuple(r) for r in files.next_step(log, rows.repartition(3), order="text").collect()) == [(4, "x"), (5, "z")]
+    assert files.next_step(log.limit(0), rows).count() == 3 and files.next_step(log, rows.limit(0)).count() == 0

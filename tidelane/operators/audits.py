@@ -79,14 +79,17 @@ def budget_ledger(calls: DataFrame, limit: float, key: str = "account", order: s
     return out.withColumn("running", F.sum("accounted").over(w)).withColumn("within", F.col("running") <= limit)
 
 
-def repeated_calls(calls: DataFrame, key: str, signature: str, order: str, write: Column, seen: str) -> DataFrame:
-    """Calls whose signature their key had before, with the writes between both (`writes_between`) and whether `seen` changed."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = calls.withColumn("writes_", F.sum(F.coalesce(write.cast("int"), F.lit(0))).over(w))
-    same = Window.partitionBy(key, signature).orderBy(order)
-    last = counted.withColumns({"previous": F.lag(order).over(same), "was_": F.lag("writes_").over(same), "saw_": F.lag(seen).over(same)})
-    own = F.coalesce(write.cast("int"), F.lit(0))
-    return last.filter(F.col("previous").isNotNull()).withColumns({"writes_between": F.col("writes_") - own - F.col("was_"), "changed": ~F.col("saw_").eqNullSafe(F.col(seen))}).drop("writes_", "was_", "saw_")
+def repeated_calls(calls: DataFrame, key: str, signature: str, order: str, write: Column, seen: str, failed: Column | None = None) -> DataFrame:
+    """Calls whose signature their key had before in a call that did not fail, the last of which is `previous`, with the successful writes
+    between both (`writes_between`) and whether `seen` changed (null where either is null). Failed calls are neither history nor writes, but may
+    repeat one. Null signatures are one signature."""
+    ok = F.lit(True) if failed is None else ~F.coalesce(failed, F.lit(False))
+    wrote = F.when(ok & F.coalesce(write, F.lit(False)), 1).otherwise(0)
+    until = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = calls.withColumn("own_", wrote).withColumn("writes_", F.sum("own_").over(until)).withColumn("ok_", ok)
+    before = Window.partitionBy(key, signature).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = counted.withColumn("last_", F.last(F.when(F.col("ok_"), F.struct(F.col(order).alias("at"), "writes_", F.col(seen).alias("saw"))), ignorenulls=True).over(before)).filter("last_ IS NOT NULL")
+    return last.withColumns({"previous": F.col("last_.at"), "writes_between": F.col("writes_") - F.col("own_") - F.col("last_.writes_"), "changed": F.col("last_.saw") != F.col(seen)}).drop("own_", "writes_", "ok_", "last_")
 
 
 def ranks(df: DataFrame, by: str, key: str, parts: Iterable[str] = ()) -> DataFrame:

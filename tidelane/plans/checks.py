@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidelane.functions.json_schema import call_findings
 from tidelane.operators import raw_rows as W
+from tidelane.operators import sensitivity as V
 from tidelane.operators import trajectories as J
 from tidelane.plans.rollouts import read
 
@@ -83,3 +84,13 @@ def normalized_rows(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select(k.alias("k"), F.when(k % 3 == 0, flat).when(k % 3 == 1, whole).otherwise(facts).alias("raw"))
     got = W.normalized_rows(rows, "raw", ["look"], ["change"])
     return got.select("k", "problem", "task_id", "score", F.col("eligibility_category").alias("category"), "scored", "success", F.array_join("labels", ",").alias("labels"), F.col("tool_evidence_source").alias("source"), F.col("tool_call_count").alias("calls"))
+
+
+@query("""WITH r AS (SELECT l_quantity AS a, l_discount * 100 AS b, CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 100 ELSE 0 END AS c, (l_returnflag = 'R')::INT AS y, l_linestatus = 'F' AS ok FROM lineitem),
+k AS (SELECT 'recorded' AS rows, * FROM r UNION ALL SELECT 'scored', * FROM r WHERE ok), m AS (SELECT *, CASE WHEN m % 2 = 1 THEN a ELSE 0 END + CASE WHEN m // 2 % 2 = 1 THEN b ELSE 0 END + CASE WHEN m // 4 = 1 THEN c ELSE 0 END AS x FROM k, (SELECT unnest(range(1, 8)) AS m))
+SELECT rows, concat_ws('+', CASE WHEN m % 2 = 1 THEN 'quantity' END, CASE WHEN m // 2 % 2 = 1 THEN 'discount' END, CASE WHEN m // 4 = 1 THEN 'tax' END) AS subset, count(*) AS n, sum(y)::DOUBLE AS successes, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS deviation, round(corr(x, y), 6) AS correlation FROM m GROUP BY rows, m""")
+def subset_sensitivity(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    rows = line.select(F.col("l_quantity").alias("quantity"), (F.col("l_discount") * 100).alias("discount"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax") * 100).alias("tax"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_linestatus") == "F").alias("ok"))
+    got = V.subset_correlations(rows, ["quantity", "discount", "tax"], "y", "ok")
+    return got.select("rows", F.array_join("subset", "+").alias("subset"), "n", "successes", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), F.round("correlation", 6).alias("correlation"))

@@ -117,11 +117,14 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def next_step(log: DataFrame, rows: DataFrame, step: str = "step") -> DataFrame:
-    """The rows whose step is beyond all that the log has, the first of each step."""
+def next_step(log: DataFrame, rows: DataFrame, step: str = "step", order: str | None = None) -> DataFrame:
+    """The rows whose step is beyond all that the log has, one of each step: the one with the least `order`, or without one the row that
+    comes first as JSON text. Where a row stands in its partition says nothing. Rows without a step are left out."""
     done = log.agg(F.max(step).alias("done_"))
-    w = Window.partitionBy(step).orderBy(F.monotonically_increasing_id())
-    return rows.crossJoin(F.broadcast(done)).filter(F.col("done_").isNull() | (F.col(step) > F.col("done_"))).drop("done_").withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_")
+    rank = F.to_json(F.struct(*(F.col(c) for c in rows.columns)))
+    w = Window.partitionBy(step).orderBy(*([order] if order else []), rank)
+    beyond = F.col(step).isNotNull() & (F.col("done_").isNull() | (F.col(step) > F.col("done_")))
+    return rows.crossJoin(F.broadcast(done)).filter(beyond).drop("done_").withColumn("n_", F.row_number().over(w)).filter("n_ = 1").drop("n_")
 
 
 def manifest(spark: SparkSession, path: str, key: str = "task_id", schema: str = "task_id STRING, split STRING, task_hash STRING") -> DataFrame:
