@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelane.functions.json_schema import call_findings
+from tidelane.operators import groups as G
 from tidelane.operators import raw_rows as W
 from tidelane.operators import sensitivity as V
 from tidelane.operators import trajectories as J
@@ -94,3 +96,21 @@ def subset_sensitivity(spark, sf_dir):
     rows = line.select(F.col("l_quantity").alias("quantity"), (F.col("l_discount") * 100).alias("discount"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax") * 100).alias("tax"), (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_linestatus") == "F").alias("ok"))
     got = V.subset_correlations(rows, ["quantity", "discount", "tax"], "y", "ok")
     return got.select("rows", F.array_join("subset", "+").alias("subset"), "n", "successes", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), F.round("correlation", 6).alias("correlation"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 AS member, o_orderkey // 4 AS \"group\", (o_orderkey // 4 % 7)::INT AS worker, o_orderkey // 4 // 7 * 4 + o_orderkey % 4 AS slot FROM orders")
+def dealt_groups(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("g"), F.floor(F.col("o_orderkey") / 4)).alias("uid"))
+    return G.deal_groups(o, "uid", "o_orderkey", 4, 7).drop("uid")
+
+
+@query("""WITH g AS (SELECT o_orderkey AS k, o_orderkey // 4 AS g, o_custkey % 5 AS reward FROM orders), v AS (SELECT k, (reward - avg(reward) OVER w) / (coalesce(stddev_samp(reward) OVER w, 0) + 1e-6) AS v FROM g WINDOW w AS (PARTITION BY g))
+SELECT k, round(v, 5) AS value, CASE k % 6 WHEN 1 THEN '0' WHEN 2 THEN '2' ELSE '' END AS wrong FROM v""")
+def replayed_estimates(spark, sf_dir):
+    """Saved estimates of which some are off by a tenth, and some lack the last token."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.floor(F.col("o_orderkey") / 4).alias("g"), (F.col("o_custkey") % 5).alias("reward"), F.array(F.lit(1), F.lit(0), F.lit(1)).alias("response_mask"))
+    own = Window.partitionBy("g")
+    value = (F.col("reward") - F.avg("reward").over(own)) / (F.stddev_samp("reward").over(own) + 1e-6)
+    said = o.withColumn("v", value).withColumn("advantages", F.when(F.col("k") % 6 == 1, F.array(F.col("v") + 0.1, F.lit(0.0), F.col("v"))).when(F.col("k") % 6 == 2, F.array(F.col("v"), F.lit(0.0))).otherwise(F.array("v", F.lit(0.0), "v")))
+    got = G.replay_estimates(said, "g", "k", 4)
+    return got.select("k", F.round("value", 5).alias("value"), F.array_join(F.transform("differences", lambda d: d["position"].cast("string")), ",").alias("wrong"))
