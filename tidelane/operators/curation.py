@@ -17,6 +17,8 @@ from tidelane.operators.sequences import seeded_hash
 
 #: Rows that a greedy choice may be made from; more is an error.
 MOST_POOL = 200_000
+#: Held-out entities of several words, which are looked for in every text; more is an error.
+MOST_LISTED = 20_000
 
 
 def _bounded(df: DataFrame, most: int, what: str) -> DataFrame:
@@ -230,7 +232,7 @@ def split_collisions(df: DataFrame, split: str, entities: str, text: str, held:
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_]+)"), 1))).alias("entity")).distinct()
     plain = F.col("entity").rlike("^[A-Za-z0-9_]+$")
     inside = asked.filter(plain).join(words, "entity", "left_semi")
-    rest = F.broadcast(_bounded(asked.filter(~plain), MOST_BLOCKED, "entities of several words"))
+    rest = F.broadcast(_bounded(asked.filter(~plain), MOST_LISTED, "entities of several words"))
     hit = texts.select(text).join(rest, F.contains(F.col(text), F.col("entity"))).select("entity").distinct()
     return shared.union(inside.union(hit).distinct().select("entity", F.lit("in_text")))
 
