@@ -92,10 +92,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
     band = lambda mask, k: F.call_function("shiftright", mask, F.lit(k * BAND_BITS)).bitwiseAND((1 << BAND_BITS) - 1)
 
     def keys(short: int, grows: int) -> DataFrame:
-        """Each word as the shorter (or equal) of a pair or the longer; `short` is the length of the shorter."""
+        """Each word as the shorter (or equal) of a pair or the longer; `short` is the length of the shorter.
+        Where a letter is added one bit flips, so that one of any two bands stays and the third isn't needed."""
         of, kept = F.col("size") - short, F.floor((F.col("size") - short) / 2).cast("int")
         first, last = F.substring(F.col("word"), F.lit(1), kept), F.substring(F.col("word"), -(of - kept), of - kept)
-        each = [F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), band(F.col("mask"), k).alias("bits"), half.alias("half")) for k in range(BANDS) for side, half in enumerate((first, last))]
+        each = [F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), band(F.col("mask"), k).alias("bits"), half.alias("half")) for k in range(BANDS - grows) for side, half in enumerate((first, last))]
         return words.select("word", "n", "mask", "size", of.alias("of"), F.lit(grows).alias("grows"), F.explode(F.array(*each)).alias("x")).select("*", "x.*").drop("x")
 
     left = keys(0, 0).union(keys(0, 1)).select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("mask").alias("m_a"), F.col("size").alias("s_a"), "of", "grows", "k", "side", "bits", "half")
