@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tidelane.functions.text import normalize_reason
 from tidelane.operators import similarity
 from tidelane.operators.sequences import seeded_hash
 
-#: Rows that a greedy choice may be made from; more is an error.
+#: Rows that a greedy choice goes through in one task; of more, each step is a pass over all partitions.
 MOST_POOL = 200_000
 #: Held-out entities of several words, which are looked for in every text; more is an error.
 MOST_LISTED = 20_000
@@ -66,25 +68,94 @@ def diverse_selection(df: DataFrame, key: str, reason: str, seed: int, size: int
     return _in_order(pool, choose, f"k {kind}, place int, bucket int", "diverse_selection").withColumnRenamed("k", key)
 
 
-def balanced_selection(df: DataFrame, key: str, size: int, seed: int, category: str = "category", stratum: str = "stratum", entities: str = "entities", merit: str = "merit") -> DataFrame:
-    """(key, place): one row after the other, of the category and then the stratum with the fewest so far, then
-    with the least used entities, the greatest merit and the least sha256(seed:key)."""
+class _Balance:
+    """Ranks rows of classes (category, stratum, entities) by what was taken before."""
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        pool = list(rows[["k_", "c_", "s_", "e_", "m_", "h_"]].itertuples(index=False, name=None))
-        cats, strata, used, out = Counter(), Counter(), Counter(), []
-        while pool and len(out) < size:
-            i = min(range(len(pool)), key=lambda i: (cats[pool[i][1]], strata[pool[i][1:3]], sum(used[e] for e in pool[i][3]), -pool[i][4], pool[i][5]))
-            k, c, s, own, _, _ = pool.pop(i)
-            cats[c] += 1
-            strata[c, s] += 1
-            used.update(own)
-            out.append((k, len(out)))
-        return pd.DataFrame(out, columns=["k", "place"])
+    def __init__(self) -> None:
+        self.categories, self.strata, self.used = Counter(), Counter(), Counter()
 
-    kind = df.schema[key].dataType.simpleString()
-    pool = df.select(F.col(key).alias("k_"), F.col(category).alias("c_"), F.col(stratum).alias("s_"), F.array_distinct(entities).alias("e_"), F.col(merit).cast("double").alias("m_"), seeded_hash(key, seed).alias("h_"))
-    return _in_order(pool, choose, f"k {kind}, place int", "balanced_selection").withColumnRenamed("k", key)
+    def rank(self, category, stratum, entities) -> tuple:
+        return self.categories[category], self.strata[category, stratum], sum(self.used[e] for e in entities)
+
+    def take(self, category, stratum, entities) -> None:
+        self.categories[category] += 1
+        self.strata[category, stratum] += 1
+        self.used.update(entities)
+
+
+def _hashable(x):
+    return tuple(x) if isinstance(x, (list, np.ndarray)) else x
+
+
+def _rows(frame: pd.DataFrame) -> Iterator[tuple]:
+    """(class, place in it, -merit, hash, key) of each row."""
+    of = [c for c in frame.columns if c.startswith("of_")]
+    for own, n, m, h, k in zip(frame[of].itertuples(index=False, name=None), frame["n_"], frame["m_"], frame["h_"], frame["k_"]):
+        yield tuple(map(_hashable, own)), n, -m, h, k
+
+
+def _one_by_one(pool: DataFrame, key: str, size: int, state: _Balance) -> DataFrame:
+    """(key, place): `size` rows of pool (k_, m_, h_, and columns of_... that make a row's class), one after the other: of the class
+    that the state ranks first after all rows before, then of the greatest m_ and the least h_.
+
+    What was taken before ranks classes only, and the rows of a class go in the order of m_ and h_. So no class gives more than its first `size` rows, and only these
+    are kept. At most MOST_POOL of them are gone through in one task; of more, each step asks every partition for its best row.
+    """
+    if size < 1:
+        return pool.limit(0).select(F.col("k_").alias(key), F.lit(0).alias("place"))
+    of = [c for c in pool.columns if c.startswith("of_")]
+    order = Window.partitionBy(*of).orderBy(F.desc("m_"), "h_")
+    heads = pool.withColumn("n_", F.row_number().over(order)).filter(F.col("n_") <= size)
+    heads = heads.persist(StorageLevel.DISK_ONLY)
+    schema = pool.select(F.col("k_").alias(key), F.lit(0).alias("place")).schema
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        classes, out = defaultdict(list), []
+        for own, n, m, h, k in _rows(frame):
+            classes[own].append((m, h, n, k))
+        waiting = {own: sorted(rows, key=lambda r: r[2], reverse=True) for own, rows in classes.items()}
+        while waiting and len(out) < size:
+            own = min(waiting, key=lambda c: (*state.rank(*c), *waiting[c][-1][:2]))
+            out.append((waiting[own].pop()[3], len(out)))
+            state.take(*own)
+            if not waiting[own]:
+                del waiting[own]
+        return pd.DataFrame(out, columns=schema.names)
+
+    if heads.count() <= MOST_POOL:
+        return heads.groupBy().applyInPandas(choose, schema)
+    gone, out = Counter(), []
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in frames:
+            for at, (own, n, m, h, k) in enumerate(_rows(frame)):
+                if n == gone[own] + 1:
+                    mine = (*state.rank(*own), m, h)
+                    if first is None or mine < first[0]:
+                        first = (mine, frame.iloc[at : at + 1])
+        if first:
+            yield first[1]
+
+    while len(out) < size:
+        tops = [r for r in heads.mapInPandas(best, heads.schema).collect()]
+        told = [(tuple(_hashable(r[c]) for c in of), r) for r in tops]
+        if not told:
+            break
+        own, r = min(told, key=lambda x: (*state.rank(*x[0]), -x[1]["m_"], x[1]["h_"]))
+        out.append((r["k_"], len(out)))
+        gone[own] += 1
+        state.take(*own)
+    heads.unpersist()
+    return pool.sparkSession.createDataFrame(out, schema)
+
+
+def balanced_selection(df: DataFrame, key: str, size: int, seed: int, category: str = "category", stratum: str = "stratum", entities: str = "entities", merit: str = "merit") -> DataFrame:
+    """(key, place): one row after the other, of the category and then the stratum with the fewest so far, then
+    with the least used entities, the greatest merit and the least sha256(seed:key). Pools of any size."""
+    own = F.array_sort(F.array_distinct(entities))
+    pool = df.select(F.col(key).alias("k_"), F.col(category).cast("string").alias("of_c"), F.col(stratum).cast("string").alias("of_s"), own.alias("of_e"), F.coalesce(F.col(merit).cast("double"), F.lit(float("-inf"))).alias("m_"), seeded_hash(key, seed).alias("h_"))
+    return _one_by_one(pool, key, size, _Balance())
 
 
 def covering_selection(df: DataFrame, key: str, size: int, seed: int, tools: str = "tools", least: int = 5, goals: dict[str, int] | None = None, category: str = "category") -> DataFrame:
