@@ -83,6 +83,24 @@ class _Balance:
         self.used.update(entities)
 
 
+class _Cover:
+    """Ranks rows of classes (tools, how many rows of the pool have each of them, category) by the deficits left."""
+
+    def __init__(self, least: int, goals: dict[str, int] | None) -> None:
+        self.least, self.goals, self.seen, self.categories = least, goals, Counter(), Counter()
+
+    def rank(self, tools, has, category) -> tuple:
+        goals, seen = self.goals, self.seen
+        lacks = sum(1 / n for t, n in zip(tools, has) if seen[t] < min(self.least, n) and (goals is None or seen[t]))
+        unseen = sum(1 / n for t, n in zip(tools, has) if not seen[t]) if goals is not None else 0
+        need = max(0, goals.get(category, 0) - self.categories[category]) / max(1, goals.get(category, 0)) if goals is not None else 0
+        return -unseen, -need, -lacks
+
+    def take(self, tools, has, category) -> None:
+        self.seen.update(tools)
+        self.categories[category] += 1
+
+
 def _hashable(x):
     return tuple(x) if isinstance(x, (list, np.ndarray)) else x
 
@@ -94,7 +112,7 @@ def _rows(frame: pd.DataFrame) -> Iterator[tuple]:
         yield tuple(map(_hashable, own)), n, -m, h, k
 
 
-def _one_by_one(pool: DataFrame, key: str, size: int, state: _Balance) -> DataFrame:
+def _one_by_one(pool: DataFrame, key: str, size: int, state: _Balance | _Cover) -> DataFrame:
     """(key, place): `size` rows of pool (k_, m_, h_, and columns of_... that make a row's class), one after the other: of the class
     that the state ranks first after all rows before, then of the greatest m_ and the least h_.
 
@@ -161,31 +179,15 @@ def balanced_selection(df: DataFrame, key: str, size: int, seed: int, category:
 def covering_selection(df: DataFrame, key: str, size: int, seed: int, tools: str = "tools", least: int = 5, goals: dict[str, int] | None = None, category: str = "category") -> DataFrame:
     """(key, place): rows that fill deficits first. A tool that fewer than `least` chosen rows have (or all rows
     that have it) counts 1 over how many rows of the pool have it; with goals by category, the most
-    wanting category comes before that, and rows with a tool not seen yet before both; ties by sha256(seed:key)."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        pool = list(rows[["k_", "t_", "c_", "h_"]].itertuples(index=False, name=None))
-        has = Counter(t for _, own, _, _ in pool for t in own)
-        seen, cats, out = Counter(), Counter(), []
-
-        def rank(row: tuple) -> tuple:
-            _, own, c, h = row
-            lacks = sum(1 / has[t] for t in own if seen[t] < min(least, has[t]) and (goals is None or seen[t]))
-            unseen = sum(1 / has[t] for t in own if not seen[t]) if goals is not None else 0
-            need = max(0, goals.get(c, 0) - cats[c]) / max(1, goals.get(c, 0)) if goals is not None else 0
-            return (-unseen, -need, -lacks, h)
-
-        while pool and len(out) < size:
-            row = pool.pop(min(range(len(pool)), key=lambda i: rank(pool[i])))
-            seen.update(row[1])
-            cats[row[2]] += 1
-            out.append((row[0], len(out)))
-        return pd.DataFrame(out, columns=["k", "place"])
-
-    kind = df.schema[key].dataType.simpleString()
+    wanting category comes before that, and rows with a tool not seen yet before both; ties by sha256(seed:key). Pools of any size."""
     c = F.col(category).cast("string") if goals is not None else F.lit("")
-    pool = df.select(F.col(key).alias("k_"), F.array_sort(F.array_distinct(tools)).alias("t_"), c.alias("c_"), seeded_hash(key, seed).alias("h_"))
-    return _in_order(pool, choose, f"k {kind}, place int", "covering_selection").withColumnRenamed("k", key)
+    pool = df.select(F.col(key).alias("k_"), F.array_sort(F.array_distinct(tools)).alias("of_a"), c.alias("of_c"), F.lit(0.0).alias("m_"), seeded_hash(key, seed).alias("h_"))
+    sets = pool.groupBy("of_a").agg(F.count("*").alias("n"))
+    each = sets.select("of_a", "n", F.posexplode("of_a").alias("at", "tool"))
+    has = each.groupBy(F.col("tool").alias("tool_")).agg(F.sum("n").alias("has"))
+    met = each.join(has, F.col("tool").eqNullSafe(F.col("tool_"))).groupBy(F.col("of_a").alias("a_")).agg(F.array_sort(F.collect_list(F.struct("at", "has"))).alias("x"))
+    counted = pool.join(met, F.col("of_a") == F.col("a_"), "left").withColumn("of_b", F.coalesce(F.col("x.has"), F.array().cast("array<bigint>")))
+    return _one_by_one(counted.select("k_", "of_a", "of_b", "of_c", "m_", "h_"), key, size, _Cover(least, goals))
 
 
 def extension(pool: DataFrame, chosen: DataFrame, key: str, signature: str) -> DataFrame:
