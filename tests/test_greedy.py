@@ -53,3 +53,34 @@ def test_greedy_choices_of_large_pools(spark, monkeypatch, most):
         assert chosen(curation.covering_selection(df, "id", 8, 7, tools="entities", least=2, goals=goals)) == want
     assert len(chosen(curation.balanced_selection(df.limit(3), "id", 9, 1))) == 3
     assert chosen(curation.balanced_selection(df, "id", 0, 1)) == chosen(curation.balanced_selection(df.limit(0), "id", 4, 1)) == []
+
+
+@pytest.mark.parametrize("step", [3, 1000])
+def test_diverse_selection_of_large_pools(spark, monkeypatch, step):
+    monkeypatch.setattr(curation, "MOST_POOL", 5)
+    monkeypatch.setattr(curation, "STEP", step)
+    rng = random.Random(9)
+    words = ["aa", "bb", "cc", "dd", "ee"]
+    rows = [(i, rng.choice([" ".join(rng.choices(words, k=rng.randint(1, 3))), "aa bb", "aa bb cc", "", None] if i > 40 else ["aa bb cc dd", "aa bb"])) for i in range(120)]
+    rows += [rows[50], rows[51]]
+    df = spark.createDataFrame(rows, "id long, reason string")
+    for size, cap, threshold in ((2, 1, 0.6), (500, 2, 0.6), (500, 3, 0.75), (500, 1, 0.95), (5, 0, 0.5)):
+        buckets, want = [], []
+        for k, text in sorted(rows, key=lambda r: hashed(3, r[0])) if cap else []:
+            text, best = text or "", (threshold, None)
+            for i, (other, _) in enumerate(buckets):
+                if text and other:
+                    a, b = set(text.split()), set(other.split())
+                    score = 1.0 if text == other else max(len(a & b) / len(a | b), matching_blocks_ratio(text, other))
+                    if score > best[0] or score == best[0] and best[1] is None:
+                        best = (score, i)
+            if best[1] is None:
+                buckets.append([text, 0])
+                best = (0, len(buckets) - 1)
+            if buckets[best[1]][1] < cap:
+                buckets[best[1]][1] += 1
+                want.append((k, len(want), best[1]))
+                if len(want) == size:
+                    break
+        got = curation.diverse_selection(df, "id", "reason", 3, size, threshold, cap).orderBy("place").collect()
+        assert list(map(tuple, got)) == want, (size, cap, threshold)

@@ -19,6 +19,8 @@ from tidelane.operators.sequences import seeded_hash
 
 #: Rows that a greedy choice goes through in one task; of more, each step is a pass over all partitions.
 MOST_POOL = 200_000
+#: Rows that a diverse selection takes at a time.
+STEP = 1000
 #: Held-out entities of several words, which are looked for in every text; more is an error.
 MOST_LISTED = 20_000
 
@@ -32,40 +34,78 @@ def _bounded(df: DataFrame, most: int, what: str) -> DataFrame:
 closest, best_matches = similarity.closest_texts, similarity.best_matches
 
 
-def _in_order(df: DataFrame, choose: Callable[[pd.DataFrame], pd.DataFrame], schema: str, what: str) -> DataFrame:
-    """A choice in which each step depends on those before it: over a bounded pool, in one task."""
-    return _bounded(df, MOST_POOL, what).groupBy().applyInPandas(choose, schema)
+class _Buckets:
+    """Buckets of reasons, each by its first one, and how many rows each has."""
+
+    def __init__(self, threshold: float, cap: int) -> None:
+        self.threshold, self.cap, self.all = threshold, cap, []
+
+    def best(self, text: str, since: int = 0, so_far: tuple | None = None) -> tuple:
+        """(score, number) of the bucket most like a text; the number is null if none reaches the threshold."""
+        words, best = set(text.split()), so_far or (self.threshold, None)
+        for i in range(since, len(self.all)):
+            other, own, _ = self.all[i]
+            if not text or not other:
+                continue
+            score = 1.0 if text == other else len(words & own) / len(words | own)
+            if score < 1 and 2 * min(len(text), len(other)) >= max(best[0], score) * (len(text) + len(other)):
+                score = max(score, matching_blocks_ratio(text, other))
+            if score > best[0] or score == best[0] and best[1] is None:
+                best = (score, i)
+        return best
+
+    def full(self, number: int | None) -> bool:
+        return number is not None and self.all[number][2] >= self.cap
+
+    def add(self, text: str, number: int | None) -> int:
+        if number is None:
+            number = len(self.all)
+            self.all.append([text, set(text.split()), 0])
+        self.all[number][2] += 1
+        return number
 
 
 def diverse_selection(df: DataFrame, key: str, reason: str, seed: int, size: int, threshold: float, cap: int = 1) -> DataFrame:
     """(key, place, bucket): rows in the order of sha256(seed:key) join the most alike bucket of reasons
-    (represented by its first), if they reach the threshold, and are passed over once it has `cap`."""
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        buckets, out = [], []
-        for k, text in rows.sort_values("h_")[["k_", "r_"]].itertuples(index=False):
-            words, best = set(text.split()), (threshold, None)
-            for i, (other, own, _) in enumerate(buckets):
-                if not text or not other:
-                    continue
-                score = 1.0 if text == other else len(words & own) / len(words | own)
-                if score < 1 and 2 * min(len(text), len(other)) >= max(best[0], score) * (len(text) + len(other)):
-                    score = max(score, matching_blocks_ratio(text, other))
-                if score > best[0] or score == best[0] and best[1] is None:
-                    best = (score, i)
-            if best[1] is None:
-                buckets.append([text, words, 0])
-                best = (0, len(buckets) - 1)
-            if buckets[best[1]][2] < cap:
-                buckets[best[1]][2] += 1
-                out.append((k, len(out), best[1]))
-                if len(out) == size:
-                    break
-        return pd.DataFrame(out, columns=["k", "place", "bucket"])
-
-    kind = df.schema[key].dataType.simpleString()
+    (represented by its first), if they reach the threshold, and are passed over once it has `cap`. Pools of any size.
+
+    Each round asks which reasons have a full bucket, takes the next rows of other reasons, STEP at a time, and goes through these in order. A reason without
+    a place can get one only by a new bucket, so a round that left reasons out ends with the row that opens one.
+    """
+    size = size if cap > 0 else 0
     pool = df.select(F.col(key).alias("k_"), F.coalesce(normalize_reason(F.col(reason)), F.lit("")).alias("r_"), seeded_hash(key, seed).alias("h_"))
-    return _in_order(pool, choose, f"k {kind}, place int, bucket int", "diverse_selection").withColumnRenamed("k", key)
+    pool = pool.withColumn("u_", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    state, out, after, step = _Buckets(threshold, cap), [], ("", 0), max(STEP, size)
+    while len(out) < size:
+        rows = pool.filter((F.col("h_") > after[0]) | (F.col("h_") == after[0]) & (F.col("u_") > after[1]))
+        left_out = False
+        if state.all:
+
+            @F.pandas_udf("boolean")
+            def blocked(texts: pd.Series) -> pd.Series:
+                return pd.Series([state.full(state.best(t)[1]) for t in texts])
+
+            reasons = rows.select("r_").distinct().withColumn("full_", blocked("r_")).persist(StorageLevel.DISK_ONLY)
+            left_out = not reasons.filter("full_").isEmpty()
+            rows = rows.join(reasons.filter("NOT full_"), "r_") if left_out else rows
+        found = rows.orderBy("h_", "u_").limit(step).select("k_", "r_", "h_", "u_").collect()
+        known = {}
+        for k, text, *after in found:
+            since, best = known.get(text, (0, None))
+            best = state.best(text, since, best)
+            known[text] = (len(state.all), best)
+            if state.full(best[1]):
+                continue
+            opened = best[1] is None
+            out.append((k, len(out), state.add(text, best[1])))
+            if len(out) == size or opened and left_out:
+                break
+        else:
+            if len(found) < step:
+                break
+    pool.unpersist()
+    schema = pool.select(F.col("k_").alias(key), F.lit(0).alias("place"), F.lit(0).alias("bucket")).schema
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 class _Balance:
