@@ -4,6 +4,7 @@ import difflib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelane.operators import similarity as S
 
@@ -81,3 +82,21 @@ def test_best_matches_are_those_of_all_pairs(spark, lexical):
                 best = max(best, (rank, o, mine)) if best else (rank, o, mine)
         want = (best[1], *best[2]) if best else (None,) * (5 if lexical else 4)
         assert tuple(round(x, 9) if isinstance(x, float) else x for x in got[k]) == tuple(round(x, 9) if isinstance(x, float) else x for x in want), k
+
+
+def test_best_matches_compare_kinds_of_rows(spark):
+    """Rows alike in reason, tags and actions are one; ten thousand million pairs of rows would not end."""
+    kind = lambda i: (None if i % 3 == 0 else "said", {"t"} if i % 3 != 1 else set(), None if i % 5 == 0 else "x")
+    frame = lambda n, name: spark.range(n).selectExpr(f"id AS {name}", "IF(id % 3 = 0, NULL, 'said') AS reason", "IF(id % 3 = 1, NULL, array('t')) AS tags", "IF(id % 5 = 0, NULL, array('x')) AS actions")
+    want = {}
+    for i in range(15):
+        (reason, tags, act), found = kind(i), []
+        for j in range(15):
+            reason_, tags_, act_ = kind(j)
+            exact = reason is not None and reason == reason_
+            if exact or tags & tags_:
+                found.append((not exact, -(len(tags & tags_) / max(1, len(tags | tags_))), not (act is not None and act == act_), j))
+        first = min(found)
+        want[i] = (first[3], not first[0], -first[1], not first[2])
+    got = S.best_matches(frame(100_000, "k"), frame(100_000, "other"), "k", "other").groupBy((F.col("k") % 15).alias("i"), "other", "exact", "jaccard", "same").count().collect()
+    assert {r.i: (r.other, r.exact, r.jaccard, r.same) for r in got} == want and len(got) == 15 and sum(r["count"] for r in got) == 100_000

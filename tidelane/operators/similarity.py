@@ -126,6 +126,11 @@ def best_matches(df: DataFrame, others: DataFrame, key: str, other: str, lexical
         others = others.filter(F.col(eligible))
     side = lambda d, k, p: d.select(F.col(k).alias(p), F.col("reason").alias(f"{p}_reason"), F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))).alias(f"{p}_tags"), F.array_sort("actions").alias(f"{p}_acts"))
     a, b = side(df, key, "a"), side(others, other, "b")
+    whole = a
+    if not lexical:  # rows alike in all three are one, and so are those of others, of which the least counts
+        parts = lambda p: [f"{p}_reason", f"{p}_tags", f"{p}_acts"]
+        a = whole.groupBy(*parts("a")).agg(F.min("a").alias("a"))
+        b = b.groupBy(*parts("b")).agg(F.min("b").alias("b"))
     kinds = lambda d, p: d.select(f"{p}_tags").distinct()
     each = lambda d, p: kinds(d, p).select(f"{p}_tags", F.explode(f"{p}_tags").alias("tag_"))
     shared = each(a, "a").join(each(b, "b"), "tag_").groupBy("a_tags", "b_tags").agg(F.count("*").alias("n_"))
@@ -156,4 +161,8 @@ def best_matches(df: DataFrame, others: DataFrame, key: str, other: str, lexical
         best = found.groupBy("a").agg(F.min_by(F.struct("b", *out), F.struct(F.coalesce(-F.col("lexical"), F.lit(1.0)).alias("less"), "b")).alias("x"))
     else:
         best = found.groupBy("a").agg(F.min_by(F.struct("b", *out), "b").alias("x"))
-    return df.select(F.col(key).alias("a")).join(best, "a", "left").select(F.col("a").alias(key), F.col("x.b").alias(other), *(f"x.{c}" for c in out))
+    if lexical:
+        return whole.select("a").join(best, "a", "left").select(F.col("a").alias(key), F.col("x.b").alias(other), *(f"x.{c}" for c in out))
+    best = a.join(best, "a").select(*(F.col(c).alias(f"{c}_") for c in parts("a")), "x")
+    met = reduce(lambda m, c: m & F.col(c).eqNullSafe(F.col(f"{c}_")), parts("a"), F.lit(True))
+    return whole.join(best, met, "left").select(F.col("a").alias(key), F.col("x.b").alias(other), *(f"x.{c}" for c in out))
