@@ -100,3 +100,31 @@ def test_best_matches_compare_kinds_of_rows(spark):
         want[i] = (first[3], not first[0], -first[1], not first[2])
     got = S.best_matches(frame(100_000, "k"), frame(100_000, "other"), "k", "other").groupBy((F.col("k") % 15).alias("i"), "other", "exact", "jaccard", "same").count().collect()
     assert {r.i: (r.other, r.exact, r.jaccard, r.same) for r in got} == want and len(got) == 15 and sum(r["count"] for r in got) == 100_000
+
+
+def test_common_characters_bound_the_ratio():
+    from tidelane.functions.documents import common_characters, matching_blocks_ratio
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(row[j] + 1 if x == y else max(row[j + 1], now[j]))
+            row = now
+        return row[-1]
+
+    rng = random.Random(8)
+    for a, b in zip(texts_of(rng, 60), texts_of(rng, 60)):
+        assert common_characters(a, b) == plain(a, b) >= matching_blocks_ratio(a, b) * (len(a) + len(b)) / 2 - 1e-9
+
+
+def test_runs_at_other_places_are_no_candidates(spark):
+    """Texts made of the same long words in another order share runs, but far from their places."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(30)]
+    turned = [" ".join(words[k:] + words[:k]) for k in (0, 1, 2, 10, 11, 12, 13)]
+    near = turned[0][:100] + "x" + turned[0][100:]
+    frame = spark.createDataFrame([("a", i, t) for i, t in enumerate(turned[:3])] + [("b", i, t) for i, t in enumerate([*turned[3:], near])], "side string, id long, said string")
+    assert {tuple(r) for r in S._by_runs(frame, 0.95, 8, 64.0, float("inf")).collect()} >= {(0, 4)}
+    assert not {r.b for r in S._by_runs(frame, 0.95, 8, 64.0, float("inf")).collect()} & {0, 1, 2, 3}

@@ -327,6 +327,27 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return _each(matching_blocks_ratio, "double", pa.float64(), a, b)
 
 
+def common_characters(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by a bit for each character of a: no fewer than match in blocks."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every = left = (1 << len(a)) - 1
+    for c in b:
+        met = left & at.get(c, 0)
+        left = (left + met | left - met) & every
+    return len(a) - left.bit_count()
+
+
+def sequence_ratio_from(least: float, a: Column, b: Column) -> Column:
+    """sequence_ratio where it may reach `least`, else null."""
+
+    def ratio(x: str, y: str) -> float | None:
+        return matching_blocks_ratio(x, y) if 2 * common_characters(x, y) >= least * (len(x) + len(y)) - 1e-9 else None
+
+    return _each(ratio, "double", pa.float64(), a, b)
+
+
 def near_duplicate(a: Column, b: Column, threshold: float = 0.88) -> Column:
     """Whether two normalised texts are alike by their sets of words or in sequence. Texts whose lengths
     rule the latter out never reach Python."""

@@ -8,6 +8,8 @@ text's first ones: only these are joined. The order is by rising frequency, so c
 In sequence: let a pair have M matching characters in blocks, and U others. Between two blocks lies one of
 the others at least, so there are U + 1 blocks at most, and M - (q - 1)(U + 1) runs of q characters or more are within blocks.
 At a similarity of t, with s characters in both texts, this is at least f s - (q - 1), f = t / 2 - (q - 1)(1 - t).
+Runs are ordered by their frequency in the other texts and then by place. The first run that the blocks share is then among both texts' first ones in the same
+block, so its places differ by U at most, before and behind it together. Runs that no other text has come first and are left out.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions.documents import sequence_ratio
+from tidelane.functions.documents import sequence_ratio, sequence_ratio_from
 from tidelane.functions.text import normalize_reason, token_jaccard
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
@@ -55,20 +57,25 @@ def _by_runs(texts: DataFrame, threshold: float, q: int, low: float, high: float
     sized = texts.select("side", "id", "said", F.length("said").alias("n"))
     least, most = F.ceil(F.col("n") * threshold / (2 - threshold) - 1e-9), F.floor(F.col("n") * (2 - threshold) / threshold + 1e-9)
     sized = sized.filter((F.col("n") >= q) & (F.col("n") + most >= low) & (F.col("n") + least < high))
-    runs = sized.select("side", "id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - (q - 1)), lambda i: F.substring("said", i, F.lit(q)))).alias("run"))
-    nth = F.row_number().over(Window.partitionBy("side", "id", "run").orderBy(F.lit(0)))
-    parts = runs.withColumn("part", F.concat("run", F.lit("#"), nth.cast("string"))).drop("run")
+    runs = F.transform(F.sequence(F.lit(1), F.col("n") - (q - 1)), lambda i: F.xxhash64(F.substring("said", i, F.lit(q))))
+    parts = sized.select("side", "id", "n", F.posexplode(runs).alias("pos", "part"))
+    often = parts.filter("side = 'b'").groupBy("part").agg(F.count("*").alias("often_"))
+    own = Window.partitionBy("side", "id")
+    ranked = parts.join(often, "part").withColumn("kept_", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("often_", "part", "pos")))
     common = F.greatest(F.lit(1), F.ceil(f * F.greatest(F.col("n") + least, F.lit(low)) - (q - 1) - 1e-9))
+    first = ranked.filter(F.col("rank") <= F.col("kept_") - common + 1)
     together = F.col("n_a") + F.col("n_b")
     fits = (together >= low) & (together < high) & (2 * F.least("n_a", "n_b") >= threshold * together - 1e-9)
-    return _met(_ranked(parts).filter(F.col("rank") <= F.col("n") - (q - 1) - common + 1), fits)
+    shift = F.abs(F.col("p_a") - F.col("p_b")) + F.abs((F.col("n_a") - F.col("p_a")) - (F.col("n_b") - F.col("p_b")))
+    of = lambda p: first.filter(f"side = '{p}'").select(F.col("id").alias(p), F.col("n").alias(f"n_{p}"), F.col("pos").alias(f"p_{p}"), "part")
+    return of("a").join(of("b"), "part").filter(fits & (shift <= (1 - threshold) * together + 1e-6)).select("a", "b").distinct()
 
 
 def similar_texts(texts: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): all pairs of one of texts (a) and one of others (b), both columns `said` of different normalised, non-empty texts
     (letters a-z, digits and single spaces), whose greater similarity reaches the threshold (above 0, at most 1).
 
-    Counts of letters rule out most candidates before Python compares sequences. Equal texts are pairs of similarity 1.
+    Counts of letters, and then the longest common subsequence, rule out most candidates before Python compares sequences. Equal texts are pairs of similarity 1.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and is 1 at most")
@@ -88,7 +95,9 @@ def similar_texts(texts: DataFrame, others: DataFrame, threshold: float) -> Data
     pairs = pairs.withColumn("words_", F.when(F.col("x") == F.col("y"), 1.0).otherwise(token_jaccard(F.col("x"), F.col("y"))))
     asked = (F.col("words_") < 1) & (2 * shared >= threshold * together - 1e-9)
     pairs = pairs.withColumn("asked_", asked).filter(F.col("asked_") | (F.col("words_") >= threshold))
-    ratio = sequence_ratio(F.when(F.col("asked_"), F.col("x")), F.when(F.col("asked_"), F.col("y")))
+    # Python's part is dealt out again: the candidates take few bytes, so Spark would leave them to few tasks.
+    pairs = pairs.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    ratio = sequence_ratio_from(threshold, F.when(F.col("asked_"), F.col("x")), F.when(F.col("asked_"), F.col("y")))
     scored = pairs.withColumn("similarity", F.greatest("words_", F.coalesce(ratio, F.lit(0.0))))
     return scored.filter(F.col("similarity") >= threshold).select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
 
