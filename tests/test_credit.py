@@ -93,3 +93,15 @@ def test_validation_metrics_by_brute_force(spark):
             want.setdefault((uid[0], k), []).append(v)
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(np.mean(v)) for k, v in want.items())
+
+
+def test_validation_metrics_resample_uids_together(spark):
+    """Uids with equally many responses are one array, so that draws are made once a length and not once a uid."""
+    df = spark.range(4000).selectExpr("'s' AS source", "id % 1000 AS uid", "id AS k", "cast(id % 97 AS double) AS v", "cast(id % 3 AS string) AS pred")
+    plan = audits.validation_metrics(df, "source", "uid", "v", "k", "pred", resamples=20, seed=7)
+    assert "MapInPandas" in plan._jdf.queryExecution().toString() and "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    values, votes = np.random.RandomState(1).rand(30, 6), np.random.RandomState(2).randint(0, 3, (30, 6))
+    whole = audits.resampled(values, votes, 4, 50, 7)
+    for i in range(30):
+        one = audits.resampled(values[i : i + 1], votes[i : i + 1], 4, 50, 7)
+        assert all(one[k][0] == whole[k][i] for k in whole) and len(whole) == 6

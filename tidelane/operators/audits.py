@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -97,39 +98,56 @@ def ranks(df: DataFrame, by: str, key: str, parts: Iterable[str] = ()) -> DataFr
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy(F.desc_nulls_last(by), key)))
 
 
+#: Numbers drawn at once, for rows of one length.
+MOST_DRAWN = 2_000_000
+
+
 def sizes_of(n: int) -> list[int]:
     """2, 4, 8, … below n, and n."""
     return [] if n <= 1 else [2**k for k in range(1, n.bit_length()) if 2**k < n] + [n]
 
 
-def resampled(values: np.ndarray, votes: np.ndarray | None, size: int, resamples: int, seed: int) -> dict[str, float]:
-    """Mean and deviation, over seeded resamples with replacement, of the best, the worst and the majority's value."""
-    at = np.random.RandomState(seed).choice(len(values), size=(resamples, size), replace=True)
-    drawn = {"best": values[at].max(axis=1), "worst": values[at].min(axis=1)}
+@lru_cache(maxsize=64)
+def _drawn(n: int, size: int, resamples: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).choice(n, size=(resamples, size), replace=True)
+
+
+def resampled(values: np.ndarray, votes: np.ndarray | None, size: int, resamples: int, seed: int) -> dict[str, np.ndarray]:
+    """Mean and deviation, over seeded resamples with replacement, of the best, the worst and the majority's value:
+    one for each row of values, whose numbers are one uid's. Rows of one length are drawn alike."""
+    at = _drawn(values.shape[1], size, resamples, seed)
+    drawn = {"best": values[:, at].max(axis=2), "worst": values[:, at].min(axis=2)}
     if votes is not None:
-        vote = votes[at]
-        count = (vote[:, :, None] == vote[:, None, :]).sum(axis=2)
-        drawn["maj"] = np.take_along_axis(values[at], count.argmax(axis=1)[:, None], axis=1)[:, 0]  # the first of the most frequent
-    return {f"{k}@{size}/{s}": float(f(x)) for k, x in drawn.items() for s, f in (("mean", np.mean), ("std", np.std))}
+        vote = votes[:, at]
+        count = (vote[:, :, :, None] == vote[:, :, None, :]).sum(axis=3)
+        drawn["maj"] = np.take_along_axis(values[:, at], count.argmax(axis=2)[:, :, None], axis=2)[:, :, 0]  # the first of the most frequent
+    return {f"{k}@{size}/{s}": f(np.ascontiguousarray(x), axis=1) for k, x in drawn.items() for s, f in (("mean", np.mean), ("std", np.std))}
 
 
 def validation_metrics(df: DataFrame, source: str, uid: str, value: str, order: str, pred: str | None = None, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """(source, metric, value): metrics of each uid's responses, then their means over uids.
 
     mean@n and std@n (population) are aggregates. best@k, worst@k and, with predictions,
-    maj@k resample a uid's own responses, as many as were drawn for one prompt, in tasks.
+    maj@k resample a uid's own responses, as many as were drawn for one prompt, in tasks; uids with equally
+    many are resampled together.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("o_", kind="stable")
-        values = group["v_"].to_numpy(float)
-        votes = pd.factorize(group["p_"])[0] if pred else None
-        out = {k: v for size in sizes_of(len(values)) for k, v in resampled(values, votes, size, resamples, seed).items()}
-        return pd.DataFrame({source: group[source].iloc[:1].repeat(len(out)).array, "metric": pd.Series(list(out), dtype=object), "value": pd.Series(list(out.values()), dtype=float)})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n, group in frame.groupby(frame["x_"].map(len)):
+                step = max(1, MOST_DRAWN // (resamples * n * (n if pred else 1)))
+                for at in range(0, len(group) if n > 1 else 0, step):
+                    part = group.iloc[at : at + step]
+                    values = np.array([[x["v_"] for x in own] for own in part["x_"]], float)
+                    votes = np.array([pd.factorize(np.array([x["p_"] for x in own], object))[0] for own in part["x_"]]) if pred else None
+                    for size in sizes_of(n):
+                        for metric, got in resampled(values, votes, size, resamples, seed).items():
+                            yield pd.DataFrame({source: part[source].array, "metric": metric, "value": got})
 
     wanted = df.filter(F.col(value).isNotNull()).select(source, uid, F.col(value).cast("double").alias("v_"), F.col(order).alias("o_"), (F.col(pred) if pred else F.lit(None).cast("string")).alias("p_"))
     kind = df.schema[source].dataType.simpleString()
-    drawn = wanted.groupBy(source, uid).applyInPandas(run, f"`{source}` {kind}, metric string, value double")
+    lists = wanted.groupBy(source, uid).agg(F.array_sort(F.collect_list(F.struct("o_", "v_", "p_"))).alias("x_"))
+    drawn = lists.select(source, "x_").mapInPandas(run, f"`{source}` {kind}, metric string, value double")
     each = wanted.groupBy(source, uid).agg(F.count("*").alias("n_"), F.avg("v_").alias("mean"), F.stddev_pop("v_").alias("std"))
     plain = each.select(source, F.explode(F.array(F.struct(F.concat(F.lit("mean@"), "n_").alias("metric"), F.col("mean").alias("value")), F.struct(F.when(F.col("n_") > 1, F.concat(F.lit("std@"), "n_")).alias("metric"), F.col("std").alias("value")))).alias("x"))
     return drawn.union(plain.select(source, "x.metric", "x.value").filter("metric is not null")).groupBy(source, "metric").agg(F.avg("value").alias("value"))
