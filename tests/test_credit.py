@@ -105,3 +105,13 @@ def test_validation_metrics_resample_uids_together(spark):
     for i in range(30):
         one = audits.resampled(values[i : i + 1], votes[i : i + 1], 4, 50, 7)
         assert all(one[k][0] == whole[k][i] for k in whole) and len(whole) == 6
+
+
+def test_bootstrap_reduces_all_resamples_at_once(monkeypatch):
+    from tidelane.operators import training
+
+    drawn = np.random.RandomState(3).rand(200, 7)
+    want = {n: np.apply_along_axis(f, 1, drawn) for n, f in training.REDUCERS.items()} | {"first": drawn[:, 0]}
+    assert np.array_equal(training._reduced(lambda x: x[0], drawn), want["first"])
+    monkeypatch.setattr(np, "apply_along_axis", None)
+    assert all(np.array_equal(training._reduced(f, drawn), want[n]) for n, f in training.REDUCERS.items())

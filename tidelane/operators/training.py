@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -178,6 +179,17 @@ def token_differences(a: str, b: str, mask: str) -> Column:
 
 
 REDUCERS: dict[str, Callable] = {"mean": np.mean, "max": np.max, "min": np.min, "median": np.median}
+#: These take all resamples at once, others one after the other.
+AT_ONCE = tuple(REDUCERS.values())
+
+
+@lru_cache(maxsize=64)
+def _drawn(n: int, size: int, resamples: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).choice(n, size=(resamples, size), replace=True)
+
+
+def _reduced(f: Callable, drawn: np.ndarray) -> np.ndarray:
+    return f(drawn, axis=1) if f in AT_ONCE else np.apply_along_axis(f, 1, drawn)
 
 
 def bootstrap_metric(df: DataFrame, key: str, value: str, order: str, size: int, reducers: dict[str, Callable] | None = None, resamples: int = 1000, seed: int = 42) -> DataFrame:
@@ -187,8 +199,8 @@ def bootstrap_metric(df: DataFrame, key: str, value: str, order: str, size: int,
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         values = group.sort_values("o_", kind="stable")["v_"].to_numpy(float)
-        drawn = values[np.random.RandomState(seed).choice(len(values), size=(resamples, size), replace=True)]
-        each = {n: np.apply_along_axis(f, 1, drawn) for n, f in reducers.items()}
+        drawn = values[_drawn(len(values), size, resamples, seed)]
+        each = {n: _reduced(f, drawn) for n, f in reducers.items()}
         return pd.DataFrame({key: group[key].iloc[:1].repeat(len(each)).array, "metric": list(each), "mean": [x.mean() for x in each.values()], "std": [x.std() for x in each.values()]})
 
     kind = df.schema[key].dataType.simpleString()
