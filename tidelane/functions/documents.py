@@ -19,9 +19,12 @@ from pyspark.sql.pandas.functions import ArrowUDFType
 
 
 def _each(f: Callable, kind: str, out: pa.DataType, *columns: Column) -> Column:
-    """f of the rows' Python values, null where one is null, as an Arrow batch function."""
+    """f of the rows' Python values, null where one is null, as an Arrow batch function. A value of a single column is worked on once in a batch."""
 
     def run(*arrays: pa.Array) -> pa.Array:
+        if len(arrays) == 1:
+            coded = arrays[0].dictionary_encode()
+            return pa.array(map(f, coded.dictionary.to_pylist()), out).take(coded.indices)
         rows = zip(*(a.to_pylist() for a in arrays))
         return pa.array([None if any(x is None for x in r) else f(*r) for r in rows], out)
 
@@ -231,6 +234,16 @@ def members(document: Column, strict: bool = True) -> Column:
     return _each(lambda x: _members(x, strict), "map<string,string>", pa.map_(pa.string(), pa.string()), document)
 
 
+def member_texts(document: Column, strict: bool = True) -> Column:
+    """As `members`, but an array of one text for each key with its value, in order of the keys: two objects share as many members as these arrays do."""
+
+    def told(text: str) -> list[str] | None:
+        found = _members(text, strict)
+        return None if found is None else [f"{json.dumps(k)}:{v}" for k, v in found]
+
+    return _each(told, "array<string>", pa.list_(pa.string()), document)
+
+
 def observed(text: Column) -> Column:
     """A text that is equal for equal observations: canonical where it is JSON, else the text as a JSON
     string. Null where it is blank or has an infinite number or none."""

@@ -55,18 +55,23 @@ def _weight(tier: Column, weights: dict[str, float]) -> Column:
 
 def _known(df: DataFrame, arguments: Column, strict: bool) -> DataFrame:
     """Adds `members_`, null where the arguments are no object, and `class_`, the same for the same call."""
-    told = df.withColumn("members_", D.members(arguments, strict))
-    return told.withColumn("class_", F.sha2(F.concat_ws("\n", "name", F.coalesce(F.to_json(F.map_entries("members_")), arguments, F.lit(""))), 256))
+    told = df.withColumn("members_", D.member_texts(arguments, strict))
+    said = F.coalesce(F.concat(F.lit("object\n"), F.array_join("members_", "\n")), F.concat(F.lit("text\n"), F.coalesce(arguments, F.lit(""))))
+    return told.withColumn("class_", F.sha2(F.concat(F.coalesce(F.concat(F.lit("="), F.col("name")), F.lit("")), F.lit("\n"), said), 256))
 
 
-def overlaps(calls: DataFrame, gold: DataFrame, key: str) -> DataFrame:
-    """(key, class_, overlap) of the calls that share an argument with a gold action of one name: the largest part of a gold action's
-    arguments that a call has. One row of a class is compared, however often it is called."""
-    asked = gold.select(F.col(key).alias("of_"), F.col("name").alias("name_"), "place_", F.size("members_").alias("n_"), F.explode("members_").alias("arg_", "want_"))
-    said = calls.filter("members_ IS NOT NULL").select(key, "name", "class_", "members_").dropDuplicates([key, "class_"]).select(key, "name", "class_", F.explode("members_").alias("arg", "value"))
-    met = (F.col(key) == F.col("of_")) & (F.col("name") == F.col("name_")) & (F.col("arg") == F.col("arg_")) & (F.col("value") == F.col("want_"))
-    shared = said.join(asked, met).groupBy(key, "class_", "place_", "n_").agg(F.count("*").alias("k_"))
-    return shared.groupBy(key, "class_").agg(F.max(F.col("k_") / F.col("n_")).alias("overlap"))
+def _asked(gold: DataFrame, key: str, strict: bool) -> DataFrame:
+    """(of_, asked_): a dialogue's gold actions whose arguments are objects, an entry of asked_ for each class of them with its places in order."""
+    wanted = _known(gold, F.col("arguments"), strict)
+    each = wanted.groupBy(F.col(key).alias("of_"), "class_").agg(F.first("name").alias("name"), F.first("members_").alias("members"), F.array_sort(F.collect_list("place_")).alias("places"))
+    return each.filter("members IS NOT NULL").groupBy("of_").agg(F.collect_list(F.struct(F.col("class_").alias("class"), "name", "members", "places")).alias("asked_"))
+
+
+def _overlap(members: Column, name: Column, asked: Column) -> Column:
+    """The largest part of a gold action's members that a call of its name has; null where it has none."""
+    part = lambda g: F.when(g["name"] == name, F.try_divide(F.size(F.array_intersect(g["members"], members)), F.size(g["members"])))
+    most = F.array_max(F.transform(asked, part))
+    return F.when(most > 0, most)
 
 
 def score_calls(calls: DataFrame, gold: DataFrame, rules: Rules, tools: Tools, key: str = "id", order: str = "step", place: str = "place", effective: Column | None = None) -> DataFrame:
@@ -79,8 +84,8 @@ def score_calls(calls: DataFrame, gold: DataFrame, rules: Rules, tools: Tools, k
     unknown under execution rules, and else matches nothing. Null keys match nothing. A dialogue without
     gold has no gold tiers; no calls give no rows. Rows with equal key and order are numbered in any order.
 
-    One sort by (dialogue, class) for calls and one for gold, and two joins on these keys; a class's calls are
-    numbered in one task, which a dialogue's length bounds.
+    One join by dialogue, whose gold actions are one row of classes, and one sort by (dialogue, class) that numbers its calls. Arguments are
+    read once. A dialogue is worked on in one task, by its calls times its different gold actions.
     """
     for tier in rules.weights:
         if tier not in TIERS:
@@ -88,9 +93,10 @@ def score_calls(calls: DataFrame, gold: DataFrame, rules: Rules, tools: Tools, k
     extra = {"observation": F.lit(None).cast("string"), "truncated": F.lit(False)}
     calls = calls.drop("tier", "matched", "overlap", "evidence", "reward").withColumns({c: v for c, v in extra.items() if c not in calls.columns})
     arguments = F.col("arguments") if effective is None or not rules.execution else effective
-    wanted = _known(gold.withColumn("place_", F.col(place)), F.col("arguments"), rules.execution)
-    wanted = wanted.withColumn("nth_", F.row_number().over(Window.partitionBy(key, "class_").orderBy("place_")))
-    told = _known(calls, arguments, rules.execution)
+    wanted = _asked(gold.withColumn("place_", F.col(place)), key, rules.execution)
+    told = _known(calls, arguments, rules.execution).join(wanted, F.col(key) == F.col("of_"), "left").drop("of_")
+    paying = F.get(F.filter("asked_", lambda g: g["class"] == F.col("class_")), F.lit(0))["places"]
+    told = told.withColumns({"pays_": F.when(F.col("members_").isNotNull(), paying), "overlap": _overlap(F.col("members_"), F.col("name"), F.col("asked_"))}).drop("asked_")
 
     failed = F.when(F.col("error").isNull(), F.raise_error(F.lit("a call doesn't say whether it failed")).cast("boolean")).otherwise(F.col("error"))
     valid = F.col("members_").isNotNull() if rules.execution else F.lit(True)
@@ -103,10 +109,7 @@ def score_calls(calls: DataFrame, gold: DataFrame, rules: Rules, tools: Tools, k
     alike = Window.partitionBy(key, "class_", "counts_").orderBy(order)
     told = told.withColumns({"nth_": F.row_number().over(alike), "last_": F.lag("seen_").over(alike)})
 
-    pays = wanted.filter("members_ IS NOT NULL").select(F.col(key).alias("of_"), F.col("class_").alias("as_"), F.col("nth_").alias("k_"), F.col("place_").alias("matched"))
-    paid = told.join(pays, F.col("counts_") & F.col("members_").isNotNull() & (F.col(key) == F.col("of_")) & (F.col("class_") == F.col("as_")) & (F.col("nth_") == F.col("k_")), "left").drop("of_", "as_", "k_")
-    part = overlaps(told, wanted, key).select(F.col(key).alias("of_"), F.col("class_").alias("as_"), "overlap")
-    paid = paid.join(part, (F.col(key) == F.col("of_")) & (F.col("class_") == F.col("as_")), "left").drop("of_", "as_")
+    paid = told.withColumn("matched", F.when(F.col("counts_"), F.get("pays_", F.col("nth_") - 1))).drop("pays_")
     shown = F.coalesce("overlap", F.lit(0.0)) if not rules.execution else F.when(F.col("counts_"), F.coalesce("overlap", F.lit(0.0))).otherwise(0.0)
 
     again = F.col("nth_") > 1
