@@ -5,12 +5,13 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
+from tidelane.functions.documents import _each
+
 
 class Registry(dict):
     """Functions by name; a name is given once."""
@@ -159,18 +160,20 @@ def clustered_anchors(states: DataFrame, task: str, row: str, features: str, thr
     """(task, row, anchor): states of a task, in order, join the most alike earlier representative (Jaccard similarity of feature
     sets), or become one. A task's states are as many as its rollouts' steps, and walked through in one task of Spark."""
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: list[dict], least: float) -> list[int]:
         heads, out = [], []
-        for k, own in rows.sort_values(row)[[row, features]].itertuples(index=False):
-            own = set(own)
+        for at, own in enumerate(set(x[features]) for x in rows):
             best = max(((len(own & h) / max(1, len(own | h)), -i) for i, (_, h) in enumerate(heads)), default=(-1.0, 0))
-            if best[0] < threshold:
-                heads.append((k, own))
+            if best[0] < least:
+                heads.append((at, own))
                 best = (1.0, 1 - len(heads))
-            out.append((k, heads[-best[1]][0]))
-        return pd.DataFrame({task: rows[task].iloc[0], row: [k for k, _ in out], "anchor": [a for _, a in out]})
+            out.append(heads[-best[1]][0])
+        return out
 
-    return states.select(task, row, features).groupBy(task).applyInPandas(walk, states.select(task, row, F.col(row).alias("anchor")).schema)
+    listed = states.groupBy(task).agg(F.array_sort(F.collect_list(F.struct(row, features))).alias("rows_"))
+    told = listed.withColumn("to_", _each(walk, "array<int>", pa.list_(pa.int32()), F.col("rows_"), F.lit(threshold)))
+    pair = F.transform("to_", lambda to, i: F.struct(F.get("rows_", i)[row].alias("row"), F.get("rows_", to)[row].alias("anchor")))
+    return told.select(task, F.explode(pair).alias("x")).select(task, F.col("x.row").alias(row), "x.anchor")
 
 
 def next_arms(rewards: DataFrame, arm: str, reward: str, weight: float = 1.0) -> DataFrame:
