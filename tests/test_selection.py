@@ -121,3 +121,29 @@ def test_kl_coefficients_and_covariance_losses(spark):
     assert abs(clip.loss - (-3.0 - 1.0) / 3) < 1e-6 and abs(clip.clip_fraction - 1 / 3) < 1e-6
     with pytest.raises(ValueError):
         policy.policy_loss("kl_cov", tokens, share=0)
+
+
+def test_small_groups_share_batches(spark):
+    """Groups are lists in Arrow batches, not a pandas call each; parts and anchors are those of one walk, and numbers of parts may differ by batch."""
+    from tidelane.operators import batches, hooks
+
+    rows = [(b, i, (i * 7 + b) % 11 + 1, [str(i % 3), "x"]) for b in range(5) for i in range(b + 1)]
+    df = spark.createDataFrame(rows, "b long, i long, c long, f array<string>")
+    greedy, anchors = batches.greedy_partitions(df, "b", "i", "c", 2), hooks.clustered_anchors(df, "b", "i", "f", 0.9)
+    tokens = batches.token_batches(df, "b", "i", "c", 11)
+    want, heads = {}, {}
+    for b in range(5):
+        load = [0, 0]
+        for _, i, c, _ in sorted((r for r in rows if r[0] == b), key=lambda r: (-r[2], r[1])):
+            want[b, i] = load.index(min(load))
+            load[want[b, i]] += c
+        heads |= {(b, i): i % 3 for i in range(b + 1)}
+    assert {(r.b, r.i): r.part for r in greedy.collect()} == want
+    assert {(r.b, r.i): r.anchor for r in anchors.collect()} == heads
+    got = {}
+    for r in tokens.collect():
+        got.setdefault(r.b, set()).add(r.part)
+    assert {b: len(p) for b, p in got.items()} == {b: min(b + 1, -(-sum(r[2] for r in rows if r[0] == b) // 11)) for b in range(5)}
+    for out in (greedy, anchors, tokens):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and plan.count("ArrowEvalPython") == 1

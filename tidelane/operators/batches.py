@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.operators.selection import differencing_partitions
+from tidelane.operators.selection import differencing_partitions, placed
 
 
 def _known(df: DataFrame, columns: list[str]) -> list[str]:
@@ -154,26 +153,22 @@ def token_batches(df: DataFrame, batch: str, row: str, length: str, most: int, l
     need = F.least(F.count("*").over(w), F.greatest(F.lit(least_batches), F.ceil(F.sum("l_").over(w) / most)))
     cost = 24576 * F.col("l_") + F.col("l_") * F.col("l_")
     parts = sized.withColumn("k_", (F.ceil(need / multiple) * multiple).cast("int")).withColumn("c_", cost.cast("double"))
-    done = None
-    for k in sorted(r.k_ for r in parts.select("k_").distinct().collect()):  # a batch is bounded by a step, and so are its numbers of parts
-        some = differencing_partitions(parts.filter(F.col("k_") == k), batch, row, "c_", k)
-        done = some if done is None else done.unionByName(some)
-    return differencing_partitions(parts, batch, row, "c_", 1) if done is None else done
+    return differencing_partitions(parts, batch, row, "c_", F.col("k_"))
 
 
 def greedy_partitions(df: DataFrame, batch: str, row: str, cost: str, parts: int) -> DataFrame:
     """(batch, row, part): each batch's rows, dearest first, to the part that is cheapest so far. One batch, one task."""
 
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([cost, row], ascending=[False, True])
+    def deal(costs: list, parts: int) -> list[int]:
         load, part = [0.0] * parts, []
-        for c in rows[cost]:
-            p = min(range(parts), key=lambda k: (load[k], k))
-            load[p] += float(c)
+        for c in costs:
+            p = load.index(min(load))
+            load[p] += float(-c)
             part.append(p)
-        return rows[[batch, row]].assign(part=part)
+        return part
 
-    return df.select(batch, row, cost).groupBy(batch).applyInPandas(deal, df.select(batch, row).withColumn("part", F.lit(0)).schema)
+    dearest = df.select(batch, row, (-F.col(cost)).alias("c_"))
+    return placed(dearest, batch, ["c_", row], deal, F.lit(parts), "part").select(batch, row, "part")
 
 
 def concat(frames: list[DataFrame], metrics: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
