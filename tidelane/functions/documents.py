@@ -31,8 +31,8 @@ def _each(f: Callable, kind: str, out: pa.DataType, *columns: Column) -> Column:
     return F.arrow_udf(run, kind, ArrowUDFType.SCALAR)(*columns)
 
 
-def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+#: JSON text with keys in order and no spare white space.
+canonical = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode
 
 
 def canonical_text(document: Column) -> Column:
@@ -112,60 +112,48 @@ def _same(value: object) -> str:
     return _folded(value, lambda v: _decimal(v) if _numeric(v) else json.dumps(v), lambda _, parts: f"[{','.join(parts)}]", lambda _, parts: _braces(parts))
 
 
-NODES = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("kind", pa.string()), ("text", pa.string()), ("same", pa.string()), ("bag", pa.string()), ("number", pa.float64())]))
+DIFFERENCE = "path:string,expected:string,actual:string,kind:string"
 
 
-def _nodes(text: str) -> list[dict]:
-    """The values that keys lead to, the whole document first. Lists are one value each; `bag` has their items in order of their texts."""
-    todo: list[tuple[list[str], object]] = [([], json.loads(text))]
+def _equal(a: object, b: object) -> bool:
+    """Whether `_same` is, without writing it."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if isinstance(x, dict) and isinstance(y, dict):
+            if x.keys() != y.keys():
+                return False
+            todo.extend((v, y[k]) for k, v in x.items())
+        elif isinstance(x, list) and isinstance(y, list):
+            if len(x) != len(y):
+                return False
+            todo.extend(zip(x, y))
+        elif not (type(x) is type(y) and x == y) and not (_numeric(x) and _numeric(y) and _decimal(x) == _decimal(y)):
+            return False
+    return True
+
+
+def _differences(expected: str, actual: str) -> list[dict]:
+    todo: list[tuple[list[str], object, object]] = [([], json.loads(expected), json.loads(actual))]
     out = []
-    for path, v in todo:
-        kind = "object" if isinstance(v, dict) else "list" if isinstance(v, list) else "value"
-        amount = float(v) if _numeric(v) and abs(v) < float("inf") else None
-        bag = canonical(sorted(map(canonical, v))) if kind == "list" else None
-        out.append({"path": path, "kind": kind, "text": canonical(v), "same": _same(v), "bag": bag, "number": amount})
-        if kind == "object":
-            todo.extend(([*path, k], v[k]) for k in sorted(v))
-    return out
-
-
-def nodes(document: Column) -> Column:
-    """What keys lead to in a JSON text, at every depth: array of (path, kind object, list or value, text, same, bag, number).
-    Two values are equal if `same` is; `number` is that of a finite number or boolean."""
-    return _each(_nodes, "array<struct<path:array<string>,kind:string,text:string,same:string,bag:string,number:double>>", NODES, document)
-
-
-def _slashed(path: Column) -> Column:
-    return F.array_join(F.transform(path, lambda k: F.concat(F.lit("/"), k)), "")
+    while todo:
+        path, a, b = todo.pop()
+        if isinstance(a, dict) and isinstance(b, dict):
+            todo.extend(([*path, k], a[k], b[k]) for k in a.keys() & b.keys())
+            out += [([*path, k], canonical(a[k]) if k in a else None, canonical(b[k]) if k in b else None, "missing_key") for k in a.keys() ^ b.keys()]
+        elif not _equal(a, b):
+            lists = isinstance(a, list) and isinstance(b, list)
+            kind = "value" if not lists else "list_order_only" if sorted(map(canonical, a)) == sorted(map(canonical, b)) else "list_content"
+            out.append((path, canonical(a), canonical(b), kind))
+    return [{"path": "".join(f"/{k}" for k in path), "expected": a, "actual": b, "kind": kind} for path, a, b, kind in sorted(out, key=lambda x: x[0])]
 
 
 def differences(expected: Column, actual: Column) -> Column:
     """Where two JSON texts differ, in order of the paths: path, both values, and kind (missing_key, list_order_only,
     list_content or value). A key that one object lacks is named once, with all below it; lists are compared
     whole. Null where either is null."""
-    by_path = lambda n: F.map_from_entries(F.transform(n, lambda x: F.struct(x["path"], x)))
-    pair = F.struct(by_path(nodes(expected)).alias("a"), by_path(nodes(actual)).alias("b"))
-
-    def compared(p: Column) -> Column:
-        a, b = p["a"], p["b"]
-        is_object = lambda m, path: F.coalesce(F.try_element_at(m, path)["kind"] == "object", F.lit(False))
-
-        def row(path: Column) -> Column:
-            x, y = F.try_element_at(a, path), F.try_element_at(b, path)
-            lists = F.when(x["bag"] == y["bag"], "list_order_only").otherwise("list_content")
-            kind = F.when(x.isNull() | y.isNull(), "missing_key").when((x["kind"] == "list") & (y["kind"] == "list"), lists).otherwise("value")
-            return F.struct(_slashed(path).alias("path"), x["text"].alias("expected"), y["text"].alias("actual"), kind.alias("kind"))
-
-        def differs(path: Column) -> Column:
-            x, y = F.try_element_at(a, path), F.try_element_at(b, path)
-            above = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
-            within = (F.size(path) == 0) | (is_object(a, above) & is_object(b, above))
-            return within & ~(is_object(a, path) & is_object(b, path)) & ~x["same"].eqNullSafe(y["same"])
-
-        paths = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
-        return F.transform(F.filter(paths, differs), row)
-
-    return F.when(expected.isNotNull() & actual.isNotNull(), F.get(F.transform(F.array(pair), compared), 0))
+    kinds = [(c.split(":")[0], pa.string()) for c in DIFFERENCE.split(",")]
+    return _each(_differences, f"array<struct<{DIFFERENCE}>>", pa.list_(pa.struct(kinds)), expected, actual)
 
 
 #: Keys whose values are secret, and the end of others.
@@ -181,10 +169,22 @@ def redacted(document: Column) -> Column:
     return _each(lambda x: canonical(json.loads(x, object_pairs_hook=_masked)), "string", pa.string(), document)
 
 
+def _numbers(text: str) -> list[dict]:
+    todo = [("", json.loads(text))]
+    out = []
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict):
+            todo.extend((f"{path}/{k}", v[k]) for k in v)
+        elif path and _numeric(v) and abs(v) < float("inf"):
+            out.append({"key": path[1:], "value": float(v)})
+    return out
+
+
 def scalar_metrics(document: Column) -> Column:
     """The finite numbers of a JSON object by path, as a map; booleans are 0 and 1. What is in lists is left out."""
-    numbers = F.filter(nodes(document), lambda n: n["number"].isNotNull() & (F.size(n["path"]) > 0))
-    return F.map_from_entries(F.transform(numbers, lambda n: F.struct(F.array_join(n["path"], "/"), n["number"])))
+    found = _each(_numbers, "array<struct<key:string,value:double>>", pa.list_(pa.struct([("key", pa.string()), ("value", pa.float64())])), document)
+    return F.map_from_entries(found)
 
 
 NUMBER = re.compile(r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?")
