@@ -361,14 +361,14 @@ def sequence_ratio_from(least: float, a: Column, b: Column) -> Column:
     return _each(ratio, "double", pa.float64(), a, b)
 
 
-def near_duplicate(a: Column, b: Column, threshold: float = 0.88) -> Column:
+def near_duplicate(a: Column, b: Column, threshold: float = 0.88, ratio: Column | None = None) -> Column:
     """Whether two normalised texts are alike by their sets of words or in sequence. Texts whose lengths
-    rule the latter out never reach Python."""
+    rule the latter out never reach Python, and none does where their sequence_ratio is at hand."""
     words = lambda t: F.array_distinct(F.array_remove(F.split(t, " "), ""))
     x, y = words(a), words(b)
     jaccard = F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
     some = (F.length(a) > 0) & (F.length(b) > 0)
     fits = 2 * F.least(F.length(a), F.length(b)) >= threshold * (F.length(a) + F.length(b))
     asked = some & (jaccard < threshold) & fits
-    ratio = sequence_ratio(F.when(asked, a), F.when(asked, b))
+    ratio = sequence_ratio(F.when(asked, a), F.when(asked, b)) if ratio is None else F.when(asked, ratio)
     return F.coalesce(some & ((jaccard >= threshold) | (ratio >= threshold)), F.lit(False))

@@ -163,8 +163,8 @@ def closest_lines(spark, sf_dir):
 @query()
 def near_duplicate_turns(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", T.normalize_reason(F.col("text")).alias("a"))
-    pairs = c.join(c.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", D.near_duplicate(F.col("a"), F.col("b"), 0.6).alias("near"), F.round(D.sequence_ratio(F.col("a"), F.col("b")), 5).alias("ratio"))
+    pairs = c.join(c.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"]).withColumn("r", D.sequence_ratio(F.col("a"), F.col("b")))
+    return pairs.select("conv_id", "turn", D.near_duplicate(F.col("a"), F.col("b"), 0.6, F.col("r")).alias("near"), F.round("r", 5).alias("ratio"))
 
 
 _TAGGED = "t AS (SELECT o_orderkey AS k, 'r' || o_custkey % 50 AS reason, ['a' || o_orderkey % 4, 'b' || o_orderkey % 3] AS tags, ['x' || o_orderkey % 2] AS actions FROM orders)"
