@@ -75,3 +75,16 @@ def test_hashes_tell_states_apart(spark):
     assert R.replayed(base, act(("p", 0, "note", "a", 0, "x")).limit(0), TOOLS).count() == 0
     with pytest.raises(ValueError, match="don't have"):
         R.replayed(base, act(("p", 0, "note", "a", 0, "x")), {"note": R.Tool(effect=lambda s, a: {"other": a["n"]})})
+
+
+def test_both_sides_are_folded_together(spark, sf_dir):
+    """One fold for both sides: what shuffles is the numbering of each side's steps, which are equal and done once."""
+    from tidelane.plans import replays
+
+    plan = replays.QUERIES["replayed_runs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "SortMergeJoin" not in plan
+    base = spark.createDataFrame([("a", 5, None)], STATE)
+    ours = spark.createDataFrame([("r", 1, "take", "a", 2, None), (None, 1, "take", "a", 1, None), ("only", 1, "take", None, 1, None)], ACTIONS)
+    gold = spark.createDataFrame([("r", 1, "take", "a", 2, None), ("r", 2, "take", "a", 9, None), ("new", 1, "drop", "a", None, None)], ACTIONS)
+    got = {r.run: tuple(r)[1:] for r in R.compared_runs(base, ours, gold, TOOLS).collect()}
+    assert got == {"r": (True, 1.0, 0, 1, []), "only": (True, 1.0, 1, 0, []), "new": (False, 0.0, 0, 0, ["a"])}

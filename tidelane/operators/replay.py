@@ -36,35 +36,57 @@ def replayed(state: DataFrame, actions: DataFrame, tools: dict[str, Tool], run:
 
     One shuffle by (run, entity) folds a list as long as a run's actions on one entity; the base is joined once to what is acted on.
     """
-    fields = [f for f in state.schema.fields if f.name != entity]
-    kind = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in fields)}>"
-    rest = [c for c in actions.columns if c not in (run, entity, step, name)]
-    taken = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(name).alias("name"), *(F.col(c) for c in rest)))).alias("taken_")
-    acted = actions.groupBy(run, entity).agg(taken)
-    base = state.select(F.col(entity).alias("of_"), F.struct(*(F.col(f.name) for f in fields)).alias("before"))
-    both = acted.join(base, F.col(entity) == F.col("of_"), "left").drop("of_")
-    none = F.lit(None).cast(kind)
+    kind, stepped = _fold(state, tools, entity)
+    acted = actions.groupBy(run, entity).agg(_taken(actions, run, entity, step, name).alias("taken_"))
     empty = F.array().cast("array<bigint>")
+    start = F.struct(F.col("before").cast(kind).alias("now"), empty.alias("applied"), empty.alias("failed"))
 
-    def stepped(was: Column, action: Column) -> Column:
-        now, exists = was["now"], was["now"].isNotNull()
-        may, then = F.lit(False), now
-        for tool, t in tools.items():
-            here = action["name"] == tool
-            fits = F.coalesce(t.allowed(now, action), F.lit(False)) & F.col(entity).isNotNull() & (~exists if t.creates else exists)
-            change = t.effect(now, action)
-            if unknown := change.keys() - {f.name for f in fields}:
-                raise ValueError(f"{tool} changes {unknown}, which entities don't have")
-            made = none if t.deletes else F.struct(*(change.get(f.name, now[f.name]).cast(f.dataType).alias(f.name) for f in fields)).cast(kind)
-            may, then = F.when(here, fits).otherwise(may), F.when(here, made).otherwise(then)
+    def kept(was: Column, action: Column, may: Column, now: Column) -> Column:
         add = lambda c, test: F.when(test, F.concat(was[c], F.array(action["step"].cast("long")))).otherwise(was[c]).alias(c)
-        return F.struct(F.when(may, then).otherwise(now).cast(kind).alias("now"), add("applied", may), add("failed", ~may))
+        return F.struct(now.alias("now"), add("applied", may), add("failed", ~may))
 
-    start = F.struct(F.col("before").cast(kind).alias("now"), empty.alias("applied"), empty.alias("failed"))
-    done = both.withColumn("x_", F.aggregate("taken_", start, stepped))
+    done = _based(acted, state, entity).withColumn("x_", F.aggregate("taken_", start, stepped(kept)))
     return done.select(run, entity, F.col("before").cast(kind).alias("before"), F.col("x_.now").alias("after"), F.col("x_.applied").alias("applied"), F.col("x_.failed").alias("failed"))
 
 
+def _taken(actions: DataFrame, run: str, entity: str, step: str, name: str, test: Column | None = None) -> Column:
+    """The actions of a group, or those of them that pass the test, in order."""
+    rest = [c for c in actions.columns if c not in (run, entity, step, name)]
+    action = F.struct(F.col(step).alias("step"), F.col(name).alias("name"), *(F.col(c) for c in rest))
+    return F.array_sort(F.collect_list(action if test is None else F.when(test, action)))
+
+
+def _based(acted: DataFrame, state: DataFrame, entity: str) -> DataFrame:
+    fields = [c for c in state.columns if c != entity]
+    base = state.select(F.col(entity).alias("of_"), F.struct(*fields).alias("before"))
+    return acted.join(base, F.col(entity) == F.col("of_"), "left").drop("of_")
+
+
+def _fold(state: DataFrame, tools: dict[str, Tool], entity: str) -> tuple[str, Callable]:
+    """The type of a state, and what makes a step of a fold: given (was, action, whether it may, the state after it), what the fold carries on."""
+    fields = [f for f in state.schema.fields if f.name != entity]
+    kind = f"struct<{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in fields)}>"
+    none = F.lit(None).cast(kind)
+
+    def stepped(kept: Callable[[Column, Column, Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        def step(was: Column, action: Column) -> Column:
+            now, exists = was["now"], was["now"].isNotNull()
+            may, then = F.lit(False), now
+            for tool, t in tools.items():
+                here = action["name"] == tool
+                fits = F.coalesce(t.allowed(now, action), F.lit(False)) & F.col(entity).isNotNull() & (~exists if t.creates else exists)
+                change = t.effect(now, action)
+                if unknown := change.keys() - {f.name for f in fields}:
+                    raise ValueError(f"{tool} changes {unknown}, which entities don't have")
+                made = none if t.deletes else F.struct(*(change.get(f.name, now[f.name]).cast(f.dataType).alias(f.name) for f in fields)).cast(kind)
+                may, then = F.when(here, fits).otherwise(may), F.when(here, made).otherwise(then)
+            return kept(was, action, may, F.when(may, then).otherwise(now).cast(kind))
+
+        return step
+
+    return kind, stepped
+
+
 def _hash(entity: str, state: Column) -> Column:
     """Of an entity's key and fields; null fields are told from missing ones by their place."""
     said = F.to_json(F.struct(F.col(entity).cast("string").alias("k"), state.alias("v")), {"ignoreNullFields": "false"})
@@ -96,15 +118,18 @@ def base_hash(state: DataFrame, entity: str = "entity", digits: int = 3) -> Data
 def compared_runs(state: DataFrame, actions: DataFrame, gold: DataFrame, tools: dict[str, Tool], run: str = "run", entity: str = "entity", step: str = "step", name: str = "name") -> DataFrame:
     """(run, equal, reward, failed, gold_failed, differing): for each run of actions or gold, whether both end in one state, 1.0 or 0.0 for
     that, the failed steps of each, and the keys of entities that end otherwise, in order. A gold action that fails is counted
-    and not hidden. A run that only one side has is compared with the base as it was."""
-    ours, theirs = (replayed(state, a, tools, run, entity, step, name) for a in (actions, gold))
-    runs = actions.select(run).union(gold.select(run)).distinct()
-    x, y = state_hashes(runs, ours, run, entity), state_hashes(runs, theirs, run, entity)
-    told = x.select(run, F.col("state").alias("x_")).join(y.select(run, F.col("state").alias("y_")), run)
-    lost = lambda df, n: df.groupBy(run).agg(F.sum(F.size("failed")).alias(n))
-    moved = lambda df, n: df.filter(~F.col("before").eqNullSafe(F.col("after"))).select(run, entity, F.struct(F.col("after")).alias(n))
-    other = moved(ours, "a_").join(moved(theirs, "b_"), [run, entity], "full_outer").filter(~F.col("a_").eqNullSafe(F.col("b_")))
-    other = other.groupBy(run).agg(F.array_sort(F.collect_list(F.col(entity).cast("string"))).alias("differing"))
-    joined = told.join(lost(ours, "failed"), run, "left").join(lost(theirs, "gold_failed"), run, "left").join(other, run, "left").fillna(0, ["failed", "gold_failed"])
-    equal = F.col("x_") == F.col("y_")
-    return joined.select(run, equal.alias("equal"), equal.cast("double").alias("reward"), "failed", "gold_failed", F.coalesce("differing", F.array().cast("array<string>")).alias("differing"))
+    and not hidden. A run that only one side has is compared with the base as it was; a null is no run.
+
+    Both sides' actions on an entity are folded in one row, from the one base state, so two runs end in one state if none of their entities differs. gold has the
+    columns of actions."""
+    kind, stepped = _fold(state, tools, entity)
+    both = actions.withColumn("gold_", F.lit(False)).unionByName(gold.withColumn("gold_", F.lit(True))).filter(F.col(run).isNotNull())
+    side = lambda test: _taken(actions, run, entity, step, name, test)
+    acted = both.groupBy(run, entity).agg(side(~F.col("gold_")).alias("a_"), side(F.col("gold_")).alias("b_"))
+    start = F.struct(F.col("before").cast(kind).alias("now"), F.lit(0).cast("long").alias("failed"))
+    kept = lambda was, action, may, now: F.struct(now.alias("now"), F.when(may, was["failed"]).otherwise(was["failed"] + F.lit(1).cast("long")).alias("failed"))
+    done = _based(acted, state, entity).withColumns({c: F.aggregate(c, start, stepped(kept)) for c in ("a_", "b_")})
+    other = F.when(~F.col("a_.now").eqNullSafe(F.col("b_.now")), F.col(entity).cast("string"))
+    told = done.groupBy(run).agg(F.sum("a_.failed").alias("failed"), F.sum("b_.failed").alias("gold_failed"), F.array_sort(F.collect_list(other)).alias("differing"))
+    equal = F.size("differing") == 0
+    return told.select(run, equal.alias("equal"), equal.cast("double").alias("reward"), "failed", "gold_failed", "differing")

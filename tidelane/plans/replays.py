@@ -33,12 +33,12 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _actions(spark: SparkSession, sf_dir: str, gold: bool) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem")
     step = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    line = read(spark, sf_dir, "lineitem").withColumn("step", step)  # before the rest, so that both sides share the shuffle
     at = F.array(*map(F.lit, ("take", "put_back", "take", "label", "clear", "open", "lose")))
     qty = F.col("l_quantity").cast("long") % 30
     name = F.get(at, (F.col("l_suppkey") % 7).cast("int"))
-    return line.select(F.col("l_orderkey").alias("run"), step.alias("step"), name.alias("name"), (F.col("l_orderkey") % 23 + F.col("l_partkey") % 2).alias("entity"), (F.when(F.col("l_partkey") % 10 == 3, qty + 1).otherwise(qty) if gold else qty).alias("qty"), F.col("l_returnflag").alias("flag"))
+    return line.select(F.col("l_orderkey").alias("run"), "step", name.alias("name"), (F.col("l_orderkey") % 23 + F.col("l_partkey") % 2).alias("entity"), (F.when(F.col("l_partkey") % 10 == 3, qty + 1).otherwise(qty) if gold else qty).alias("qty"), F.col("l_returnflag").alias("flag"))
 
 
 def _folded(name: str, qty: str) -> str:
