@@ -133,3 +133,19 @@ def test_supervision_executions_and_summary(spark):
     summary = {r.id: (r.assistant_messages, r.multicall_batches, r.tool_calls, r.first_tool, r.supervised_calls) for r in A.dialogue_summary(m.filter("id IS NOT NULL"), calls, marked(1)).collect()}
     assert summary == {"x": (1, 0, 1, "look", 1), "y": (1, 1, 2, "look", 0)}
     assert [(r.id, r.event, r.kind) for r in A.audit_dialogues(m, [], A.IDENTIFIERS).collect() if r.kind == "unfinished_tool_calls"] == [("y", 0, "unfinished_tool_calls")]
+
+
+def test_messages_are_shuffled_once(spark, sf_dir):
+    """What is shuffled are line items to number them, alike wherever messages are used and so done once, and the values that are looked for."""
+    from tidelane.plans import audits
+
+    plan = audits.QUERIES["dialogue_findings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line.split("Exchange ")[1].split(", ENSURE")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([s for s in shuffles if "l_orderkey" not in s]) <= 2
+
+
+def test_calls_stay_open_until_the_next_message(spark):
+    ask = ("x", 1, "assistant", None, None, None, [("c1", "look", "{}"), (None, "see", "{}")])
+    m = spark.createDataFrame([("x", 0, "tool", "early", "look", "c1", None), ask, ("x", 2, "tool", "a", "look", "c1", None), ("x", 3, None, "no role", None, None, None), ("x", 4, "tool", "b", "other", None, None), ("x", 5, "tool", "c", None, None, None), ("x", 6, *ask[2:]), ("x", 7, "system", "", None, None, None)], MESSAGES)
+    got = sorted((r.event, r.kind, r.detail) for r in A.audit_dialogues(m, [], A.IDENTIFIERS).collect())
+    assert got == [(0, "orphan_tool_receipt", {}), (4, "tool_receipt_mismatch", {"expected": "see"}), (5, "orphan_tool_receipt", {}), (6, "duplicate_tool_call_id", {"call_id": "c1"}), (7, "missing_tool_receipt", {"pending": "look,see"})]

@@ -21,15 +21,15 @@ def query(sql: str):
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem")
     step = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).cast("long")
+    line = read(spark, sf_dir, "lineitem").withColumn("event", step)  # before the rest, so that all that is asked of messages shares the shuffle
     of, supp, part = F.col("l_linenumber") % 4, F.col("l_suppkey"), F.col("l_partkey")
     mine = F.when(supp % 5 == 0, F.lit("[1]")).otherwise(F.format_string('{"user_id": "u%d", "bags": %d, "reservation_id": null}', part % 3, supp % 4))
     first = F.struct(F.format_string("c%d", supp % 4).alias("id"), F.lit("change").alias("name"), mine.alias("arguments"))
     second = F.struct(F.lit(None).cast("string").alias("id"), F.lit("look").alias("name"), F.lit("{}").alias("arguments"))
     content = F.when(of == 0, F.format_string("I am u%d", part % 3)).when(of > 1, F.format_string('{"seen": "u%d", "error": %s, "user_id": "u%d", "bags": %d}', part % 3, F.when(supp % 6 == 0, "true").otherwise("false"), supp % 3, part % 5))
     return line.select(
-        F.col("l_orderkey").alias("id"), step.alias("event"), F.when(of == 0, "user").when(of == 1, "assistant").otherwise("tool").alias("role"), content.alias("content"),
+        F.col("l_orderkey").alias("id"), "event", F.when(of == 0, "user").when(of == 1, "assistant").otherwise("tool").alias("role"), content.alias("content"),
         F.when(of > 1, F.when(part % 4 == 0, "look").otherwise("change")).alias("name"), F.when(of > 1, F.format_string("c%d", supp % 4)).alias("tool_call_id"),
         F.when(of == 1, F.when(part % 2 == 0, F.array(first, second)).otherwise(F.array(first))).alias("tool_calls"),
     )
