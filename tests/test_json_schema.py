@@ -84,3 +84,10 @@ def test_bad_texts_tools_and_schemas(spark):
         with pytest.raises(ValueError, match=said):
             schema_findings(F.col("a"), bad)
     assert [x.finding for x in df.limit(1).select(schema_findings(F.col("a"), False).alias("f")).first().f] == ["not allowed"]
+
+
+def test_a_text_is_read_and_parsed_once(spark, sf_dir):
+    from tidelane.plans import checks
+
+    plan = checks.QUERIES["schema_findings"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string({") <= 2

@@ -22,6 +22,11 @@ FINDING = "array<struct<path:string,finding:string>>"
 MOST_DEPTH = 12
 
 
+def bound(value: Column, said: Callable[[Column], Column]) -> Column:
+    """said(value), with value computed once a row however often said uses it: as a lambda's variable and not as its expression."""
+    return F.get(F.transform(F.array(value), said), F.lit(0))
+
+
 def _found(test: Column, path: Column, said: Column | str) -> Column:
     text = F.lit(said) if isinstance(said, str) else said
     return F.when(test, F.array(F.struct(path.alias("path"), text.alias("finding")))).otherwise(F.array().cast(FINDING))
@@ -31,22 +36,22 @@ def _joined(parts: list[Column]) -> Column:
     return F.concat(*parts) if parts else F.array().cast(FINDING)
 
 
-def _is(value: Column, kind: str) -> Column:
+def _is(shape: Column, amount: Column, kind: str) -> Column:
+    """shape is schema_of_variant's, amount the value as a double."""
     if kind not in KINDS:
         raise ValueError(f"no type {kind}")
-    shape = F.schema_of_variant(value)
     some = reduce(lambda a, b: a | b, (shape.startswith(k) for k in KINDS[kind]))
     if kind == "integer":  # 1.0 is one too
-        amount = F.try_variant_get(value, "$", "double")
-        some = some | (_is(value, "number") & (amount == F.floor(amount)))
+        some = some | (_is(shape, amount, "number") & (amount == F.floor(amount)))
     return some
 
 
-def _same(value: Column, wanted: object) -> Column:
-    text = F.to_json(value)
+def _same(value: Column, shape: Column, is_number: Column, amount: Column, wanted: object) -> Column:
     if isinstance(wanted, (int, float)) and not isinstance(wanted, bool):
-        return _is(value, "number") & F.coalesce(F.try_variant_get(value, "$", "double") == float(wanted), F.lit(False))
-    return text == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
+        return is_number & F.coalesce(amount == float(wanted), F.lit(False))
+    if isinstance(wanted, str):
+        return F.coalesce(shape.startswith("STRING") & (F.try_variant_get(value, "$", "string") == wanted), F.lit(False))
+    return F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
 
 
 def _step(name: str) -> str:
@@ -56,6 +61,14 @@ def _step(name: str) -> str:
 
 
 def _compiled(schema: object, root: dict, value: Column, path: Column, depth: int) -> Column:
+    """The findings on a value; it, its shape and each property are bound once."""
+    if schema is True or schema is False or schema == {}:
+        return _told(schema, root, value, F.lit(""), path, depth)
+    shaped = F.struct(value.alias("value"), F.schema_of_variant(value).alias("shape"))
+    return bound(shaped, lambda x: _told(schema, root, x["value"], x["shape"], path, depth))
+
+
+def _told(schema: object, root: dict, value: Column, shape: Column, path: Column, depth: int) -> Column:
     if depth > MOST_DEPTH:
         raise ValueError(f"the schema refers to itself more than {MOST_DEPTH} times")
     if schema is True or schema == {}:
@@ -69,37 +82,39 @@ def _compiled(schema: object, root: dict, value: Column, path: Column, depth: in
         for part in schema["$ref"].lstrip("#").strip("/").split("/") if schema["$ref"] != "#" else []:
             at = at[part.replace("~1", "/").replace("~0", "~")]
         rest = {k: v for k, v in schema.items() if k != "$ref"}
-        return _joined([_compiled(at, root, value, path, depth + 1), _compiled(rest, root, value, path, depth)])
+        return _joined([_compiled(at, root, value, path, depth + 1), _told(rest, root, value, shape, path, depth)])
     here = lambda s, v, p: _compiled(s, root, v, p, depth + 1)
     child = lambda name: F.try_variant_get(value, _step(name), "variant")
     below = lambda name: F.concat(path, F.lit(f"/{name}"))
     number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
     items = F.try_variant_get(value, "$", "array<variant>")
-    is_object, is_array, is_string, is_number = (_is(value, k) for k in ("object", "array", "string", "number"))
+    is_object, is_array, is_string, is_number = (_is(shape, number, k) for k in ("object", "array", "string", "number"))
     keys = F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
     bounds: dict[str, Callable[[object], Column]] = {
         "minimum": lambda x: is_number & (number < x), "maximum": lambda x: is_number & (number > x), "exclusiveMinimum": lambda x: is_number & (number <= x), "exclusiveMaximum": lambda x: is_number & (number >= x),
         "minLength": lambda x: is_string & (F.length(text) < x), "maxLength": lambda x: is_string & (F.length(text) > x), "pattern": lambda x: is_string & ~text.rlike(x),
-        "minItems": lambda x: is_array & (F.size(items) < x), "maxItems": lambda x: is_array & (F.size(items) > x), "const": lambda x: ~_same(value, x), "enum": lambda x: ~reduce(lambda a, b: a | b, (_same(value, v) for v in x), F.lit(False)),
+        "minItems": lambda x: is_array & (F.size(items) < x), "maxItems": lambda x: is_array & (F.size(items) > x), "const": lambda x: ~_same(value, shape, is_number, number, x), "enum": lambda x: ~reduce(lambda a, b: a | b, (_same(value, shape, is_number, number, v) for v in x), F.lit(False)),
     }
     parts: list[Column] = []
     for word, said in schema.items():
         if word == "type":
             kinds = [said] if isinstance(said, str) else said
-            parts.append(_found(~reduce(lambda a, b: a | b, (_is(value, k) for k in kinds)), path, "type"))
+            parts.append(_found(~reduce(lambda a, b: a | b, (_is(shape, number, k) for k in kinds)), path, "type"))
         elif word in bounds:
             parts.append(_found(F.coalesce(bounds[word](said), F.lit(False)), path, word))
         elif word == "required":
             parts += [_found(is_object & child(n).isNull(), path, f"required: {n}") for n in said]
         elif word == "properties":
-            parts += [F.when(is_object & child(n).isNotNull(), here(s, child(n), below(n))).otherwise(_joined([])) for n, s in said.items()]
+            one = lambda n, s: bound(child(n), lambda c: F.when(c.isNotNull(), here(s, c, below(n))).otherwise(_joined([])))
+            parts += [F.when(is_object, one(n, s)).otherwise(_joined([])) for n, s in said.items()]
         elif word == "additionalProperties":
             known = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
             others = F.array_except(keys, known)
+            outside = lambda given: F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, _: F.array_contains(given, k))
             if said is False:
                 parts.append(F.when(is_object, F.transform(others, lambda k: F.struct(path.alias("path"), F.concat(F.lit("additional: "), k).alias("finding")))).otherwise(_joined([])))
             elif said is not True and said != {}:
-                entries = F.coalesce(F.map_entries(F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, _: F.array_contains(others, k))), F.array().cast("array<struct<key:string,value:variant>>"))
+                entries = F.coalesce(F.map_entries(bound(others, outside)), F.array().cast("array<struct<key:string,value:variant>>"))
                 parts.append(F.when(is_object, F.flatten(F.transform(entries, lambda e: here(said, e["value"], F.concat(path, F.lit("/"), e["key"]))))).otherwise(_joined([])))
         elif word == "items":
             parts.append(F.when(is_array, F.flatten(F.transform(items, lambda x, i: here(said, x, F.concat(path, F.lit("/"), i.cast("string")))))).otherwise(_joined([])))
@@ -114,10 +129,9 @@ def _compiled(schema: object, root: dict, value: Column, path: Column, depth: in
 
 def schema_findings(document: Column, schema: dict | bool) -> Column:
     """array of (path, finding): where a JSON text (or VARIANT column) breaks the schema, in the order in which the schema says so; path is / before each key or place. A text that isn't
-    JSON has the one finding "not JSON"; null gives null. The expression grows with the schema, not with the data, and runs in the JVM."""
-    value = F.try_parse_json(document)
-    told = _compiled(schema, schema if isinstance(schema, dict) else {}, value, F.lit(""), 0)
-    return F.when(document.isNotNull(), F.when(value.isNull(), _found(F.lit(True), F.lit(""), "not JSON")).otherwise(told))
+    JSON has the one finding "not JSON"; null gives null. The expression grows with the schema, not with the data, and runs in the JVM; a text is parsed once."""
+    told = lambda v: _compiled(schema, schema if isinstance(schema, dict) else {}, v, F.lit(""), 0)
+    return F.when(document.isNotNull(), bound(F.try_parse_json(document), lambda v: F.when(v.isNull(), _found(F.lit(True), F.lit(""), "not JSON")).otherwise(told(v))))
 
 
 def call_findings(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:

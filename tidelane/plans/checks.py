@@ -47,7 +47,7 @@ def schema_findings(spark, sf_dir):
     tail = F.concat(F.when(k % 4 == 0, F.lit(', "time": 1')).otherwise(""), F.lit("}"), F.when(k % 5 == 0, F.lit(', "zip": null')).otherwise(""), F.when(k % 11 == 1, F.lit("")).otherwise("}"))
     text = F.format_string('{"key": %d, "status": "%s", "price": %s, "list": [1, %s], "more": {"date": "%s"%s', k, "o_orderstatus", price, second, F.to_date("o_orderdate").cast("string"), tail)
     found = call_findings(F.when(k % 11 == 0, "ship").otherwise("order"), text, {"order": _ORDER})
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode(found).alias("x")).select("o_orderkey", "x.path", "x.finding")
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.explode_outer(found).alias("x")).filter("x IS NOT NULL").select("o_orderkey", "x.path", "x.finding")  # outer: Spark would first filter by what is exploded
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 4 + 2 AS a, o_orderkey % 3 + 1 AS b FROM orders), s AS (SELECT *, 2 * a + b AS n FROM o)
