@@ -139,3 +139,11 @@ def test_other_rows(spark):
     assert W.normalized_rows(frame.limit(0), "raw", READS, WRITES).count() == 0
     with pytest.raises(ValueError, match="no kind"):
         W.normalized_rows(frame, "raw", READS, WRITES, "other")
+
+
+def test_parts_are_taken_from_maps(spark, sf_dir):
+    """A VARIANT path to a part that isn't there throws in each row."""
+    from tidelane.plans import checks
+
+    plan = checks.QUERIES["normalized_rows"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_variant_get" in plan and ", $." not in plan

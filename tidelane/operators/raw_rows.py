@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelane.functions.json_schema import bound
 from tidelane.operators.evaluation import FAILURES, INFRASTRUCTURE, LIMITS, SCORABLE
 
 # Names that labels go by.
@@ -18,12 +19,19 @@ INFRA_KINDS = ("infrastructure", "infrastructure_error", "simulator_error")
 #: How often a mark is repeated before a text counts as a repetition.
 MARKS = r"(?:✅\s*){20,}"
 VARIANTS = "array<variant>"
+WHOLES = {"OBJECT": "map<string,variant>", "ARRAY": VARIANTS}
 
 
-def _at(value: Column, path: str) -> Column:
-    """A part of a VARIANT; null where there is none, or a JSON null."""
-    part = F.try_variant_get(value, f"$.{path}", "variant")
-    return F.when(~F.is_variant_null(part), part)
+def _fields(value: Column) -> Column:
+    """An object's fields as a map, read once; null for anything else."""
+    return F.try_variant_get(value, "$", WHOLES["OBJECT"])
+
+
+def _at(fields: Column, path: str) -> Column:
+    """A part by its name among fields; null where there is none, or a JSON null. Spark's own paths throw where there is none, which takes longer than all else."""
+    first, _, rest = path.partition(".")
+    part = F.try_element_at(fields, F.lit(first))
+    return _at(_fields(part), rest) if rest else bound(part, lambda x: F.when(~F.is_variant_null(x), x))
 
 
 def _text(value: Column) -> Column:
@@ -31,22 +39,26 @@ def _text(value: Column) -> Column:
 
 
 def _shape(value: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+    """Whether it is an OBJECT, an ARRAY, a STRING or a BOOLEAN. What holds others isn't read to its depth, as its schema would be."""
+    as_ = lambda v, t: F.try_variant_get(v, "$", t).isNotNull()
+    if kind in WHOLES:
+        return as_(value, WHOLES[kind])
+    return bound(value, lambda v: F.when(v.isNull() | as_(v, WHOLES["OBJECT"]) | as_(v, WHOLES["ARRAY"]), F.lit(False)).otherwise(F.schema_of_variant(v).startswith(kind)))
 
 
 def _opened(value: Column) -> Column:
-    """An object, or the text of one, as an object; nothing and empty text are an empty one; null for anything else."""
-    empty, text = F.parse_json(F.lit("{}")), _text(value)
-    read = F.when(value.isNull(), empty).when(_shape(value, "STRING"), F.when(text == "", empty).otherwise(F.try_parse_json(text))).otherwise(value)
-    return F.when(_shape(read, "OBJECT"), read)
+    """The fields of an object, or of the text of one; nothing and empty text have none; null for anything else."""
+    empty = F.create_map().cast(WHOLES["OBJECT"])
+    text = lambda v: bound(_text(v), lambda t: F.when(t == "", empty).otherwise(_fields(F.try_parse_json(t))))
+    return bound(value, lambda v: F.when(v.isNull(), empty).when(_shape(v, "STRING"), text(v)).otherwise(_fields(v)))
 
 
 def _list(value: Column) -> Column:
-    return F.when(_shape(value, "ARRAY"), F.try_variant_get(value, "$", VARIANTS))
+    return F.try_variant_get(value, "$", VARIANTS)
 
 
 def _true(value: Column) -> Column:
-    return _shape(value, "BOOLEAN") & F.coalesce(F.try_variant_get(value, "$", "boolean"), F.lit(False))
+    return bound(value, lambda v: _shape(v, "BOOLEAN") & F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(False)))
 
 
 def _said(value: Column) -> Column:
@@ -55,13 +67,14 @@ def _said(value: Column) -> Column:
 
 
 def _call(call: Column) -> Column:
-    inner = _at(call, "function")
-    function = F.when(_shape(inner, "OBJECT"), inner).otherwise(call)
-    name = lambda v: F.when(_shape(v, "STRING") & (_text(v) != ""), _text(v))
-    given = _at(function, "arguments")
-    text = F.when(_shape(given, "STRING"), _text(given))
-    arguments = F.when(text.isNotNull(), F.coalesce(F.to_json(F.try_parse_json(text)), F.to_json(F.struct(text.alias("invalid_json_arguments"))))).otherwise(F.coalesce(F.to_json(given), F.lit("null")))
-    return F.struct(F.coalesce(name(_at(function, "name")), name(_at(call, "tool_name"))).alias("name"), arguments.alias("arguments"), _true(_at(call, "error")).alias("error"))
+    """Of a call's fields."""
+    name = lambda part: bound(part, lambda v: F.when(_shape(v, "STRING"), bound(_text(v), lambda t: F.when(t != "", t))))
+    read = lambda text: F.coalesce(F.to_json(F.try_parse_json(text)), F.to_json(F.struct(text.alias("invalid_json_arguments"))))
+    arguments = lambda given: F.when(_shape(given, "STRING"), bound(_text(given), read)).otherwise(F.coalesce(F.to_json(given), F.lit("null")))
+    told = lambda f: F.struct(
+        F.coalesce(name(_at(f, "name")), name(_at(call, "tool_name"))).alias("name"), bound(_at(f, "arguments"), arguments).alias("arguments"), _true(_at(call, "error")).alias("error")
+    )
+    return bound(F.coalesce(_fields(_at(call, "function")), call), told)
 
 
 def normalized_rows(rows: DataFrame, raw: str, reads: list[str], writes: list[str], kind: str = "rollout") -> DataFrame:
@@ -78,7 +91,7 @@ def normalized_rows(rows: DataFrame, raw: str, reads: list[str], writes: list[st
         raise ValueError(f"no kind {kind}")
     v = F.col("v_")
     rollout = F.lit(kind == "rollout")
-    df = rows.withColumn("v_", F.try_parse_json(raw)).withColumn("sim_", _opened(_at(v, "simulation")))
+    df = rows.withColumn("v_", _fields(F.try_parse_json(raw))).withColumn("sim_", _opened(_at(v, "simulation")))
     df = df.withColumn("info_", _opened(_at(F.col("sim_"), "info"))).withColumn("facts_", _opened(F.coalesce(_at(v, "trajectory_facts_json"), _at(F.col("info_"), "trajectory_facts"))))
     sim, info, facts = F.col("sim_"), F.col("info_"), F.col("facts_")
     df = df.withColumns({"term_": _opened(_at(facts, "terminal")), "id_": _opened(_at(facts, "identity")), "paid_": _opened(_at(sim, "reward_info")), "traj_": _opened(_at(v, "trajectory_json"))})
@@ -86,18 +99,20 @@ def normalized_rows(rows: DataFrame, raw: str, reads: list[str], writes: list[st
     df = df.withColumn("elig_", _opened(F.coalesce(_at(v, "execution_eligibility"), _at(term, "execution_eligibility"))))
     elig = F.col("elig_")
 
-    holder = F.when(F.to_json(sim) != "{}", sim).otherwise(v)
-    df = df.withColumns({"turns_": F.try_variant_get(facts, "$.turns", "variant"), "messages_": F.try_variant_get(holder, "$.messages", "variant")})
-    turns, messages = _list(F.col("turns_")), _list(F.col("messages_"))
-    told = F.coalesce(F.forall(turns, lambda t: _shape(t, "OBJECT") & _shape(_at(t, "tool_calls"), "ARRAY")), F.lit(False))
+    simulated = F.coalesce(F.size(sim) > 0, F.lit(False))
+    holder = F.when(simulated, sim).otherwise(v)
+    df = df.withColumns({"turns_": F.try_element_at(facts, F.lit("turns")), "messages_": F.try_element_at(holder, F.lit("messages"))})
+    df = df.withColumns({c: F.transform(_list(F.col(of)), _fields) for c, of in (("told_", "turns_"), ("said_", "messages_"))})
+    turns, messages = F.col("told_"), F.col("said_")
+    told = F.coalesce(F.forall(turns, lambda t: t.isNotNull() & _shape(_at(t, "tool_calls"), "ARRAY")), F.lit(False))
     none = F.array().cast(VARIANTS)
     assistants = F.filter(messages, lambda m: F.coalesce(_text(_at(m, "role")) == "assistant", F.lit(False)))
     of_turns = F.flatten(F.transform(turns, lambda t: _list(_at(t, "tool_calls"))))
     of_messages = F.flatten(F.transform(assistants, lambda m: F.coalesce(_list(_at(m, "tool_calls")), none)))
     by_hand = _list(_at(F.col("traj_"), "tool_calls"))
-    source = F.when(told, "trajectory_facts").when(F.col("messages_").isNotNull(), F.when(F.to_json(sim) != "{}", "simulation.messages").otherwise("messages")).when(by_hand.isNotNull(), "trajectory_json").otherwise("unavailable")
+    source = F.when(told, "trajectory_facts").when(F.col("messages_").isNotNull(), F.when(simulated, "simulation.messages").otherwise("messages")).when(by_hand.isNotNull(), "trajectory_json").otherwise("unavailable")
     found = F.when(told, of_turns).when(F.col("messages_").isNotNull(), of_messages).when(by_hand.isNotNull(), by_hand)
-    df = df.withColumn("tool_evidence_source", source).withColumn("calls_", F.transform(found, _call))
+    df = df.withColumn("tool_evidence_source", source).withColumn("calls_", F.transform(found, lambda c: bound(_fields(c), _call)))
     calls = F.col("calls_")
 
     end = F.coalesce(*(_text(_at(x, "termination_reason")) for x in (v, sim, term)))
@@ -114,12 +129,12 @@ def normalized_rows(rows: DataFrame, raw: str, reads: list[str], writes: list[st
     listed = lambda c: c.isNull() | _shape(c, "ARRAY")
     bad_list = F.coalesce(F.exists(assistants, lambda m: ~listed(_at(m, "tool_calls")) & _said(_at(m, "tool_calls"))), F.lit(False))
     used = F.col("tool_evidence_source").isin("messages", "simulation.messages")
-    problem = F.when(~_shape(v, "OBJECT"), "not an object").when(_said(_at(v, "record_kind")) | _said(_at(v, "analysis_version")), "normalized already")
+    problem = F.when(v.isNull(), "not an object").when(_said(_at(v, "record_kind")) | _said(_at(v, "analysis_version")), "normalized already")
     for name, part in parts.items():
         problem = problem.when(part.isNull(), f"{name} must be an object")
     problem = (
         problem.when(~listed(F.col("turns_")), "turns must be a list").when(used & ~_shape(F.col("messages_"), "ARRAY"), "messages must be a list")
-        .when(used & F.coalesce(F.exists(messages, lambda m: ~_shape(m, "OBJECT")), F.lit(False)), "message must be an object").when(used & bad_list, "tool_calls must be a list")
+        .when(used & F.coalesce(F.exists(messages, lambda m: m.isNull()), F.lit(False)), "message must be an object").when(used & bad_list, "tool_calls must be a list")
         .when(F.col("traj_").isNull() & F.col("tool_evidence_source").isin("unavailable", "trajectory_json"), "trajectory_json must be an object").when(F.coalesce(F.exists(calls, lambda c: c["name"].isNull()), F.lit(False)), "call without a name")
         .when(F.col("paid_at_") & ~finite, "reward must be a finite number").when(rollout & ~scorable & F.coalesce(score != 0, F.lit(False)), "unscored run has an outcome")
     )
