@@ -147,3 +147,37 @@ def test_small_groups_share_batches(spark):
     for out in (greedy, anchors, tokens):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapGroupsInPandas" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_connections_against_brute_force(spark, monkeypatch):
+    from datetime import date, datetime, timedelta
+
+    rng, start = random.Random(3), datetime(2024, 2, 28)
+    place = lambda: rng.choice("abcd") if rng.random() < 0.95 else None
+    asks = [(i, place(), place(), date(2024, 2, 28 + rng.randint(0, 1)) if i % 9 else None) for i in range(60)] + [(None, "a", "b", date(2024, 2, 28))]
+    legs = [(i, place(), place(), at := start + timedelta(hours=rng.randint(0, 60)), at + timedelta(hours=rng.randint(1, 20))) for i in range(150)]
+    legs += [(None, "a", "c", start, start + timedelta(hours=2)), (900, "c", "b", None, start), (901, "a", "c", start, None), (902, "c", "b", start + timedelta(hours=2), start)]
+    asks, legs = asks + asks[:5], legs + legs[:5]  # repeated rows are rows
+    want = Counter()
+    for q, o, d, day in asks:
+        for f, a, via, leaves, at in legs:
+            if None not in (o, d, day, leaves, at, via) and a == o and leaves.date() == day:
+                want.update((q, f, s) for s, b, to, then, _ in legs if then and b == via and to == d and then.date() == at.date() and then >= at)
+    assert len(want) > 500 and any(q is None for q, _, _ in want) and any(f is None for _, f, _ in want)
+    requests = spark.createDataFrame(asks, "request long, origin string, destination string, day date")
+    flights = spark.createDataFrame(legs, "leg long, origin string, destination string, departs timestamp_ntz, arrives timestamp_ntz")
+    for most in (32, 2):
+        monkeypatch.setattr(selection, "LISTED", most)
+        assert Counter(map(tuple, selection.one_stop(requests, flights, parts=8).collect())) == want
+
+
+def test_connections_of_one_day_are_dealt_out(spark):
+    """One class of requests and legs, whose million pairs a join makes in one task."""
+    ids = spark.range(100)
+    requests = ids.selectExpr("id AS request", "'a' AS origin", "'c' AS destination", "DATE '2024-02-28' AS day")
+    hop = "TIMESTAMP_NTZ '2024-02-28 {}:00:00' AS {}"
+    legs = ids.selectExpr("id AS leg", "'a' AS origin", "'b' AS destination", hop.format("01", "departs"), hop.format("02", "arrives"))
+    legs = legs.union(ids.selectExpr("id + 100 AS leg", "'b' AS origin", "'c' AS destination", hop.format("02", "departs"), hop.format("03", "arrives")))
+    out = selection.one_stop(requests, legs)
+    shares = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(shares) == 1_000_000 and len(shares) > 16 and max(shares) < 100_000
