@@ -128,3 +128,53 @@ def test_runs_at_other_places_are_no_candidates(spark):
     frame = spark.createDataFrame([("a", i, t) for i, t in enumerate(turned[:3])] + [("b", i, t) for i, t in enumerate([*turned[3:], near])], "side string, id long, said string")
     assert {tuple(r) for r in S._by_runs(frame, 0.95, 8, 64.0, float("inf")).collect()} >= {(0, 4)}
     assert not {r.b for r in S._by_runs(frame, 0.95, 8, 64.0, float("inf")).collect()} & {0, 1, 2, 3}
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.95])
+def test_likeness_is_that_of_all_pairs_in_any_batches(threshold, monkeypatch):
+    """Long texts, few at once, and batches that end within a band or a side; texts of b come first in each."""
+    import pyarrow as pa
+
+    from tidelane.functions import likeness as L
+
+    rng = random.Random(5)
+    base = [" ".join(norm("".join(rng.choices("abcdefgh1", k=rng.randint(2, 8)))) for _ in range(n)) for n in (3, 6, 60, 250)]
+    near = lambda t: norm("".join(c if rng.random() > 0.015 else rng.choice(["", "x", c + "y"]) for c in t))
+    mine, theirs = [near(t) for t in base * 3], [near(t) for t in base * 4] + base
+    assert max(map(len, mine)) > L.LONGEST
+    monkeypatch.setattr(L, "CHARACTERS", 700)
+    monkeypatch.setattr(L, "PAIRS", 16)
+    monkeypatch.setattr(L, "LOT", 5)
+    monkeypatch.setattr(L, "FEW", 2)
+    rows = [(band, side, t) for band in (4, 7, 9) for side, texts in ((False, theirs), (True, mine)) for t in texts if (band, side) != (7, False)]
+    columns = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.string()))]
+    whole = pa.RecordBatch.from_arrays(columns, ["band", "mine", "said"])
+    batches = [whole.slice(k, 7) for k in range(0, len(rows), 7)]
+    got = sorted(r for x in L.banded(threshold)(iter(batches)) for r in zip(*(c.to_pylist() for c in x.columns)))
+    want = sorted((x, y, s) for x in mine for y in theirs if x != y and (s := difflib.SequenceMatcher(None, x, y).ratio()) >= threshold)
+    assert got == sorted(want * 2) and len(want) >= 5
+
+
+def test_texts_are_not_sent_as_runs(spark):
+    """closest_lines: a row for each place of a text took several times the texts' bytes on disk."""
+    said = [f"{'abcdefgh'[i % 8]}{i} and then {i * 7919} of them were seen near the {i * 31} mills" for i in range(300)]
+    a, b = spark.createDataFrame([(t,) for t in said], "said string"), spark.createDataFrame([(t + " again",) for t in said[::10]], "said string")
+    plan = S.similar_texts(a, b, 0.9)._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "MapInArrow" in plan
+    assert {(r.a, r.b) for r in S.similar_texts(a, b, 0.9).collect()} == {(x, y) for x in said for y in (t + " again" for t in said[::10]) if likeness(x, y) >= 0.9}
+
+
+def test_words_are_met_by_classes(spark):
+    """Sets of words at the very threshold, of sizes about the steps of classes, in any order and with repeated words."""
+    pairs, threshold = [], 0.8
+    for n in [*range(1, 14), 31, 32, 33, 34, 40, 63, 64, 100, 101]:
+        words = [f"w{n}x{k}" for k in range(n)]
+        most = int((1 - threshold) / threshold * n + 1e-9)  # so many more words, and the pair is at the threshold
+        more = words + [f"v{n}x{k}" for k in range(most)]
+        pairs.append((" ".join(words), " ".join(reversed(more + words[:2]))))
+    found = {}
+    for flip in (False, True):
+        x, y = (spark.createDataFrame([(i, p[k]) for i, p in enumerate(pairs)], "i long, said string").withColumn("id", F.xxhash64("said")) for k in ((1, 0) if flip else (0, 1)))
+        met = S._by_classes(x, y, threshold)
+        found[flip] = met.join(x, met.a == x.id).select("i", "b").join(y.drop("i"), F.col("b") == y.id).select("i").distinct().count()
+    assert found == {False: len(pairs), True: len(pairs)}

@@ -1,11 +1,16 @@
-"""Exact similarity joins of texts over inverted indexes: no pair is looked at that shares no rare enough part.
+"""Exact similarity joins of texts.
 
 Texts are alike by the Jaccard similarity of their words, or in sequence (twice the matching characters over both lengths).
-Each kind gives a least number c of parts (words, or runs of q characters) that a pair at the threshold has in common. Of a text
-with n parts, in an order that all texts share, one of the first n - c + 1 is then a part of the other
-text's first ones: only these are joined. The order is by rising frequency, so common parts are rarely joined.
 
-In sequence: let a pair have M matching characters in blocks, and U others. Between two blocks lies one of
+By words: two sets at the threshold t whose greater has n words differ in (1 - t) n words at most, or (1 - t) / t times those of the smaller. If words are dealt
+by hash to one class more than that, some class holds the same words in both: texts are joined by the words of a class. At low thresholds classes have few words, and an inverted
+index is used: a pair has at least c words in common, and of a text with n words, by rising frequency over all texts, one of the first n - c + 1 is then among the other text's first ones.
+
+In sequence: texts are dealt out by length, and all pairs whose lengths fit are compared by counts of letters, at some nanoseconds each, and then by
+their longest common subsequence (functions/likeness). At these thresholds a pair need share short runs only, which very many unlike texts share as well, and whose index is several times the texts.
+So the work is the square of the number of texts, but little of it for each pair, and a task holds one length's texts of the other side.
+
+Runs, as an index for those who want one (_by_runs): let a pair have M matching characters in blocks, and U others. Between two blocks lies one of
 the others at least, so there are U + 1 blocks at most, and M - (q - 1)(U + 1) runs of q characters or more are within blocks.
 At a similarity of t, with s characters in both texts, this is at least f s - (q - 1), f = t / 2 - (q - 1)(1 - t).
 Runs are ordered by their frequency in the other texts and then by place. The first run that the blocks share is then among both texts' first ones in the same
@@ -14,21 +19,16 @@ block, so its places differ by U at most, before and behind it together. Runs th
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.functions.documents import sequence_ratio, sequence_ratio_from
+from tidelane.functions.documents import sequence_ratio
+from tidelane.functions.likeness import banded
 from tidelane.functions.text import normalize_reason, token_jaccard
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
-
-
-def run_length(threshold: float) -> int:
-    """The longest runs q that still give a bound f worth having; 1 is always one."""
-    return max((q for q in range(1, 9) if threshold / 2 - (q - 1) * (1 - threshold) >= 0.1), default=1)
-
 
 def _ranked(parts: DataFrame) -> DataFrame:
     """parts (side, id, n, ...; part) with `rank` in its text, by rising frequency over both sides."""
@@ -44,8 +44,17 @@ def _met(first: DataFrame, fits: Column) -> DataFrame:
     return a.join(b, "part").filter(fits).select("a", "b").distinct()
 
 
+def _by_hash(texts: DataFrame) -> DataFrame:
+    """(id, said) of the different texts, dealt out by id: one exchange, which what is joined on id uses again."""
+    return texts.groupBy(F.xxhash64("said").alias("id")).agg(F.collect_set("said").alias("said")).select("id", F.explode("said").alias("said"))
+
+
+def _words() -> Column:
+    return F.array_distinct(F.filter(F.split("said", " "), lambda w: w != ""))
+
+
 def _by_words(texts: DataFrame, threshold: float) -> DataFrame:
-    words = texts.select("side", "id", F.array_distinct(F.filter(F.split("said", " "), lambda w: w != "")).alias("w"))
+    words = texts.select("side", "id", _words().alias("w"))
     parts = words.select("side", "id", F.size("w").alias("n"), F.explode("w").alias("part"))
     kept = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
     return _met(_ranked(parts).filter(F.col("rank") <= kept), F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
@@ -71,35 +80,55 @@ def _by_runs(texts: DataFrame, threshold: float, q: int, low: float, high: float
     return of("a").join(of("b"), "part").filter(fits & (shift <= (1 - threshold) * together + 1e-6)).select("a", "b").distinct()
 
 
+def _by_classes(texts: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the texts that hold the same words of some class. Classes are as many as the size of a's set of words asks for; sizes above 32 go by steps of a twentieth."""
+    step = lambda n: F.when(n <= 32, n).otherwise(33 + F.floor(F.log(n / 32) / math.log(1.05))).cast("int")
+    words = lambda df, i: df.select(F.col("id").alias(i), F.array_sort(F.transform(_words(), lambda w: F.xxhash64(w))).alias("w")).withColumn("n", F.size("w"))
+
+    def keyed(df: DataFrame, i: str) -> DataFrame:
+        most = F.when(F.col("step") <= 32, F.col("step")).otherwise(F.floor(32 * F.pow(F.lit(1.05), F.col("step") - 32)) + 1)
+        df = df.withColumn("classes", F.floor((1 - threshold) / threshold * most + 1e-9).cast("int") + 1)
+        of = lambda k: F.xxhash64("step", k, F.filter("w", lambda w: F.pmod(w, F.col("classes")) == k))
+        return df.select(i, F.explode(F.transform(F.sequence(F.lit(0), F.col("classes") - 1), of)).alias("key"))
+
+    a = words(texts, "a").withColumn("step", step(F.col("n")))
+    n = F.col("n")
+    b = words(others, "b").withColumn("step", F.explode(F.sequence(step(F.ceil(n * threshold - 1e-9)), step(F.floor(n / threshold + 1e-9)))))
+    return keyed(a, "a").join(keyed(b, "b"), "key").select("a", "b").distinct()
+
+
+def _in_sequence(texts: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the different texts alike in sequence. A text of a goes to the band of its length, and one of b to all that fit."""
+    width, n = math.log(max(1.02, (2 / threshold - 1) ** (1 / 6))), F.length("said")
+    band = lambda n: F.floor(F.log(n) / width).cast("int")
+    least, most = F.ceil(n * threshold / (2 - threshold) - 1e-9), F.floor(n * (2 - threshold) / threshold + 1e-9)
+    a = texts.select(band(n).alias("band"), F.lit(True).alias("mine"), "said")
+    b = others.select(F.explode(F.sequence(band(least), band(most))).alias("band"), F.lit(False).alias("mine"), "said")
+    # A number is given, as few bytes are much work here, and Spark would leave them to few tasks.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = a.union(b).repartition(parts, "band").sortWithinPartitions("band", "mine")
+    return dealt.mapInArrow(banded(threshold), "a string, b string, similarity double")
+
+
 def similar_texts(texts: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): all pairs of one of texts (a) and one of others (b), both columns `said` of different normalised, non-empty texts
+    """(a, b, similarity): all pairs of one of texts (a) and one of others (b), both columns `said` of normalised, non-empty texts
     (letters a-z, digits and single spaces), whose greater similarity reaches the threshold (above 0, at most 1).
 
-    Counts of letters, and then the longest common subsequence, rule out most candidates before Python compares sequences. Equal texts are pairs of similarity 1.
+    Equal texts are pairs of similarity 1, and repeated ones are compared once.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and is 1 at most")
-    side = lambda df, name: df.select(F.lit(name).alias("side"), F.xxhash64("said").alias("id"), "said")
-    both = side(texts, "a").union(side(others, "b"))
-    q = run_length(threshold)
-    f = threshold / 2 - (q - 1) * (1 - threshold)
-    split = q / f if q > 1 else float("inf")  # from so many characters on, runs of q are sure to be shared
-    found = _by_words(both, threshold).union(_by_runs(both, threshold, 1, 0.0, split))
-    if q > 1:
-        found = found.union(_by_runs(both, threshold, q, split, float("inf")))
-    counted = F.array(*(F.length("said") - F.length(F.replace("said", F.lit(x), F.lit(""))) for x in LETTERS))
-    told = lambda df, i, c, n: side(df, i).select(F.col("id").alias(i), F.col("said").alias(c), counted.alias(n))
-    pairs = found.distinct().join(told(texts, "a", "x", "m_"), "a").join(told(others, "b", "y", "n_"), "b")
-    shared = reduce(lambda s, k: s + F.least(F.col("m_")[k], F.col("n_")[k]), range(len(LETTERS)), F.lit(0))
-    together = F.length("x") + F.length("y")
-    pairs = pairs.withColumn("words_", F.when(F.col("x") == F.col("y"), 1.0).otherwise(token_jaccard(F.col("x"), F.col("y"))))
-    asked = (F.col("words_") < 1) & (2 * shared >= threshold * together - 1e-9)
-    pairs = pairs.withColumn("asked_", asked).filter(F.col("asked_") | (F.col("words_") >= threshold))
-    # Python's part is dealt out again: the candidates take few bytes, so Spark would leave them to few tasks.
-    pairs = pairs.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    ratio = sequence_ratio_from(threshold, F.when(F.col("asked_"), F.col("x")), F.when(F.col("asked_"), F.col("y")))
-    scored = pairs.withColumn("similarity", F.greatest("words_", F.coalesce(ratio, F.lit(0.0))))
-    return scored.filter(F.col("similarity") >= threshold).select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
+    texts, others = _by_hash(texts), _by_hash(others)
+    if threshold >= 0.8:
+        found = _by_classes(texts, others, threshold)
+    else:
+        side = lambda df, name: df.select(F.lit(name).alias("side"), "id", "said")
+        found = _by_words(side(texts, "a").union(side(others, "b")), threshold)
+    told = lambda df, i, c: df.select(F.col("id").alias(i), F.col("said").alias(c))
+    pairs = found.join(told(texts, "a", "x"), "a").join(told(others, "b", "y"), "b")
+    words = F.when(F.col("x") == F.col("y"), 1.0).otherwise(token_jaccard(F.col("x"), F.col("y")))
+    by_words = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), words.alias("similarity")).filter(F.col("similarity") >= threshold)
+    return by_words.union(_in_sequence(texts, others, threshold)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def closest_texts(df: DataFrame, text: str, blocked: DataFrame, key: str, threshold: float = 0.88, order: str | None = None) -> DataFrame:
@@ -111,14 +140,16 @@ def closest_texts(df: DataFrame, text: str, blocked: DataFrame, key: str, thresh
     best = F.min_by("blocked", F.struct("order_", "blocked")) if order else F.max("blocked")
     first = listed.groupBy("b_").agg(best.alias("blocked"), (F.min("order_") if order else F.lit(0)).alias("order_"))
     rows = df.select(key, normalize_reason(F.col(text)).alias("a_")).filter("a_ != ''")
-    pairs = similar_texts(rows.select(F.col("a_").alias("said")).distinct(), first.select(F.col("b_").alias("said")), threshold)
+    pairs = similar_texts(rows.select(F.col("a_").alias("said")), first.select(F.col("b_").alias("said")), threshold)
     named = pairs.join(first, F.col("b") == F.col("b_"))
     rank = F.struct((-F.col("similarity")).alias("less"), "order_")
     if order:
         top = named.groupBy("a").agg(F.min_by(F.struct("blocked", "similarity"), F.struct(rank, "blocked")).alias("x"))
     else:
         top = named.groupBy("a").agg(F.max_by(F.struct("blocked", "similarity"), F.struct("similarity", "blocked")).alias("x"))
-    return rows.join(top, F.col("a_") == F.col("a")).select(key, "x.blocked", "x.similarity")
+    # Rows are joined by two hashes of the text, which would be sent once more.
+    hashed = lambda t: [F.xxhash64(t).alias("h_"), F.xxhash64(F.lit("text"), t).alias("g_")]
+    return rows.select(key, *hashed("a_")).join(top.select(*hashed("a"), "x"), ["h_", "g_"]).select(key, "x.blocked", "x.similarity")
 
 
 def best_matches(df: DataFrame, others: DataFrame, key: str, other: str, lexical: bool = False, eligible: str | None = None) -> DataFrame:
