@@ -178,3 +178,24 @@ def test_words_are_met_by_classes(spark):
         met = S._by_classes(x, y, threshold)
         found[flip] = met.join(x, met.a == x.id).select("i", "b").join(y.drop("i"), F.col("b") == y.id).select("i").distinct().count()
     assert found == {False: len(pairs), True: len(pairs)}
+
+
+def test_common_lengths_of_many_pairs_at_once():
+    """closest_reasons: pairs were taken one by one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidelane.functions.documents import common_characters
+    from tidelane.functions.likeness import Counted, common_lengths
+
+    rng = random.Random(11)
+    a, b = ([norm(t) or "a" for t in texts_of(rng, 40)] + ["".join(rng.choices("ab 1z", k=n)) for n in (51, 52, 53, 104, 105, 300)] for _ in range(2))
+    i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+    got = common_lengths(Counted([pa.array(a[:9]), pa.array(a)[9:]]), i, Counted([pa.array(b)]), j)
+    want = [common_characters(a[p], b[q]) for p, q in zip(i, j)]
+    assert got.tolist() == want
+    for least in (0.5, 0.8, 0.95):
+        asked = np.array([least * (len(a[p]) + len(b[q])) for p, q in zip(i, j)])
+        some = common_lengths(Counted([pa.array(a)]), i, Counted([pa.array(b)]), j, asked)
+        assert [x for x, y in zip(some, asked) if 2 * x >= y] == [x for x, y in zip(want, asked) if 2 * x >= y]
+        assert all(x in (0, w) for x, w in zip(some, want)) and 0 in some

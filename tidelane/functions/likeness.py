@@ -115,8 +115,13 @@ def near_runs(a: Counted, i: np.ndarray, b: Counted, j: np.ndarray, threshold: f
     return np.concatenate(met)
 
 
-def common_lengths(a: Counted, i: np.ndarray, b: Counted, j: np.ndarray) -> np.ndarray:
-    """common_characters of each pair of rows, all pairs at once: a bit for each character of a, in words of BITS."""
+def common_lengths(a: Counted, i: np.ndarray, b: Counted, j: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """common_characters of each pair of rows, all pairs at once: a bit for each character of a, in words of BITS.
+
+    Pairs that can't reach half of `least` are given up on the way, with 0: when r characters of b are left, the beginning of b has to match what is before the last r of a,
+    and can't match more than that and r in all, wherever the rest begins.
+    """
+    least = np.zeros(len(i)) if least is None else least
     rows, of_a = np.unique(i, return_inverse=True)
     words, kinds = -(-int(a.n[rows].max()) // BITS), len(LETTERS) + 1  # and one that no text has, for the ends of shorter ones
     row, place, code = a.characters(rows)
@@ -126,11 +131,12 @@ def common_lengths(a: Counted, i: np.ndarray, b: Counted, j: np.ndarray) -> np.n
     letters = np.full((int(b.n[rows].max()), len(rows)), kinds - 1)
     row, place, code = b.characters(rows)
     letters[place, row] = code
-    at_a = of_a * kinds
-    every, top = np.uint64((1 << BITS) - 1), np.uint64(BITS)
+    at_a, pairs, out = of_a * kinds, np.arange(len(i)), np.zeros(len(i), np.int64)
+    one, top = np.uint64(1), np.uint64(BITS)
+    every = (one << top) - one
     left = np.full((words, len(j)), every)
     met, total, carry = np.empty((3, len(j)), np.uint64)
-    for letter in letters:
+    for done, letter in enumerate(letters, 1):
         step = letter.take(of_b)
         step += at_a
         carry[:] = 0
@@ -143,7 +149,19 @@ def common_lengths(a: Counted, i: np.ndarray, b: Counted, j: np.ndarray) -> np.n
             now -= met
             total &= every
             now |= total
-    return words * BITS - np.bitwise_count(left).sum(0, dtype=np.int64)
+        if done % max(8, len(letters) // 10) == 0:
+            rest = np.maximum(b.n[j[pairs]] - done, 0)
+            before = a.n[i[pairs]] - rest
+            first = [(one << np.clip(before - k * BITS, 0, BITS).astype(np.uint64)) - one for k in range(words)]
+            most = rest + sum(np.bitwise_count(f & ~now).astype(np.int64) for f, now in zip(first, left))
+            hope = 2 * most >= least[pairs]
+            if hope.mean() < 0.8:
+                pairs, of_b, at_a, left = pairs[hope], of_b[hope], at_a[hope], left[:, hope]
+                met, total, carry = np.empty((3, len(pairs)), np.uint64)
+                if not len(pairs):
+                    break
+    out[pairs] = words * BITS - np.bitwise_count(left).sum(0, dtype=np.int64)
+    return out
 
 
 def alike(a: Counted, b: Counted, threshold: float) -> Iterator[tuple[str, str, float]]:
@@ -163,7 +181,7 @@ def alike(a: Counted, b: Counted, threshold: float) -> Iterator[tuple[str, str,
         for lot in np.split(order, np.flatnonzero(np.diff(words[order])) + 1):
             for some in np.split(lot, range(LOT, len(lot), LOT)):
                 if words[some[0]] and len(some) >= FEW:
-                    common = common_lengths(b, j[some], a, i[some])
+                    common = common_lengths(b, j[some], a, i[some], least[some])
                 else:
                     common = np.array([common_characters(a.said[p].as_py(), b.said[q].as_py()) for p, q in zip(i[some], j[some])])
                 kept.append(some[2 * common >= least[some]])
