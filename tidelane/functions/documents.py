@@ -352,15 +352,6 @@ def common_characters(a: str, b: str) -> int:
     return len(a) - left.bit_count()
 
 
-def sequence_ratio_from(least: float, a: Column, b: Column) -> Column:
-    """sequence_ratio where it may reach `least`, else null."""
-
-    def ratio(x: str, y: str) -> float | None:
-        return matching_blocks_ratio(x, y) if 2 * common_characters(x, y) >= least * (len(x) + len(y)) - 1e-9 else None
-
-    return _each(ratio, "double", pa.float64(), a, b)
-
-
 def near_duplicate(a: Column, b: Column, threshold: float = 0.88, ratio: Column | None = None) -> Column:
     """Whether two normalised texts are alike by their sets of words or in sequence. Texts whose lengths
     rule the latter out never reach Python, and none does where their sequence_ratio is at hand."""

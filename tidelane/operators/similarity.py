@@ -2,7 +2,7 @@
 
 Texts are alike by the Jaccard similarity of their words, or in sequence (twice the matching characters over both lengths).
 
-By words: two sets at the threshold t whose greater has n words differ in (1 - t) n words at most, or (1 - t) / t times those of the smaller. If words are dealt
+By words: a set of n words and another at the threshold t have n / t words together at most, and differ in (1 - t) n / t. If words are dealt
 by hash to one class more than that, some class holds the same words in both: texts are joined by the words of a class. At low thresholds classes have few words, and an inverted
 index is used: a pair has at least c words in common, and of a text with n words, by rising frequency over all texts, one of the first n - c + 1 is then among the other text's first ones.
 
